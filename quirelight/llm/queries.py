@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirelight.llm.chat import op7_chat
+from quirelight.llm.mixing import OP1_SQL, op1_mixing
+from quirelight.llm.secrets import op6_secrets
+from quirelight.llm.sharding import op4_sharding
 from quirelight.llm.simhash import op2_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_simhash": op2_simhash}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_simhash": op2_simhash,
+        "op4_sharding": op4_sharding,
+        "op6_secrets": op6_secrets,
+        "op7_chat": op7_chat,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL}

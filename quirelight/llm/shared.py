@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: ASCII white space as the operators' word definition has it.
@@ -71,7 +71,7 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     dealt = save(dealt, name)
     counts = dealt.groupBy(part).count()
     # One row for each range: as many as partitions, whatever the input.
-    before = F.sum("count").over(_window(None, [part]).rowsBetween(-(2**62), -1))
+    before = F.sum("count").over(_window(None, [part]).rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(part, F.coalesce(before, F.lit(0)).alias("__before"))
     row = F.row_number().over(_window([part], keys))
     return (
@@ -82,7 +82,5 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
 
 
-def _window(by: list[str] | None, order: list[str]):
-    from pyspark.sql import Window
-
+def _window(by: list[str] | None, order: list[str]) -> WindowSpec:
     return (Window.partitionBy(*by) if by else Window).orderBy(*order)
