@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelight.llm.shared import WORD, ranked, save, table, text_of
+from quirelight.llm.shared import WORD, ranked, ranked_in, save, table, text_of
 
 #: Fixed point: copies are counted in 2**-24.
 ONE = 1 << 24
@@ -53,15 +53,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "key")), 1, 6), 16, 10).cast("long")
     goals = goals.withColumn("expected", F.floor(ratio * ONE + 0.5).cast("long")).withColumn("offset", offset)
-    order = ["key", "size", "doc_id", "mark"]
-    dealt = save(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-dealt")
-    # Rows of a source in each range: at most one row more for each range than there are sources.
-    counts = dealt.groupBy("key", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("key", "part").orderBy("size", "doc_id", "mark")
-    numbered = dealt.withColumn("at", F.row_number().over(inside)).join(counts, ["key", "part"]).join(goals, "key")
-    upto = (F.col("before") + F.col("at")) * F.col("expected") + F.col("offset")
+    numbered = ranked_in(rows, ["key"], ["size", "doc_id", "mark"], "mix-dealt").join(goals, "key")
+    upto = (F.col("rank") + 1) * F.col("expected") + F.col("offset")
     crossed = F.floor(upto / F.lit(ONE)) - F.floor((upto - F.col("expected")) / F.lit(ONE))
     numbered = numbered.withColumn("copies", crossed.cast("long"))
     return numbered.select(

@@ -82,5 +82,23 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
 
 
+def ranked_in(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with ``rank`` (long, from 0): its place in the order, within its group.
+
+    As :func:`ranked`: rows are dealt by range of (group, order), so that a large group lies in
+    many ranges, and the ranges are written before they are counted. The group's columns must
+    not be null."""
+    part = "__part"
+    dealt = save(df.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()), name)
+    # A row for each group and range in which it has rows: groups + ranges at most.
+    counts = dealt.groupBy(*group, part).agg(F.count("*").alias("__n"))
+    earlier = _window(group, [part]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    numbered = dealt.withColumn("__at", F.row_number().over(_window([*group, part], order)))
+    numbered = numbered.join(starts, [*group, part])
+    rank = (F.col("__at") - 1 + F.col("__before")).cast("long")
+    return numbered.withColumn("rank", rank).drop(part, "__at", "__before")
+
+
 def _window(by: list[str] | None, order: list[str]) -> WindowSpec:
     return (Window.partitionBy(*by) if by else Window).orderBy(*order)
