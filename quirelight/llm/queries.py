@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quirelight.llm.chat import op7_chat
 from quirelight.llm.mixing import OP1_SQL, op1_mixing
+from quirelight.llm.packing import op3_packing
+from quirelight.llm.quality import op8_quality
 from quirelight.llm.secrets import op6_secrets
 from quirelight.llm.sharding import op4_sharding
 from quirelight.llm.simhash import op2_simhash
+from quirelight.llm.syncmers import op9_syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +22,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_simhash": op2_simhash,
+        "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
         "op6_secrets": op6_secrets,
         "op7_chat": op7_chat,
+        "op8_quality": op8_quality,
+        "op9_syncmers": op9_syncmers,
     }
 
 
