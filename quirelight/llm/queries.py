@@ -14,6 +14,7 @@ from quirelight.llm.secrets import op6_secrets
 from quirelight.llm.sharding import op4_sharding
 from quirelight.llm.simhash import op2_simhash
 from quirelight.llm.syncmers import op9_syncmers
+from quirelight.llm.vectors import op10_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op7_chat": op7_chat,
         "op8_quality": op8_quality,
         "op9_syncmers": op9_syncmers,
+        "op10_vectors": op10_vectors,
     }
 
 
