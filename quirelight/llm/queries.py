@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelight.llm.chat import op7_chat
+from quirelight.llm.lm import op5_lm
 from quirelight.llm.mixing import OP1_SQL, op1_mixing
 from quirelight.llm.packing import op3_packing
 from quirelight.llm.quality import op8_quality
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
+        "op5_lm": op5_lm,
         "op6_secrets": op6_secrets,
         "op7_chat": op7_chat,
         "op8_quality": op8_quality,
