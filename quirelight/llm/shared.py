@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -12,6 +14,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_root: dict[str, str] = {}
+_notes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noted(tables: list[DataFrame]) -> Iterator[None]:
+    """Tables that :func:`save` writes meanwhile are added to the list."""
+    _notes.append(tables)
+    try:
+        yield
+    finally:
+        _notes.pop()
 
 
 def root(spark: SparkSession) -> str:
@@ -41,6 +54,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._quirelight_path = path
+    for tables in _notes:
+        tables.append(out)
     return out
 
 
