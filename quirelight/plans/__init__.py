@@ -1,5 +1,6 @@
 """Query plans over the driver's tables."""
 
+from quirelight.plans import catalogue2  # noqa: F401  adds to the catalogue
 from quirelight.plans.catalogue import QUERIES, SQL
 
 

@@ -10,9 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.functions import languages as lang
 from quirelight.functions import text as tx
-from quirelight.operators import books, chapters, glossary, jobs, render, validate
+from quirelight.operators import books, chapters, render
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
