@@ -23,7 +23,7 @@ TITLE_START = (
     rf"第\s*[{TITLE_NUMERALS}]+\s*[章节節回卷部篇話话]|chapter\s+\d+|ch\.?\s*\d+|part\s+\d+|prologue|epilogue|"
     r"前言|序章|序[章言]?|後記|后记|跋|楔子|終章|终章|尾聲|尾声|幕間|幕间|追加\s*SS|番外|特典|特別篇|特别篇"
 )
-TITLE_NEXT = " \t　:：—－–-·・|｜/／"
+TITLE_NEXT = " \t　" + chr(0xA0) + ":：—－–-·・|｜/／"
 TITLE_LONGEST = 80
 # Heading lines of plain text.
 TXT_HEADINGS = (
