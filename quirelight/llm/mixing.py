@@ -63,17 +63,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as :func:`mix` takes it."""
-    same = Window.partitionBy("doc_id", "__mark").orderBy(F.lit(0))
-    rows = docs.withColumn("__mark", F.xxhash64("text")).withColumn("__nth", F.row_number().over(same))
-    taken = mix(docs, **options)
-    same = Window.partitionBy("doc_id", "mark").orderBy("copies")
-    taken = taken.select(
-        F.col("doc_id").alias("__id"), "mark", "copies", F.row_number().over(same).alias("nth")
-    ).where("copies > 0")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("mark")) & (F.col("__nth") == F.col("nth"))
-    out = rows.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns)
+    """The rows of docs, each as often as :func:`mix` takes it. Of repeated rows (doc_id and text)
+    each has copies of its own."""
+    mark, nth, copies = "__ql_mark", "__ql_nth", "__ql_copies"
+    same = Window.partitionBy("doc_id", mark).orderBy(F.lit(0))
+    rows = docs.withColumn(mark, F.xxhash64("text")).withColumn(nth, F.row_number().over(same))
+    own = Window.partitionBy("doc_id", "mark").orderBy("copies")
+    taken = mix(docs, **options).select(
+        F.col("doc_id").alias("__ql_id"), F.col("mark").alias("__ql_of"), F.col("copies").alias(copies), F.row_number().over(own).alias("__ql_at")
+    )
+    on = F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.col(mark) == F.col("__ql_of")) & (F.col(nth) == F.col("__ql_at"))
+    out = rows.join(taken.where(F.col(copies) > 0), on)
+    return out.withColumn("__ql_copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

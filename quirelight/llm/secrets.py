@@ -95,9 +95,9 @@ def redact(docs: DataFrame, instead: str = "[SECRET]", most_owners: int = 2) ->
     """docs with what :func:`scan` finds replaced in text, and n_chars (where docs has it) as it
     is then. Overlapping spans are replaced together. All rows and columns stay."""
     hits = scan(docs, most_owners).where(F.size("spans") > 0)
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
-    hits = hits.dropDuplicates(["__id", "__mark"])
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark"))
+    hits = hits.select(F.col("doc_id").alias("__ql_id"), F.col("mark").alias("__ql_mark"), F.col("spans").alias("__ql_spans"))
+    hits = hits.dropDuplicates(["__ql_id", "__ql_mark"])
+    on = F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.xxhash64("text") == F.col("__ql_mark"))
     rows = docs.join(hits, on, "left")
     begin = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out"))
 
@@ -108,11 +108,11 @@ def redact(docs: DataFrame, instead: str = "[SECRET]", most_owners: int = 2) ->
         return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), out.alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring("text", (acc["pos"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", begin, step, rest))
+    text = F.when(F.col("__ql_spans").isNull(), F.col("text")).otherwise(F.aggregate("__ql_spans", begin, step, rest))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(length))
+        rows = rows.withColumn("n_chars", F.when(F.col("__ql_spans").isNull(), F.col("n_chars")).otherwise(length))
     return rows.select(*docs.columns)
 
 

@@ -12,6 +12,7 @@ from quirelight.llm.shared import ranked, save, table
 
 PRIME = (1 << 31) - 1
 ROUNDS = 6
+PLACE = "__ql_place"
 
 
 def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
@@ -60,23 +61,23 @@ def shards(rows: DataFrame, order: list[str], n_shards: int, seed: int = 1) -> D
     seeded Feistel network over 0 .. n-1 (walking on while a place lies beyond n); the place
     modulo n_shards is the shard, the quotient the slot. Shards differ by at most one row, slots
     have no gaps, and reruns agree. Equal rows may swap places; order should end in columns
-    that split ties. No rows give no rows."""
-    numbered = ranked(rows, order, "shards")
+    that split ties. Columns that are already named shard or slot are replaced. No rows give no rows."""
+    numbered = ranked(rows, order, "shards", PLACE)
     n = rows.count()
     keys = round_keys(seed)
-    out = numbered.withColumn("place", F.col("rank"))
+    out = numbered
     for i in range(walk_length(n, keys)):
-        go = F.lit(True) if i == 0 else F.col("place") >= n
+        go = F.lit(True) if i == 0 else F.col(PLACE) >= n
         out = _pass(out, n, keys, go)
-    shard, slot = F.pmod("place", F.lit(n_shards)).cast("int"), F.expr(f"place div {n_shards}").cast("long")
-    return out.withColumn("shard", shard).withColumn("slot", slot).drop("rank", "place")
+    shard, slot = F.pmod(PLACE, F.lit(n_shards)).cast("int"), F.expr(f"{PLACE} div {n_shards}").cast("long")
+    return out.withColumn("shard", shard).withColumn("slot", slot).drop(PLACE)
 
 
 def _pass(df: DataFrame, n: int, keys: list[tuple[int, int]], go: Column) -> DataFrame:
-    """place moved by one pass where go holds. Each round binds its halves in a lambda, so that
+    """The place moved by one pass where go holds. Each round binds its halves in a lambda, so that
     the expression grows with the rounds and does not double."""
     a, b = sides(n)
-    sql = f"named_struct('l', place div {b}L, 'r', place % {b}L)"
+    sql = f"named_struct('l', {PLACE} div {b}L, 'r', {PLACE} % {b}L)"
     for i, (k0, k1) in enumerate(keys):
         side = "l" if i % 2 else "r"
         t = f"((s.{side} + {k0}) % {PRIME})"
@@ -84,7 +85,7 @@ def _pass(df: DataFrame, n: int, keys: list[tuple[int, int]], go: Column) -> Dat
         moved = f"'l', s.l, 'r', (s.r + {f}) % {b}" if i % 2 else f"'l', (s.l + {f}) % {a}, 'r', s.r"
         sql = f"element_at(transform(array({sql}), s -> named_struct({moved})), 1)"
     sql = f"element_at(transform(array({sql}), s -> s.l * {b} + s.r), 1)"
-    return df.withColumn("place", F.when(go, F.expr(sql)).otherwise(F.col("place")).cast("long"))
+    return df.withColumn(PLACE, F.when(go, F.expr(sql)).otherwise(F.col(PLACE)).cast("long"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

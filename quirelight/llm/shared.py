@@ -75,25 +75,25 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """df with ``rank`` (long, from 0): its place in the order of keys, over all rows.
+def ranked(df: DataFrame, keys: list[str], name: str, rank: str = "rank") -> DataFrame:
+    """df with the column rank (long, from 0): its place in the order of keys, over all rows.
 
     Rows are dealt by range, numbered within their range, and moved on by the count of the
     ranges before. The ranges are written before they are counted, so both steps see the same
     ones. Equal rows may swap places. keys should end in a column that splits ties."""
-    part, at = "__part", "__at"
+    part, at, n, before_ = "__ql_part", "__ql_at", "__ql_n", "__ql_before"
     dealt = df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id())
     dealt = save(dealt, name)
-    counts = dealt.groupBy(part).count()
+    counts = dealt.groupBy(part).agg(F.count("*").alias(n))
     # One row for each range: as many as partitions, whatever the input.
-    before = F.sum("count").over(_window(None, [part]).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(part, F.coalesce(before, F.lit(0)).alias("__before"))
+    before = F.sum(n).over(_window(None, [part]).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(part, F.coalesce(before, F.lit(0)).alias(before_))
     row = F.row_number().over(_window([part], keys))
     return (
         dealt.withColumn(at, row)
         .join(F.broadcast(starts), part)
-        .withColumn("rank", (F.col(at) - 1 + F.col("__before")).cast("long"))
-        .drop(part, at, "__before")
+        .withColumn(rank, (F.col(at) - 1 + F.col(before_)).cast("long"))
+        .drop(part, at, n, before_)
     )
 
 
@@ -103,16 +103,16 @@ def ranked_in(df: DataFrame, group: list[str], order: list[str], name: str) -> D
     As :func:`ranked`: rows are dealt by range of (group, order), so that a large group lies in
     many ranges, and the ranges are written before they are counted. The group's columns must
     not be null."""
-    part = "__part"
+    part = "__ql_part"
     dealt = save(df.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()), name)
     # A row for each group and range in which it has rows: groups + ranges at most.
-    counts = dealt.groupBy(*group, part).agg(F.count("*").alias("__n"))
+    counts = dealt.groupBy(*group, part).agg(F.count("*").alias("__ql_n"))
     earlier = _window(group, [part]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*group, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    numbered = dealt.withColumn("__at", F.row_number().over(_window([*group, part], order)))
+    starts = counts.select(*group, part, F.coalesce(F.sum("__ql_n").over(earlier), F.lit(0)).alias("__ql_before"))
+    numbered = dealt.withColumn("__ql_at", F.row_number().over(_window([*group, part], order)))
     numbered = numbered.join(starts, [*group, part])
-    rank = (F.col("__at") - 1 + F.col("__before")).cast("long")
-    return numbered.withColumn("rank", rank).drop(part, "__at", "__before")
+    rank = (F.col("__ql_at") - 1 + F.col("__ql_before")).cast("long")
+    return numbered.withColumn("rank", rank).drop(part, "__ql_at", "__ql_before")
 
 
 def _window(by: list[str] | None, order: list[str]) -> WindowSpec:
