@@ -43,11 +43,15 @@ def _matches(pattern: str, group: int, kind: str) -> Column:
     return F.when(F.col("text").rlike(pattern), spans).otherwise(none)
 
 
+def _as_long(least: int):
+    return lambda x: F.length(x["value"]) >= least
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, source, mark (a hash of the text), base and more: spans with the
     secret's hash in place of the secret."""
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), text_of().alias("text"))
-    kept = [F.filter(_matches(p, g, kind), lambda x, n=n: F.length(x["value"]) >= n) for kind, p, g, n in BASE]
+    kept = [F.filter(_matches(p, g, kind), _as_long(n)) for kind, p, g, n in BASE]
     rows = rows.withColumn("base", F.array_sort(F.concat(*kept)))
     telling = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
     rows = rows.withColumn("more", F.filter(_matches(CANDIDATE, 0, "owned"), telling))
