@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that count as white space at the ends of a text.
@@ -74,30 +74,40 @@ def basename(path: Column) -> Column:
 def stem(path: Column) -> Column:
     """The base name without its last suffix. A leading or trailing dot is no suffix."""
     base = basename(path)
-    cut = F.regexp_extract(base, r"(?s)^(.+)\.[^.]+$", 1)
-    return F.when(cut != "", cut).otherwise(base)
+    return F.coalesce(F.nullif(F.regexp_extract(base, r"(?s)^(.+)\.[^.]+$", 1), F.lit("")), base)
 
 
 def is_technical(name: Column) -> Column:
     """Whether a text reads like a resource's name rather than a title; empty texts do."""
-    own = strip(stem(F.coalesce(name, F.lit(""))))
-    return (own == "") | own.rlike(rf"(?i)^(?:{TECHNICAL})$")
+    return strip(stem(F.coalesce(name, F.lit("")))).rlike(rf"(?i)^(?:{TECHNICAL})?$")
 
 
-def is_chapter_title(text: Column) -> Column:
-    own = strip(F.coalesce(text, F.lit("")))
-    start = F.regexp_extract(own, rf"(?iU)^(?:{TITLE_START})", 0)
+def _title_like(own: Column, technical: Column, start: Column) -> Column:
     after = F.substring(own, F.length(start) + 1, F.lit(1))
     follows = (after == "") | F.contains(F.lit(TITLE_NEXT), after)
-    return (own != "") & (F.length(own) <= TITLE_LONGEST) & ~is_technical(own) & (start != "") & follows
+    return (own != "") & (F.length(own) <= TITLE_LONGEST) & ~technical & (start != "") & follows
+
 
+def _title_start(own: Column) -> Column:
+    return F.regexp_extract(own, rf"(?iU)^(?:{TITLE_START})", 0)
 
-def block_title(kind: Column, level: Column, text: Column) -> Column:
-    """The chapter title that a block gives, or null."""
-    own, level = strip(F.coalesce(text, F.lit(""))), F.when(F.coalesce(level, F.lit(0)) == 0, 2).otherwise(level)
-    heading = (kind == "heading") & ((level <= 1) | is_chapter_title(own) | ((level == 2) & (F.length(own) <= 40)))
-    paragraph = (kind == "paragraph") & is_chapter_title(own)
-    return F.when((own != "") & ~is_technical(own) & (heading | paragraph), F.substring(own, 1, 200))
+
+def is_chapter_title(text: Column) -> Column:
+    own = strip(F.coalesce(text, F.lit("")))
+    return _title_like(own, is_technical(own), _title_start(own))
+
+
+def with_block_title(blocks: DataFrame, kind: str, level: str, text: str, name: str) -> DataFrame:
+    """Adds the chapter title that a block gives, or null. Each regular expression has a column of
+    its own on the way, so that it runs once for a row."""
+    own, technical, start, like = (F.col(f"__{x}") for x in ("own", "technical", "start", "like"))
+    rows = blocks.withColumn("__own", strip(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("__technical", is_technical(own)).withColumn("__start", _title_start(own))
+    rows = rows.withColumn("__like", _title_like(own, technical, start))
+    depth = F.when(F.coalesce(F.col(level), F.lit(0)) == 0, 2).otherwise(F.col(level))
+    heading = (F.col(kind) == "heading") & ((depth <= 1) | like | ((depth == 2) & (F.length(own) <= 40)))
+    titled = (own != "") & ~technical & (heading | ((F.col(kind) == "paragraph") & like))
+    return rows.withColumn(name, F.when(titled, F.substring(own, 1, 200))).drop("__own", "__technical", "__start", "__like")
 
 
 def is_txt_heading(line: Column) -> Column:

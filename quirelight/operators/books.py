@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelight.functions.text import block_title, is_technical, is_txt_heading, lines, strip, tokens
+from quirelight.functions.text import is_technical, is_txt_heading, lines, strip, tokens, with_block_title
 
 SHORT = 40
 
@@ -81,8 +81,7 @@ def detect_chapters(blocks: DataFrame, labels: DataFrame | None = None, book: st
     Headings and title-like paragraphs begin chapters, as do blocks that a label of the contents
     names; what comes before the first belongs to it. A book without any is one chapter, titled
     by its first label that is no resource's name, else Untitled."""
-    own = block_title(F.col("type"), F.col("level"), F.col("text"))
-    rows = blocks.withColumn("title", own)
+    rows = with_block_title(blocks, "type", "level", "text", "title")
     if labels is not None:
         named = matched_label(blocks.select(book, "idx", "text"), labels, book).select(book, "idx", "label")
         label = F.when(~is_technical(F.col("label")), F.col("label"))

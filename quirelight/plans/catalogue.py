@@ -246,7 +246,7 @@ def chapter_title_predicate(spark, d):
   WHEN kind = 'heading' AND (coalesce(level, 2) <= 1 OR is_title OR (coalesce(level, 2) = 2 AND length(own) <= 40)) THEN own
   WHEN kind = 'paragraph' AND is_title THEN own END AS title FROM titled""")
 def block_titles(spark, d):
-    return titles(spark).select("id", tx.block_title(F.col("kind"), F.col("level"), F.col("text")).alias("title"))
+    return tx.with_block_title(titles(spark), "kind", "level", "text", "title").select("id", "title")
 
 
 @query(f"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), {WS}) AS own FROM pages),
