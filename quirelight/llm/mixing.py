@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelight.llm.shared import WORD, ranked, ranked_in, save, table, text_of
@@ -11,6 +11,8 @@ from quirelight.llm.shared import WORD, ranked, ranked_in, save, table, text_of
 ONE = 1 << 24
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
+#: Offsets tried for a source, evenly spaced from a random one.
+OFFSETS = 16
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -41,8 +43,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     Each row of a source expects target / source_size copies. Rows stand by size, doc_id and
     text within their source; expected copies are summed up along that order, one offset for
     each source is added, and a row is taken once for each whole number that its interval
-    crosses. Along the sizes' order the words taken miss the target by a few of the longest rows
-    at most. A null text has size 0; a null source is a source of its own, last in order; a
+    crosses. The offset is that of OFFSETS evenly spaced ones, from a random one on, whose words
+    come nearest the target. Along the sizes' order these miss it by less than the longest row. A null text has size 0; a null source is a source of its own, last in order; a
     source without words has target 0. Reruns give the same rows. Repeated rows are rows of
     their own."""
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))  # null last
@@ -54,9 +56,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "key")), 1, 6), 16, 10).cast("long")
     goals = goals.withColumn("expected", F.floor(ratio * ONE + 0.5).cast("long")).withColumn("offset", offset)
     numbered = ranked_in(rows, ["key"], ["size", "doc_id", "mark"], "mix-dealt").join(goals, "key")
-    upto = (F.col("rank") + 1) * F.col("expected") + F.col("offset")
-    crossed = F.floor(upto / F.lit(ONE)) - F.floor((upto - F.col("expected")) / F.lit(ONE))
-    numbered = numbered.withColumn("copies", crossed.cast("long"))
+
+    def crossed(offset: Column) -> Column:
+        upto = (F.col("rank") + 1) * F.col("expected") + offset
+        return F.shiftright(upto, 24) - F.shiftright(upto - F.col("expected"), 24)
+
+    tried = [(F.col("offset") + i * (ONE // OFFSETS)) % ONE for i in range(OFFSETS)]
+    sums = numbered.groupBy("key").agg(*(F.sum(crossed(o) * F.col("size")).alias(f"t{i}") for i, o in enumerate(tried)))
+    misses = [F.struct(F.abs(F.col(f"t{i}") - F.col("target")), F.lit(i), o.alias("offset")) for i, o in enumerate(tried)]
+    chosen = sums.join(goals, "key").select("key", F.array_min(F.array(*misses))["offset"].alias("chosen"))
+    numbered = numbered.join(chosen, "key").withColumn("copies", crossed(F.col("chosen")))
     return numbered.select(
         "doc_id", "mark", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
@@ -104,11 +113,16 @@ goals AS (
          ('0x' || substr(md5('{SEED}' || key), 1, 6))::BIGINT AS shift
   FROM sources, water),
 steps AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target,
+  SELECT s.key, s.doc_id, s.size, g.source_size, g.target, g.shift,
          CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size * {ONE} + 0.5)::BIGINT ELSE 0 END AS e,
-         row_number() OVER (PARTITION BY s.key ORDER BY s.size, s.doc_id) AS nth, g.shift
-  FROM sized s JOIN goals g USING (key))
+         row_number() OVER (PARTITION BY s.key ORDER BY s.size, s.doc_id) AS nth
+  FROM sized s JOIN goals g USING (key)),
+tried AS (
+  SELECT key, j, o, abs(sum((((nth * e + o) >> 24) - (((nth - 1) * e + o) >> 24)) * size) - any_value(target)) AS miss
+  FROM (SELECT *, (shift + j * {ONE // OFFSETS}) % {ONE} AS o FROM steps, (SELECT unnest(range({OFFSETS})) AS j))
+  GROUP BY key, j, o),
+chosen AS (SELECT key, o FROM tried QUALIFY row_number() OVER (PARTITION BY key ORDER BY miss, j) = 1)
 SELECT doc_id, size, source_size, target::DOUBLE AS target,
-       (((nth * e + shift) >> 24) - (((nth - 1) * e + shift) >> 24)) * size AS taken
-FROM steps
+       (((nth * e + o) >> 24) - (((nth - 1) * e + o) >> 24)) * size AS taken
+FROM steps JOIN chosen USING (key)
 """
