@@ -133,3 +133,36 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{k}") for k, *_ in BASE),
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
     )
+
+
+def _pieces_sql(kind: str, pattern: str, group: int, least: int) -> str:
+    cut = "'(?s)(.*?)(?:(" + pattern.replace("'", "''") + r")|\z)'"
+    each = lambda g: f"unnest(regexp_extract_all(text, {cut}, {g}))"
+    return (
+        f"SELECT rid, {RANK[kind]} AS kind, {least} AS least, {each(1)} AS gap, {each(2)} AS found, {each(2 + group)} AS secret, "
+        f"unnest(range(len(regexp_extract_all(text, {cut}, 1)))) AS n FROM t"
+    )
+
+
+OP6_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS text FROM documents),
+pieces AS ({" UNION ALL ".join(_pieces_sql(*b) for b in (*BASE, ("owned", CANDIDATE, 0, 0)))}),
+placed AS (
+  SELECT *, (sum(length(gap) + length(found)) OVER (PARTITION BY rid, kind ORDER BY n))::BIGINT AS e FROM pieces),
+spans AS (SELECT rid, kind, e - length(found) AS s, e, secret FROM placed WHERE found <> '' AND length(secret) >= least),
+base AS (SELECT * FROM spans WHERE kind < {RANK["owned"]}),
+more AS (
+  SELECT * FROM spans m WHERE kind = {RANK["owned"]} AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.s < m.e AND m.s < b.e)),
+held AS (
+  SELECT secret, count(DISTINCT source) AS owners FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN t USING (rid) GROUP BY secret),
+kept AS (
+  SELECT rid, kind, s, ({list(RANK)})[kind + 1] || ':' || s || ':' || e AS listed
+  FROM (SELECT * FROM base UNION ALL SELECT m.* FROM more m JOIN held USING (secret) WHERE owners <= 2)),
+found AS (
+  SELECT rid, string_agg(listed, ',' ORDER BY s, kind) AS spans,
+    string_agg(CASE WHEN kind < {RANK["owned"]} THEN listed END, ',' ORDER BY s, kind) AS base, {", ".join(f"count(CASE WHEN kind = {RANK[k]} THEN 1 END) AS n_{k}" for k, *_ in BASE)}
+  FROM kept GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN found USING (rid)
+"""
