@@ -12,7 +12,7 @@ from quirelight.llm.mixing import OP1_SQL, op1_mixing
 from quirelight.llm.packing import op3_packing
 from quirelight.llm.quality import op8_quality
 from quirelight.llm.secrets import OP6_SQL, op6_secrets
-from quirelight.llm.sharding import op4_sharding
+from quirelight.llm.sharding import OP4_SQL, op4_sharding
 from quirelight.llm.simhash import op2_simhash
 from quirelight.llm.syncmers import op9_syncmers
 from quirelight.llm.vectors import op10_vectors
@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op6_secrets": OP6_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_sharding": OP4_SQL, "op6_secrets": OP6_SQL}

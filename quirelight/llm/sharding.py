@@ -99,3 +99,35 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def _pass_sql(source: str, place: str) -> str:
+    """One pass over source's place, as nested selects: a level for each round."""
+    out = f"SELECT doc_id, size, crc, a, b, n, {place} // b AS l, {place} % b AS r FROM {source}"
+    for i, (k0, k1) in enumerate(round_keys(1)):
+        t = f"(({'l' if i % 2 else 'r'} + {k0}) % {PRIME})"
+        f = f"((({t} * {t}) % {PRIME} * {k1} + {t}) % {PRIME})"
+        moved = f"l, (r + {f}) % b AS r" if i % 2 else f"(l + {f}) % a AS l, r"
+        out = f"SELECT doc_id, size, crc, a, b, n, {moved} FROM ({out})"
+    return f"SELECT doc_id, size, crc, a, b, n, l * b + r AS place FROM ({out})"
+
+
+#: CRC-32 by its table, which is made by its rule.
+OP4_SQL = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, y: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END)) AS t),
+digits AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM digits),
+sized AS (
+  SELECT doc_id, len(b) + 8 AS size,
+    xor({0xFFFFFFFF}, list_reduce(list_prepend({0xFFFFFFFF}, b), lambda c, x: xor(c >> 8, crc_table.t[(xor(c, x) & 255) + 1]))) AS crc
+  FROM bytes, crc_table),
+counted AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM documents),
+ranked AS (
+  SELECT doc_id, size, crc, n, a, (n + a - 1) // a AS b, row_number() OVER (ORDER BY doc_id, size, crc) - 1 AS number FROM sized, counted),
+walk AS ({_pass_sql("ranked", "number")} UNION ALL {_pass_sql("(SELECT * FROM walk WHERE place >= n)", "place")})
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (place % 24)::INT AS shard, (place // 24)::BIGINT AS slot,
+  NULL::INT AS grown_shard
+FROM walk WHERE place < n
+"""

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quirelight.llm import chat, lm, mixing, packing, quality, secrets, sharding, simhash, syncmers, vectors
+from quirelight.llm import chat, lm, mixing, packing, quality, queries, secrets, sharding, simhash, syncmers, vectors
 from quirelight.llm.components import components
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,13 +61,14 @@ def test_components(spark):
 # ---- 1
 
 
-def test_mixing_matches_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, sf, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{os.path.join(sf, 'documents.parquet')}')")
-    cursor = con.execute(mixing.OP1_SQL)
+    cursor = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
-    theirs = sorted(tuple(r[names.index(n)] for n in sorted(names)) for r in cursor.fetchall())
-    mine = sorted(tuple(r[n] for n in sorted(names)) for r in rows(mixing.op1_mixing(spark, sf)))
+    theirs = sorted(repr([r[names.index(n)] for n in sorted(names)]) for r in cursor.fetchall())
+    mine = sorted(repr([r[n] for n in sorted(names)]) for r in rows(queries.queries()[name](spark, sf)))
     assert mine == theirs
 
 
