@@ -136,3 +136,35 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("target").cast("long").alias("loss_chars"), F.sha2(F.col("target").cast("binary"), 256).alias("loss_sha256"),
         F.col("formatted_chars").cast("long").alias("formatted_chars"),
     )
+
+
+_ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
+#: Lengths alone tell how long the windows are: a line is marks, role, line end and text.
+OP7_SQL = f"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS t, (length(text) + 3) // 4 + 4 AS tokens,
+    {len(FRESH) + 1 + len(END)} + length(replace({_ESCAPED.format("role")}, chr(10), '{LINE}')) + length({_ESCAPED.format("text")}) AS line FROM said),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY t) AS upto FROM turns),
+convs AS (
+  SELECT conv_id, line AS head, lower(role) = 'system' AS system, greatest(1, {1024 - 256} - CASE WHEN lower(role) = 'system' THEN tokens ELSE 0 END) AS room
+  FROM summed WHERE t = 0),
+walk AS (
+  SELECT conv_id, t, 0::BIGINT AS first, 0::HUGEINT AS base FROM summed WHERE t = 0
+  UNION ALL
+  SELECT w.conv_id, s.t, CASE WHEN s.upto - w.base > c.room AND s.t > w.first THEN s.t ELSE w.first END,
+    CASE WHEN s.upto - w.base > c.room AND s.t > w.first THEN s.upto - s.tokens ELSE w.base END
+  FROM walk w JOIN summed s ON s.conv_id = w.conv_id AND s.t = w.t + 1 JOIN convs c ON c.conv_id = w.conv_id),
+starts AS (SELECT DISTINCT conv_id, first, base FROM walk WHERE first > 0),
+again AS (
+  SELECT x.conv_id, sum(s.line) AS n FROM starts x JOIN convs c ON c.conv_id = x.conv_id JOIN summed s ON s.conv_id = x.conv_id
+    AND s.t < x.first AND (s.t >= CASE WHEN c.system THEN 1 ELSE 0 END AND s.upto - s.tokens >= x.base - 256 OR c.system AND s.t = 0)
+  GROUP BY x.conv_id)
+SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(s.role || chr(10) || s.text || chr(10), '' ORDER BY s.t)) AS turns_sha256,
+  sum(CASE WHEN lower(s.role) = 'assistant' THEN length(s.text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN lower(s.role) = 'assistant' THEN s.text END, '' ORDER BY s.t), '')) AS loss_sha256,
+  (sum(s.line) + coalesce(any_value(a.n), 0))::BIGINT AS formatted_chars
+FROM summed s LEFT JOIN again a ON a.conv_id = s.conv_id GROUP BY s.conv_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.llm.chat import op7_chat
+from quirelight.llm.chat import OP7_SQL, op7_chat
 from quirelight.llm.lm import op5_lm
 from quirelight.llm.mixing import OP1_SQL, op1_mixing
 from quirelight.llm.packing import op3_packing
@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_sharding": OP4_SQL, "op6_secrets": OP6_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_sharding": OP4_SQL, "op6_secrets": OP6_SQL, "op7_chat": OP7_SQL}
