@@ -22,26 +22,36 @@ BLOCK = 2048
 FAN = 16
 
 
-def fingerprint(text: bytes, n: int = 4) -> int:
-    """The 64-bit SimHash of the text's n-word shingles; without words, zero."""
+def shingle_hashes(text: bytes, n: int = 4) -> np.ndarray:
+    """The hashes of the text's n-word shingles in their order; none without words."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(1, len(words) - n + 1)
     stops = ends[-last:].tolist()
     digest = xxhash.xxh64_intdigest
-    each = [digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), stops, strict=True)]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), stops, strict=True)], "<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingles' hashes; of none, zero."""
+    if not len(hashes):
+        return 0
     total = np.zeros(BITS, np.int64)
-    hashes = np.array(each, "<u8")
-    for i in range(0, last, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         rows = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > last, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, n: int = 4) -> int:
+    """The 64-bit SimHash of the text's n-word shingles; without words, zero."""
+    return fingerprint_of(shingle_hashes(text, n))
 
 
 def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
