@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,17 +15,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_root: dict[str, str] = {}
-_notes: list[list[DataFrame]] = []
+_notes = threading.local()
 
 
 @contextmanager
 def noted(tables: list[DataFrame]) -> Iterator[None]:
-    """Tables that :func:`save` writes meanwhile are added to the list."""
-    _notes.append(tables)
+    """Tables that :func:`save` writes meanwhile, in this thread, are added to the list."""
+    held = _notes.__dict__.setdefault("held", [])
+    held.append(tables)
     try:
         yield
     finally:
-        _notes.pop()
+        held.pop()
 
 
 def root(spark: SparkSession) -> str:
@@ -54,7 +56,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._quirelight_path = path
-    for tables in _notes:
+    for tables in _notes.__dict__.get("held", []):
         tables.append(out)
     return out
 

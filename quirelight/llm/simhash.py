@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm.components import components
+from quirelight.llm.components import components, joined_up
 from quirelight.llm.shared import save, table
 
 BITS = 64
@@ -115,22 +114,6 @@ class GrayIndex:
             yield q[keep], node[keep]
 
 
-def joined_up(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n positions the smallest one that the pairs connect it with."""
-    label = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = label[i], label[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label[label] != label).any():
-                label = label[label]
-    return label
-
-
 def _links_of(codes: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest that connects what the pairs within radius connect."""
     index = GrayIndex(codes)
@@ -219,16 +202,19 @@ def near_duplicates(docs: DataFrame, radius: int = 4, n: int = 4) -> DataFrame:
     shingle. A null or empty text has fingerprint zero and is linked like any other. Equal
     fingerprints, and those that differ in at most radius bits, are linked; component_id is the
     smallest doc_id reachable. Repeated rows come back repeated; a null doc_id gets its
-    fingerprint's component. An empty table gives an empty result."""
+    fingerprint's component, which is null where no row of the component has a doc_id. An empty
+    table gives an empty result."""
     codes = save(fingerprints(docs, n), "sh-codes")
-    # The id of a code: the smallest doc_id that has it.
-    named = save(codes.groupBy("code").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id")), "sh-named")
-    parts = components(code_links(named, radius))
-    of_code = named.join(parts, F.col("id") == F.col("node"), "left")
-    of_code = of_code.select("code", F.coalesce("component", "id").alias("component_id"))
-    out = codes.join(of_code, "code")
+    # A code is its own number: it is there whether its rows have a doc_id or not.
+    named = save(codes.groupBy("code").agg(F.min("doc_id").alias("first")), "sh-named")
+    parts = components(code_links(named.select(F.col("code").alias("id"), "code"), radius))
+    part = F.coalesce("component", "code").alias("part")
+    of_code = save(named.join(parts, F.col("code") == F.col("node"), "left").select("code", "first", part), "sh-parts")
+    smallest = of_code.groupBy("part").agg(F.min("first").alias("component_id"))
+    out = codes.join(of_code.select("code", "part").join(smallest, "part"), "code")
     return out.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' SimHash fingerprints and the components of those within 4 bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm.components import components
+from quirelight.llm.components import components, joined_up
 from quirelight.llm.shared import save, table
-from quirelight.llm.simhash import joined_up
 
 #: Vectors that the codebooks are fitted on, at most (about: rows are taken by a hash).
 SAMPLE = 16_384
