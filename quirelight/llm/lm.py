@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +15,26 @@ from quirelight.llm.shared import save, table, text_of
 
 #: Tokens that a worker gathers before it writes a block of documents.
 BLOCK_TOKENS = 1_000_000
-#: Tokens that are scored at once.
-SLICE_TOKENS = 250_000
-#: Bigrams that the training text holds fewer times are left to the unigrams.
-LEAST = 2
-#: Counts are kept as levels: level q stands for the count STEP ** q (rounded down to a level).
-STEP = 1.25
-#: Bits for each level of each bigram, probes, and the filter's greatest size.
-BITS_PER_ENTRY, PROBES, MAX_BYTES = 12, 4, 256 << 20
-#: Weight of the bigram estimate.
-WEIGHT = 0.2
+#: Tokens that are scored at once, and tokens for each shard of the n-grams' hashes.
+SLICE_TOKENS, SHARD_TOKENS = 250_000, 500_000
+#: Counts are kept as levels: level q stands for q up to EXACT, then for steps of STEP.
+EXACT, STEP = 8, 1.25
+#: Bits of the filter for each level of each n-gram, probes for each, bits of an n-gram's hash.
+BITS_PER_ENTRY, PROBES, KEY_BITS = 20, 10, 56
+#: Weight of the bigram estimate: of steps of 0.1 the one that gives held-out text the most on sf0.1.
+WEIGHT = 0.4
 END = b"\x00</s>"  # no word: words hold no byte 0 next to a space, and it is hashed with its own seed
 
+#: The least count of each level; a count beyond the last one (some 10**13) is that level's.
+LEAST = np.unique(np.concatenate([np.arange(1, EXACT + 1), np.ceil(EXACT * STEP ** np.arange(1, 125))]).astype(np.int64))
+#: What a level is read back as; 0 for none: of a wide level the middle.
+READ = np.concatenate([[0.0], np.where(LEAST < EXACT, LEAST, np.sqrt(LEAST * (np.append(LEAST[1:], LEAST[-1] * STEP) - 1.0)))])
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """The level that holds each count; 0 for none."""
+    return np.searchsorted(LEAST, counts, side="right")
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
@@ -34,8 +42,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """48-bit hashes of word pairs from the words' 64-bit hashes."""
-    return _mix(a * np.uint64(0x9E3779B97F4A7C15) + _mix(b)) >> np.uint64(16)
+    """KEY_BITS-bit hashes of word pairs from the words' 64-bit hashes."""
+    return _mix(a * np.uint64(0x9E3779B97F4A7C15) + _mix(b)) >> np.uint64(64 - KEY_BITS)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -59,15 +67,17 @@ def _sorted_unpack(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
 
 
-BLOCKS = "block string, ids binary, lengths binary, tokens binary, hashes binary"
-SHARDS = "block string, shard int, a binary, b binary"
+TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+BLOCKS = "block long, n long, ids array<long>, lengths binary, tokens binary, hashes binary"
+PARTS = "block long, shard int, words binary, word_counts binary, pairs binary, pair_counts binary"
+COUNTS = "block long, shard int, counts binary, word_levels binary, pair_levels binary, sums array<long>"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _out(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k] for k in kinds]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
+    return pa.record_batch([pa.array(c, TYPES[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -78,19 +88,18 @@ def encode(docs: DataFrame) -> DataFrame:
     digest = xxhash.xxh64_intdigest
     end_hash = xxhash.xxh64_intdigest(END, 1)
 
-    def block(ids: list[int], lengths: list[int], flat: list[np.ndarray], vocabulary: dict[bytes, int]) -> tuple:
+    def block(name: int, ids: list[int | None], lengths: list[int], flat: list[np.ndarray], vocabulary: dict[bytes, int]) -> tuple:
         hashes = np.fromiter((*map(digest, vocabulary), end_hash), np.uint64, len(vocabulary) + 1)
         order = np.argsort(hashes)
         rank = np.empty(len(order), "<u4")
         rank[order] = np.arange(len(order), dtype="<u4")
         tokens = np.concatenate(flat)
         tokens[np.cumsum(lengths) - 1] = len(vocabulary)
-        packed = np.array(ids, "<i8").tobytes(), _pack(np.array(lengths, "<u4")), _pack(rank[tokens]), _sorted_pack(hashes[order])
-        return uuid.uuid4().hex, *packed
+        return name, len(tokens), ids, _pack(np.array(lengths, "<u4")), _pack(rank[tokens]), _sorted_pack(hashes[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths, flat, vocabulary, size = [], [], [], {}, 0
-        place = vocabulary.setdefault
+        place, name = vocabulary.setdefault, TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
                 words = t.as_py().lower().split()
@@ -101,64 +110,56 @@ def encode(docs: DataFrame) -> DataFrame:
                 flat.append(own)
                 size += len(own)
                 if size >= BLOCK_TOKENS:
-                    yield _out([block(ids, lengths, flat, vocabulary)], BLOCKS)
+                    yield _out([block(name, ids, lengths, flat, vocabulary)], BLOCKS)
                     ids, lengths, flat, vocabulary, size = [], [], [], {}, 0
-                    place = vocabulary.setdefault
+                    place, name = vocabulary.setdefault, name + 1
         if ids:
-            yield _out([block(ids, lengths, flat, vocabulary)], BLOCKS)
-
-    # A null doc_id can't be told from another; it counts as -1.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text_of().cast("binary"))
-    return rows.mapInArrow(run, BLOCKS)
+            yield _out([block(name, ids, lengths, flat, vocabulary)], BLOCKS)
 
+    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary")).mapInArrow(run, BLOCKS)
 
-def _trains(ids: np.ndarray, folds: int) -> np.ndarray:
-    """Training documents: those whose crc32(doc_id as text) modulo folds is not 0."""
-    return np.array([zlib.crc32(str(i).encode()) % folds != 0 for i in ids.tolist()], bool)
 
+def _trains(ids: list[int | None], folds: int) -> np.ndarray:
+    """Training documents: those whose crc32(doc_id as text) modulo folds is not 0. A null doc_id
+    has no text, whose crc32 is 0."""
+    return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds != 0 for i in ids], bool)
 
-def _by_block(blocks: DataFrame, each, schema: str) -> DataFrame:
-    """each(block, ids, lengths, tokens, hashes) for each block: rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(len(batch)):
-                name, ids, lengths, tokens, hashes = (c[r].as_py() for c in batch.columns)
-                parts = np.frombuffer(ids, "<i8"), _unpack(lengths, "<u4").astype(np.int64), _unpack(tokens, "<u4"), _sorted_unpack(hashes)
-                yield _out(list(each(name, *parts)), schema)
 
-    return blocks.mapInArrow(run, schema)
+def _pairs(lengths: np.ndarray, tokens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of tokens that have one before them in their document, hashes of the two)."""
+    inner = np.ones(len(tokens), bool)
+    inner[np.cumsum(lengths) - lengths] = False
+    at = np.flatnonzero(inner)
+    return at, pair_hash(hashes[tokens[at - 1]], hashes[tokens[at]])
 
 
-def _in_shards(name: str, keys: np.ndarray, counts: np.ndarray, bits: int, shards: int) -> Iterator[tuple]:
+def _edges(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard begins, and the end, in sorted keys: shards are equal ranges of hashes."""
     width = (1 << bits) // shards + 1
-    edges = np.searchsorted(keys, np.array([i * width for i in range(shards)], np.uint64))
-    for s, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
-        if hi > lo:
-            yield name, s, _sorted_pack(keys[lo:hi]), _pack(counts[lo:hi].astype("<u4"))
+    return np.append(np.searchsorted(keys, np.array([i * width for i in range(shards)], np.uint64)), len(keys))
 
 
-def word_parts(blocks: DataFrame, shards: int, folds: int) -> DataFrame:
-    """SHARDS: each block's words by shards of their hashes: hashes, counts in its training documents."""
+def parts(blocks: DataFrame, shards: int, folds: int) -> DataFrame:
+    """PARTS: each block's different words and bigrams by shards of their hashes, with their counts in
+    its training documents. There is no row without n-grams, so rows are no more than n-grams."""
 
-    def each(name, ids, lengths, tokens, hashes) -> Iterator[tuple]:
-        trained = np.repeat(_trains(ids, folds), lengths)
-        yield from _in_shards(name, hashes, np.bincount(tokens[trained], minlength=len(hashes)), 64, shards)
-
-    return _by_block(blocks, each, SHARDS)
-
-
-def pair_parts(blocks: DataFrame, shards: int, folds: int) -> DataFrame:
-    """SHARDS: each block's bigrams in training documents by shards of their hashes: hashes, counts."""
-
-    def each(name, ids, lengths, tokens, hashes) -> Iterator[tuple]:
-        inner = np.repeat(_trains(ids, folds), lengths)
-        inner[np.cumsum(lengths) - lengths] = False  # a document's first token ends no bigram
-        at = np.flatnonzero(inner)
-        keys, counts = np.unique(pair_hash(hashes[tokens[at - 1]], hashes[tokens[at]]), return_counts=True)
-        yield from _in_shards(name, keys, counts, 48, shards)
-
-    return _by_block(blocks, each, SHARDS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths, tokens, words = _unpack(row["lengths"], "<u4").astype(np.int64), _unpack(row["tokens"], "<u4"), _sorted_unpack(row["hashes"])
+                trained = np.repeat(_trains(row["ids"], folds), lengths)
+                word_counts = np.bincount(tokens[trained], minlength=len(words)).astype("<u4")
+                at, keys = _pairs(lengths, tokens, words)
+                pairs, inverse = np.unique(keys, return_inverse=True)
+                pair_counts = np.bincount(inverse, trained[at], len(pairs)).astype("<u4")
+                w, p, out = _edges(words, 64, shards), _edges(pairs, KEY_BITS, shards), []
+                for s in range(shards):
+                    own, two = slice(w[s], w[s + 1]), slice(p[s], p[s + 1])
+                    if own.start < own.stop or two.start < two.stop:
+                        out.append((row["block"], s, _sorted_pack(words[own]), _pack(word_counts[own]), _sorted_pack(pairs[two]), _pack(pair_counts[two])))
+                yield _out(out, PARTS)
+
+    return blocks.mapInArrow(run, PARTS)
 
 
 def _by_key(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
@@ -180,151 +181,123 @@ def _by_key(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
     return rows.repartition(keys[0]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def word_counts(words: DataFrame) -> DataFrame:
-    """SHARDS: the whole corpus's counts of each block's words; the shard's training tokens and
-    different words."""
-
-    def each(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        hashes = [_sorted_unpack(r["a"]) for r in rows]
-        sizes = [len(h) for h in hashes]
-        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([_unpack(r["b"], "<u4") for r in rows])).astype("<u8")
-        sums = np.array([counts.sum(), (counts > 0).sum()], "<i8").tobytes()
-        parts = np.split(counts[at], np.cumsum(sizes)[:-1])
-        yield _out([(r["block"], r["shard"], _pack(p), sums) for r, p in zip(rows, parts, strict=True)], SHARDS)
-
-    return _by_key(words, ["shard", "block"], each, SHARDS)
-
-
-def pair_counts(pairs: DataFrame) -> DataFrame:
-    """The training text's bigrams with LEAST counts or more: (shard, a: hashes, b: levels, n: levels
-    in all)."""
-
-    def each(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        keys, at = np.unique(np.concatenate([_sorted_unpack(r["a"]) for r in rows]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([_unpack(r["b"], "<u4") for r in rows]))
-        keys, n = keys[n >= LEAST], n[n >= LEAST]
-        levels = np.maximum(1, np.floor(np.log(n) / np.log(STEP) + 1e-9)).astype("<u1")
-        yield _out([(rows[0]["shard"], _sorted_pack(keys), _pack(levels), int(levels.sum()))], "shard int, a binary, b binary, n long")
-
-    return _by_key(pairs, ["shard"], each, "shard int, a binary, b binary, n long")
-
-
-def _probes(pairs: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Places of a pair at a level in a segment of so many bits."""
-    h = _mix(pairs * np.uint64(0xC2B2AE3D27D4EB4F) + np.asarray(level).astype(np.uint64))
-    step = _mix(h + np.uint64(0x165667B19E3779F9)) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((h + np.uint64(i) * step) >> np.uint64(8)) % np.asarray(bits).astype(np.uint64)
-
-
 class LogFrequencyFilter:
-    """A Bloom filter in segments, one for each shard of the bigrams' hashes. A bigram of level q
-    is entered as levels 1 to q; the level read back is the last before a miss. It is never too
-    low; it is too high with the small chance of a Bloom filter's false positive."""
-
-    def __init__(self, segments: dict[int, tuple[int, bytes]], shards: int):
-        self.width = (1 << 48) // shards + 1
-        sizes = np.ones(shards, np.int64)
-        for s, (bits, _) in segments.items():
-            sizes[s] = bits
-        self.sizes, self.starts = sizes, np.concatenate(([0], np.cumsum((sizes + 7) // 8)))
-        self.bytes = np.zeros(self.starts[-1], np.uint8)
-        for s, (_, data) in segments.items():
-            self.bytes[self.starts[s] : self.starts[s] + len(data)] = np.frombuffer(data, np.uint8)
-
-    def levels(self, pairs: np.ndarray) -> np.ndarray:
-        """The quantised count's level of each pair, 0 where it is unknown."""
-        out, left, level = np.zeros(len(pairs), np.int64), np.arange(len(pairs)), 0
-        while len(left):
-            level += 1
-            asked = pairs[left]
-            shard = (asked // np.uint64(self.width)).astype(np.int64)
-            start, here = self.starts[shard] * 8, np.ones(len(left), bool)
-            for place in _probes(asked, level, self.sizes[shard]):
-                at = start + place.astype(np.int64)
-                here &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    """A Bloom filter of n-grams with quantised counts. One of level q is entered as levels 1 to q;
+    the level read back is the last before a miss. It is never too low; it is too high with the
+    small chance of a Bloom filter's false positive, which is the same at every size: bits grow
+    with the entries."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.top = int(levels.max(initial=0))
+        self.bits = max(64, int(levels.sum()) * BITS_PER_ENTRY)
+        self.data = np.zeros((self.bits + 7) // 8, np.uint8)
+        for level in range(1, self.top + 1):
+            for at in self._probes(keys[levels >= level], level):
+                np.bitwise_or.at(self.data, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    def _probes(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        h = _mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(level))
+        step = _mix(h + np.uint64(0x165667B19E3779F9)) | np.uint64(1)
+        for i in range(PROBES):
+            yield (((h + np.uint64(i) * step) >> np.uint64(8)) % np.uint64(self.bits)).astype(np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each n-gram's count, 0 where it is unknown."""
+        out, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+        for level in range(1, self.top + 1):
+            here = np.ones(len(left), bool)
+            for at in self._probes(keys[left], level):
+                here &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             left = left[here]
+            if not len(left):
+                break
             out[left] = level
         return out
 
 
-def build_filter(pairs: DataFrame, shards: int) -> LogFrequencyFilter:
-    """Each shard's segment is made where its bigrams are; the driver joins them. The whole is at
-    most MAX_BYTES: beyond, entries get fewer bits each, and none is left out."""
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    per = min(BITS_PER_ENTRY, MAX_BYTES * 8 / max(total, 1))
+#: Words are entered as pairs with this; no word has the hash.
+ALONE = np.array([0x5851F42D4C957F2D], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, levels = _sorted_unpack(row["a"]), _unpack(row["b"], "<u1").astype(np.int64)
-                bits = max(64, int(row["n"] * per))
-                data = np.zeros((bits + 7) // 8, np.uint8)
-                for level in range(1, int(levels.max(initial=0)) + 1):
-                    for at in _probes(keys[levels >= level], level, bits):
-                        np.bitwise_or.at(data, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-                yield pa.record_batch([pa.array([row["shard"]], pa.int32()), pa.array([bits]), pa.array([data.tobytes()])], ["shard", "bits", "data"])
 
-    made = pairs.mapInArrow(run, "shard int, bits long, data binary").toLocalIterator()
-    return LogFrequencyFilter({r["shard"]: (r["bits"], bytes(r["data"])) for r in made}, shards)
+def counted(rows: DataFrame) -> DataFrame:
+    """COUNTS: for each row of PARTS the corpus's exact counts of its words, and the levels that its
+    shard's filter gives for its words and bigrams; the shard's training tokens and different
+    words. A shard's filter is made and probed where its n-grams are, so it may grow with the
+    input, and nothing is sent around but what a block asks for."""
 
+    def each(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        def merged(keys: str, counts: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+            own = [_sorted_unpack(r[keys]) for r in held]
+            every, at = np.unique(np.concatenate(own), return_inverse=True)
+            total = np.bincount(at, np.concatenate([_unpack(r[counts], "<u4") for r in held]), len(every))
+            return own, every, at, total.astype(np.int64)
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        words, every, at, n = merged("words", "word_counts")
+        pairs, both, _, m = merged("pairs", "pair_counts")
+        made = LogFrequencyFilter(np.concatenate([pair_hash(every[n > 0], ALONE), both[m > 0]]), level_of(np.concatenate([n[n > 0], m[m > 0]])))
+        sums, start = [int(n.sum()), int((n > 0).sum())], 0
+        for r, w, p in zip(held, words, pairs, strict=True):
+            exact, start = n[at[start : start + len(w)]], start + len(w)
+            yield _out([(r["block"], r["shard"], _pack(exact.astype("<u8")), _pack(made.levels(pair_hash(w, ALONE))), _pack(made.levels(p)), sums)], COUNTS)
+
+    return _by_key(rows, ["shard", "block"], each, COUNTS)
 
 
 def scored(docs: DataFrame, folds: int = 10, weight: float = WEIGHT) -> DataFrame:
     """docs with doc_id and text. Returns SCORES for each row.
 
-    Counts come from the training documents of all docs: those of words are exact, are merged by
-    shards of the words' hashes and go back to the blocks of documents that hold the words; those
-    of bigrams go, quantised, into a log-frequency Bloom filter that is broadcast. score sums
-    log10((1 - weight) * u + weight * b) over tokens, where u is the smoothed share that base_score
-    takes, and b the bigram's quantised count over its first word's count (1 at most); a
-    document's first token, and one behind a word counted less than LEAST times, has u alone. A null or empty text is
-    its end token. A null doc_id counts as -1. Repeated rows are documents of their own."""
-    # From the footers: about 2,000 documents a shard, so that shards grow no larger with the input.
-    shards = 1 << max(6, (docs.count() // 2000).bit_length())
+    Counts come from the training documents of all docs, none left out. base_score sums
+    log10((c + 0.1) / (N + 0.1 * (V + 1))) over exact counts c of words. score reads quantised
+    counts of words and bigrams from a log-frequency Bloom filter by repeated probes: it sums
+    log10((1 - weight) * u + weight * b), where u is the same share with the quantised count, and b
+    the bigram's quantised count over its first word's (1 at most); a document's first token, and one behind
+    a word that the filter doesn't know, has u alone. A null or empty text is its end token. A null
+    doc_id stays null and is held out. Repeated rows are documents of their own; an empty table
+    gives no rows.
+
+    The filter is cut by ranges of the n-grams' hashes into shards of about SHARD_TOKENS training
+    tokens: as many as the input calls for, each as large at every size."""
     blocks = save(encode(docs), "lm-blocks")
-    counts = save(word_counts(word_parts(blocks, shards, folds)), "lm-counts")
-    sums = counts.select("shard", "b").dropDuplicates(["shard"]).select(F.hex("b").alias("b"))
-    sums = np.array([np.frombuffer(bytes.fromhex(r["b"]), "<i8") for r in sums.toLocalIterator()]).reshape(-1, 2)
-    n, v = (int(x) for x in sums.sum(axis=0))
-    pairs = save(pair_counts(pair_parts(blocks, shards, folds)), "lm-pairs")
-    model = docs.sparkSession.sparkContext.broadcast(build_filter(pairs, shards))
+    tokens = blocks.agg(F.sum("n")).first()[0] or 0
+    shards = max(8, -(-tokens // SHARD_TOKENS))
+    counts = save(counted(parts(blocks, shards, folds)), "lm-counts")
+    each_shard = counts.groupBy("shard").agg(F.first("sums").alias("s")).select(F.col("s")[0].alias("n"), F.col("s")[1].alias("v"))
+    n, v = (x or 0 for x in each_shard.agg(F.sum("n"), F.sum("v")).first())
     names = [x.split()[0] for x in SCORES.split(", ")]
-
-    def scores(ids, lengths, tokens, hashes, known) -> pa.RecordBatch:
-        share = (known + 0.1) / (n + 0.1 * (v + 1))
-        starts, c, p = np.cumsum(lengths) - lengths, known[tokens], share[tokens]
-        base = np.add.reduceat(np.log10(p), starts)
-        before = np.concatenate(([0], c[:-1]))
-        before[starts] = 0
-        at = np.flatnonzero((before >= LEAST) & (c >= LEAST))
-        level = model.value.levels(pair_hash(hashes[tokens[at - 1]], hashes[tokens[at]]))
-        p[before >= LEAST] *= 1 - weight
-        p[at] += weight * np.where(level > 0, np.minimum(STEP**level, before[at]) / before[at], 0.0)
-        score = np.add.reduceat(np.log10(p), starts)
-        seen = np.add.reduceat((c > 0).astype(np.int64), starts)
-        columns = [ids, ~_trains(ids, folds), lengths, seen, np.full(len(ids), n), base, score]
-        return pa.record_batch([pa.array(x) for x in columns], names)
+    total = n + 0.1 * (v + 1)
 
     def each(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        own, *parts = rows
-        known = np.concatenate([_unpack(r["a"], "<u8") for r in parts]).astype(np.int64)
-        ids, lengths = np.frombuffer(own["a"], "<i8"), _unpack(own["b"], "<u4").astype(np.int64)
-        tokens, hashes = _unpack(own["c"], "<u4"), _sorted_unpack(own["d"])
-        ends = np.cumsum(lengths)
-        group = (ends - lengths) // SLICE_TOKENS
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(ids)]
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            yield scores(ids[s:e], lengths[s:e], tokens[ends[s] - lengths[s] : ends[e - 1]], hashes, known)
-
-    whole = blocks.select("block", F.lit(-1).alias("shard"), F.col("ids").alias("a"), F.col("lengths").alias("b"), F.col("tokens").alias("c"), F.col("hashes").alias("d"))
-    none = F.lit(None).cast("binary")
-    parts = counts.select("block", "shard", "a", none.alias("b"), none.alias("c"), none.alias("d"))
-    return _by_key(whole.unionByName(parts), ["block", "shard"], each, SCORES)
+        own, *held = rows
+        known, word_level, pair_level = (np.concatenate([_unpack(r[c], d) for r in held]) for c, d in (("counts", "<u8"), ("word_levels", "<u1"), ("pair_levels", "<u1")))
+        lengths, tokens, hashes = _unpack(own["lengths"], "<u4").astype(np.int64), _unpack(own["tokens"], "<u4"), _sorted_unpack(own["hashes"])
+        at, keys = _pairs(lengths, tokens, hashes)
+        level = np.zeros(len(tokens), np.uint8)  # of the bigram that ends here
+        level[at] = pair_level[np.unique(keys, return_inverse=True)[1]]
+        inner = np.zeros(len(tokens), bool)
+        inner[at] = True
+        del at, keys
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        seen, base, score = np.zeros(len(lengths), np.int64), np.zeros(len(lengths)), np.zeros(len(lengths))
+        for s in range(0, len(tokens), SLICE_TOKENS):
+            q = slice(s, s + SLICE_TOKENS)
+            here, c = doc[q] - doc[s], known[tokens[q]]
+            u = (READ[word_level[tokens[q]]] + 0.1) / total
+            before = READ[word_level[tokens[np.maximum(np.arange(s, s + len(c)) - 1, 0)]]] * inner[q]
+            b = np.minimum(READ[level[q]] / np.maximum(before, 1.0), 1.0) * (c > 0)
+            p = np.where(before > 0, (1 - weight) * u + weight * b, u)
+            to = slice(doc[s], doc[s] + here[-1] + 1)
+            seen[to] += np.bincount(here, c > 0).astype(np.int64)
+            base[to] += np.bincount(here, np.log10((c + 0.1) / total))
+            score[to] += np.bincount(here, np.log10(p))
+        columns = [pa.array(own["ids"], pa.int64()), ~_trains(own["ids"], folds), lengths, seen, np.full(len(lengths), n), base, score]
+        yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+    none = {c: F.lit(None).cast("binary").alias(c) for c in ("lengths", "tokens", "hashes", "counts", "word_levels", "pair_levels")}
+    whole = blocks.select("block", F.lit(-1).alias("shard"), "ids", "lengths", "tokens", "hashes", none["counts"], none["word_levels"], none["pair_levels"])
+    asked = counts.select("block", "shard", F.lit(None).cast("array<long>").alias("ids"), none["lengths"], none["tokens"], none["hashes"], "counts", "word_levels", "pair_levels")
+    return _by_key(whole.unionByName(asked), ["block", "shard"], each, SCORES)
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' scores by the model of the training documents."""
     return scored(table(spark, sf_dir, "documents"))
