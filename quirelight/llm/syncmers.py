@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,7 @@ from quirelight.llm.shared import save, table, text_of
 #: Bytes of an inner substring, and how many of them a k-mer has.
 INNER, SPAN = 8, 33
 K = INNER + SPAN - 1
-#: Anchors that a fingerprint keeps: those of the smallest hashes.
-KEPT = 40
-#: Positions that differ by less than this, beside the common shift, match.
+#: Shifts of two anchors next to each other that differ by no more than this go on alike.
 SLACK = 32
 
 
@@ -31,11 +29,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes uint32, byte positions) of the closed syncmers: k-mers of K bytes whose smallest
     inner substring (by hash) is the first or the last. Whether a k-mer is one depends on its
-    own bytes alone. A text under K bytes is one anchor, an empty text has none."""
+    own bytes alone. A text in which none is one, as any under K bytes, is one anchor; an empty
+    text has none."""
     n = len(data)
+    whole = np.array([int.from_bytes(hashlib.sha256(data).digest()[:4], "big")] if n else [], np.uint32), np.zeros(min(n, 1), np.int64)
     if n < K:
-        whole = int.from_bytes(hashlib.sha256(data).digest()[:4], "big")
-        return np.array([whole] if n else [], np.uint32), np.zeros(min(n, 1), np.int64)
+        return whole
     inner = _mixed(np.ndarray(n - INNER + 1, "<u8", data, 0, (1,)))
     rank = (inner >> np.uint64(32)).astype(np.uint32)
     low, width = rank, 1
@@ -45,35 +44,46 @@ def syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         width += step
     m = len(low)
     at = np.flatnonzero((low == rank[:m]) | (low == rank[SPAN - 1 : SPAN - 1 + m]))
+    if not len(at):
+        return whole
     code = inner[at]
     for shift in range(INNER, SPAN, INNER):
         code = _mixed(code + inner[at + shift])
     return (code >> np.uint64(32)).astype(np.uint32), at
 
 
-def fingerprint(data: bytes, kept: int = KEPT) -> np.ndarray:
-    """Rows (hash, position) of the kept smallest hashes, by hash; of equal ones the first."""
-    hashes, at = syncmers(data)
-    hashes, first = np.unique(hashes, return_index=True)
-    return np.column_stack([hashes[:kept], at[first[:kept]].astype(np.uint32)]).astype(">u4")
+def fingerprint(data: bytes) -> np.ndarray:
+    """Rows (hash, position) of all anchors, by position."""
+    return np.column_stack(syncmers(data)).astype(">u4")
 
 
-def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """0 to 1: about the share of the two texts' anchors that match in content and, up to one
-    common shift, in place. Of the kept smallest hashes of both together, those in both are
-    candidates; they count if they lie at the commonest shift. Two texts without anchors are
-    alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    union = np.union1d(a[:, 0], b[:, 0])[:kept]
-    both, i, j = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
-    fits = np.isin(both, union)
-    if not fits.any():
-        return 0.0
-    shift = np.sort(a[i[fits], 1].astype(np.int64) - b[j[fits], 1].astype(np.int64))
-    near = np.searchsorted(shift, shift + SLACK, side="left") - np.arange(len(shift))
-    jaccard = near.max() / len(union)
-    return 2 * jaccard / (1 + jaccard)
+def _numbered(anchors: np.ndarray) -> np.ndarray:
+    """A key for each anchor: its hash, and how many of that hash stand before it."""
+    order = np.argsort(anchors[:, 0], kind="stable")
+    hashes = anchors[order, 0].astype(np.uint64)
+    first = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+    nth = np.arange(len(hashes)) - np.maximum.accumulate(np.where(first, np.arange(len(hashes)), 0))
+    out = np.empty(len(hashes), np.uint64)
+    out[order] = hashes << np.uint64(32) | nth.astype(np.uint64)
+    return out
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """0 to 1: the share of the two fingerprints' anchors that match in content and place.
+
+    The nth anchor of a hash meets the nth of the same hash. Going through a, a meeting counts if
+    the one before or behind it has the same shift of position, up to SLACK: text that was moved,
+    or that stands between insertions, goes on to match, and a stray hash doesn't. Where a
+    fingerprint has one anchor, meeting it is enough. Two empty texts are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    _, i, j = np.intersect1d(_numbered(a), _numbered(b), assume_unique=True, return_indices=True)
+    order = np.argsort(i)
+    shift = a[i[order], 1].astype(np.int64) - b[j[order], 1].astype(np.int64)
+    if min(len(a), len(b)) > 1 and len(shift):
+        goes_on = np.abs(np.diff(shift)) <= SLACK
+        shift = shift[np.append(goes_on, False) | np.append(False, goes_on)]
+    return 2 * len(shift) / (len(a) + len(b))
 
 
 def edited(text: str, following: str) -> str:
@@ -82,16 +92,29 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _compared(doc_id: int, text: str, following: str) -> tuple:
+def digest(anchors: np.ndarray) -> str:
+    """32 hex digits that stand for a whole fingerprint; empty for none."""
+    return hashlib.sha256(anchors.tobytes()).hexdigest()[:32] if len(anchors) else ""
+
+
+def whole(anchors: np.ndarray) -> str:
+    """All anchors as hex digits: hash and position in turn, eight digits each."""
+    return anchors.tobytes().hex()
+
+
+Shown = Callable[[np.ndarray], str]
+
+
+def _compared(doc_id: int, text: str, following: str, shown: Shown) -> tuple:
     other = edited(text, following)
     own, new, nxt = (fingerprint(t.encode()) for t in (text, other, following))
     sha = hashlib.sha256(other.encode()).hexdigest()
-    return doc_id, len(text), sha, own.tobytes(), new.tobytes(), likeness(own, new), likeness(own, nxt)
+    return doc_id, len(text), sha, shown(own), shown(new), likeness(own, new), likeness(own, nxt)
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -99,11 +122,12 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+def neighbours(docs: DataFrame, shown: Shown = whole) -> DataFrame:
     """docs with doc_id and text. Returns NAMES for each row: the text's fingerprint, that of
     its edited text (see :func:`edited`) and its likeness to both that one and the next
-    document's, in ascending order of doc_id (after the last: the first; ties by text; null ids
-    first). Null texts are empty. Repeated rows are each other's next; a single row is its own.
+    document's, in ascending order of doc_id (after the last: the first; ties by a hash of the
+    text; null ids first). Null texts are empty. Repeated rows are each other's next; a single row
+    is its own. shown makes a fingerprint's column, of all its anchors.
 
     Whole texts are dealt once, by range of doc_id; within a range a row meets the next one. The
     first and last rows of the ranges, two for each, are joined afterwards."""
@@ -117,14 +141,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 if last is None:
                     out.append((part, True, text, doc_id, *none))
                 else:
-                    out.append((part, None, None, *_compared(*last, text)))
+                    out.append((part, None, None, *_compared(*last, text, shown)))
                 last = doc_id, text
             yield _batch(out, names, types)
         if last is not None:
             yield _batch([(part, False, last[1], last[0], *none)], names, types)
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    dealt = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     done = save(dealt.mapInArrow(run, f"part int, head boolean, text string, {SCHEMA}"), "syncmers")
     ends = done.where("head is not null")
     heads = ends.where("head").select("part", F.col("text").alias("following"))
@@ -136,12 +161,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch([_compared(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)], NAMES, TYPES)
+            yield _batch([_compared(*r, shown) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)], NAMES, TYPES)
 
-    out = done.where("head is null").select(*NAMES).unionByName(pairs.mapInArrow(meet, SCHEMA))
-    # Bytes until here: half of what their digits would take in the written table.
-    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+    return done.where("head is null").select(*NAMES).unionByName(pairs.mapInArrow(meet, SCHEMA))
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(table(spark, sf_dir, "documents"))
+    """All documents' fingerprints, as digests of all their anchors, and likenesses."""
+    return neighbours(table(spark, sf_dir, "documents"), digest)
