@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heappop, heappush
 from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelight.llm.components import components, joined_up
 from quirelight.llm.shared import save, table
 
-#: Vectors that the codebooks are fitted on, at most (about: rows are taken by a hash).
-SAMPLE = 16_384
-#: Vectors of a cell in one task; a larger cell is dealt to blocks of this size.
-BLOCK = 2048
-#: Mean vectors of a cell that the codebooks' size aims at.
-FILL = 24
+#: Vectors that the codebooks are fitted on, and asked ones that recall is measured with, at most
+#: (about: rows are taken by a hash).
+SAMPLE, ASKED = 16_384, 512
+#: Vectors of a cell, as members or as those who ask, in one task; larger cells are dealt to pairs of blocks.
+BLOCK = 512
+#: Mean vectors of a cell that the codebooks' size aims at; most centroids of a half.
+FILL, MOST = 24, 2048
 
 
 def codebook(points: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -28,7 +30,7 @@ def codebook(points: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.n
     rng = np.random.default_rng(seed)
     centres = points[rng.choice(len(points), min(k, len(points)), replace=False)].copy()
     for _ in range(rounds):
-        near = _apart(points, centres).argmin(axis=1)
+        near = np.concatenate([_apart(points[s : s + 2048], centres).argmin(axis=1) for s in range(0, len(points), 2048)])
         for c in range(len(centres)):
             own = points[near == c]
             if len(own):
@@ -59,14 +61,13 @@ def traversal(first: np.ndarray, second: np.ndarray, most: int) -> list[tuple[in
 
 class MultiIndex:
     """Codebooks of the two halves of unit vectors; a cell is a pair of their centroids. visited:
-    the cells that a traversal goes through, twice as many as the sample's links need for the
-    recall aimed at."""
+    the cells that a traversal goes through."""
 
-    def __init__(self, sample: np.ndarray, k: int, cosine: float, recall: float):
-        self.half = sample.shape[1] // 2
+    def __init__(self, sample: np.ndarray, k: int):
+        self.half = max(1, sample.shape[1] // 2)
         self.books = codebook(sample[:, : self.half], k), codebook(sample[:, self.half :], k)
         self.width = len(self.books[1])
-        self.visited = 2 * self._needed(sample, cosine, recall)
+        self.visited = 1
 
     def apart(self, x: np.ndarray) -> list[np.ndarray]:
         halves = x[:, : self.half], x[:, self.half :]
@@ -75,31 +76,62 @@ class MultiIndex:
     def cells(self, apart: list[np.ndarray]) -> np.ndarray:
         return apart[0].argmin(axis=1) * self.width + apart[1].argmin(axis=1)
 
-    def _needed(self, sample: np.ndarray, cosine: float, recall: float, asked: int = 2048) -> int:
-        """Cells after which the recall share of links, by brute force between some sample
-        vectors and all, have been met from one side at least."""
-        ranks = []
-        for s in range(0, min(asked, len(sample)), 256):
-            i, j = np.nonzero(sample[s : min(s + 256, asked)] @ sample.T >= cosine)
-            i, j = (i + s)[:4096], j[:4096]
-            for t in range(0, len(i), 256):
-                sides = []
-                for x, y in ((i, j), (j, i)):
-                    x, y = x[t : t + 256], y[t : t + 256]
-                    first, second = self.apart(sample[x])
-                    sums = (first[:, :, None] + second[:, None, :]).reshape(len(x), -1)
-                    mine = sums[np.arange(len(x)), self.cells(self.apart(sample[y]))]
-                    sides.append((sums < mine[:, None]).sum(axis=1))
-                ranks.append(np.minimum(*sides)[i[t : t + 256] != j[t : t + 256]])
-        ranks = np.concatenate([np.full(1, 3), *ranks])
-        return int(np.quantile(ranks, recall)) + 1
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells a traversal from each vector goes through before the given one."""
+        out = np.zeros(len(x), np.int64)
+        for s in range(0, len(x), 256):
+            first, second = self.apart(x[s : s + 256])
+            at = np.arange(len(first)), cells[s : s + 256]
+            mine = first[at[0], at[1] // self.width] + second[at[0], at[1] % self.width]
+            second = np.sort(second, axis=1)
+            out[s : s + 256] = [np.searchsorted(b, m - a).sum() for a, b, m in zip(first, second, mine, strict=True)]
+        return out
 
     def visits(self, x: np.ndarray) -> Iterator[tuple[int, list[int]]]:
         """For each unit vector its own cell and the cells visited, its own among them."""
-        apart = self.apart(x)
-        for r, cell in enumerate(self.cells(apart).tolist()):
-            each = [i * self.width + j for i, j in traversal(apart[0][r], apart[1][r], self.visited)]
-            yield cell, each if cell in each else [cell, *each]
+        for s in range(0, len(x), 1024):
+            apart = self.apart(x[s : s + 1024])
+            for r, cell in enumerate(self.cells(apart).tolist()):
+                each = [i * self.width + j for i, j in traversal(apart[0][r], apart[1][r], self.visited)]
+                yield cell, each if cell in each else [cell, *each]
+
+
+def needed(reps: DataFrame, index: MultiIndex, cosine: float, recall: float) -> int:
+    """The cells to visit for the recall, measured: the links of some ASKED vectors with all
+    vectors are found by brute force, in tasks, and with each the cells that either side goes
+    through to meet the other. Each asked vector that has links weighs the same, so one large
+    group doesn't decide. Without links it is a floor that grows with the grid."""
+    n = reps.count()
+    chance = F.pmod(F.xxhash64("id", F.lit("asked")), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, ASKED / max(n, 1))) + 1)
+    some = reps.where(chance).select("id", "v").toArrow()
+    floor = 4 + index.width // 16
+    if not len(some):
+        return floor
+    ids, asked = some["id"].to_numpy(), np.array(some["v"].combine_chunks().flatten()).reshape(len(some), -1)
+    cells = index.cells(index.apart(asked))
+    shared = reps.sparkSession.sparkContext.broadcast((index, ids, asked, cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids, asked, cells = shared.value
+        for batch in batches:
+            other, v = batch.column(0).to_numpy(), np.array(batch.column(1).flatten()).reshape(len(batch), -1)
+            for s in range(0, len(other), 2048):
+                x = v[s : s + 2048]
+                i, j = np.nonzero(_linked(asked, x, cosine) & (ids[:, None] != other[s : s + 2048][None]))
+                near, at = np.unique(j, return_inverse=True)
+                own = index.cells(index.apart(x[near])) if len(near) else np.zeros(0, np.int64)
+                rank = np.minimum(index.ranks(asked[i], own[at]), index.ranks(x[j], cells[i]))
+                pairs, n = np.unique(np.column_stack([i, rank]), axis=0, return_counts=True)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["asked", "rank", "n"])
+
+    # A row for each asked vector and rank: ASKED times the cells at most, far fewer where the grid fits.
+    met = reps.select("id", "v").mapInArrow(run, "asked long, rank long, n long").groupBy("rank", "asked").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("asked"))
+    by_rank = met.withColumn("w", share).groupBy("rank").agg(F.sum("w").alias("w")).orderBy("rank").toArrow()
+    if not len(by_rank):
+        return floor
+    upto = np.cumsum(by_rank["w"].to_numpy())
+    return max(floor, int(by_rank["rank"].to_numpy()[np.searchsorted(upto, recall * upto[-1] - 1e-9)]) + 1)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
@@ -156,15 +188,17 @@ def _met(asking: Rows, members: Rows, cosine: float) -> pa.RecordBatch:
 
 
 def link_table(reps: DataFrame, cosine: float, recall: float, fill: int = FILL, block: int = BLOCK) -> DataFrame:
-    """reps: (id long, many long, v array<double>: unit vectors, different ones). Returns (a, b, n):
-    rows with b are links of a forest, rows with n add up to a's linked copies."""
+    """reps: (id long, many long, v array<double>: unit vectors, different ones of one length).
+    Returns (a, b, n): rows with b are links of a forest, rows with n add up to a's linked copies."""
     spark, n = reps.sparkSession, reps.count()
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE / max(n, 1))) + 1)
     sample = reps.where(chance).select("v").toArrow()["v"].to_pylist() or [r["v"] for r in reps.select("v").limit(64).collect()]
     if not sample:
         return spark.createDataFrame([], "a long, b long, n long")
-    k = max(1, min(1024, round(sqrt(n / fill))))
-    index = spark.sparkContext.broadcast(MultiIndex(np.array(sample), k, cosine, recall))
+    made = MultiIndex(np.array(sample), max(1, min(MOST, round(sqrt(n / fill)))))
+    # Twice what the asked vectors' links need.
+    made.visited = 2 * needed(reps, made, cosine, recall)
+    index = spark.sparkContext.broadcast(made)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,75 +209,81 @@ def link_table(reps: DataFrame, cosine: float, recall: float, fill: int = FILL,
             yield pa.record_batch([ids, many, v, pa.array(list(own), pa.int32()), lists], ["id", "many", "v", "own", "cells"])
 
     routed = save(reps.mapInArrow(route, "id long, many long, v array<double>, own int, cells array<int>"), "imi-routed")
-    large = routed.groupBy("own").count().where(F.col("count") > block)
-    # A row for each large cell: count / block at most.
-    large = F.broadcast(large.select(F.col("own").alias("cell"), F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    each = routed.select("id", "many", "v", "own", "cells", F.explode("cells").alias("cell")).join(large, "cell", "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    home = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    is_own = F.col("own") == F.col("cell")
-    each = each.withColumn("home", F.when(is_own, home)).withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    each = each.withColumn("member", F.coalesce(F.col("home") == F.col("part"), F.lit(False)))
-    each = each.select("cell", "part", "member", "id", "many", "own", "cells", "v")
+    each = routed.select("id", "many", "v", "own", "cells", F.explode("cells").alias("cell"))
+    # Members and those who ask, whichever are more, in blocks. A row for each large cell: visits / block at most.
+    large = each.groupBy("cell").agg(F.count("*").alias("asking")).where(F.col("asking") > block)
+    large = large.select("cell", F.ceil(F.col("asking") / block).cast("int").alias("blocks"))
+    each = each.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    each = each.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # A task meets one block of members with one of those who ask; a member asks too.
+    turns = F.sequence(F.lit(0), F.col("blocks") - 1)
+    asks = each.withColumn("part", F.explode(turns)).withColumn("by", F.col("block")).withColumn("member", F.lit(False))
+    holds = each.where("own = cell").withColumn("by", F.explode(turns)).withColumn("part", F.col("block")).withColumn("member", F.lit(True))
+    names = ["cell", "part", "by", "member", "id", "many", "own", "cells", "v"]
+    each = asks.select(*names).unionByName(holds.select(*names))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, block_rows = None, [], None
-
+        key, members, whole = None, [], None
         for batch in batches:
-            cell, part, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            new = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (member[1:] != member[:-1])) + 1
-            edges = [0, *new.tolist(), len(cell)] if len(cell) else [0]
+            if not len(batch):
+                continue
+            cell, part, by, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            new = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (by[1:] != by[:-1]) | (member[1:] != member[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(cell)]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if key != (cell[s], part[s]):
-                    if members:
-                        yield _met(_joined(members), _joined(members), cosine)
-                    key, members, block_rows = (cell[s], part[s]), [], None
+                if key != (cell[s], part[s], by[s]):
+                    key, members, whole = (cell[s], part[s], by[s]), [], None
                 if member[s]:
                     members.append(_rows(batch.slice(s, e - s)))
-                elif members or block_rows is not None:
-                    if block_rows is None:
-                        block_rows, members = _joined(members), []
-                        yield _met(block_rows, block_rows, cosine)
-                    yield _met(_rows(batch.slice(s, e - s)), block_rows, cosine)
-        if members:
-            yield _met(_joined(members), _joined(members), cosine)
+                elif members:
+                    whole = whole or _joined(members)
+                    yield _met(_rows(batch.slice(s, e - s)), whole, cosine)
 
     # A block's members come first; those who ask stream past them.
-    order = ["cell", "part", F.col("member").desc()]
-    dealt = each.repartition("cell", "part").sortWithinPartitions(*order)
+    keys = ["cell", "part", "by"]
+    dealt = each.repartition(*keys).sortWithinPartitions(*keys, F.col("member").desc())
     return save(dealt.mapInArrow(verify, "a long, b long, n long"), "imi-links")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.995) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999) -> DataFrame:
     """vectors: vec_id, embedding array<float or double>; further columns don't matter. Returns
     vec_id, n_links (other vectors with that cosine or more), component_id (smallest vec_id
     reachable), kept (vec_id = component_id) for each row.
 
-    Equal vectors are linked and searched for once. A vector is compared with those of the cells
-    nearest to it, twice as many as give the recall on a sample compared by brute force; a pair
-    is found if either side visits the other's cell. A vector that is null, zero, or
-    holds null or non-finite components, and one of another length than most, links with
-    nothing: n_links 0, and itself as component. Repeated rows are vectors of their own."""
+    Equal vectors are linked, whatever their length, and searched for once. Vectors are compared
+    with others of their length: with those of the cells nearest to them, twice as many as give
+    the recall as measured by brute force between some vectors and all; a pair is found if either
+    side visits the other's cell. A vector that is null, empty, zero, or holds null or non-finite
+    components links with nothing: n_links 0, and itself as component. Repeated rows are vectors of
+    their own. A row without vec_id is a vector like any other, but gives no component its name;
+    a component without any vec_id has none, and its rows are kept."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", v.alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite) & (norm > 0)
-    sizes = rows.where(good).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    usable = F.coalesce(good & (F.size("v") == (sizes["d"] if sizes else 0)), F.lit(False))
-    units = rows.where(usable).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"))
-    unit = F.transform("v", lambda x: x / norm)
-    units = save(units.select("v", "id", "many", unit.alias("u")).where(F.col("id").isNotNull()), "imi-reps")
-    links = link_table(units.select("id", "many", F.col("u").alias("v")), cosine, recall)
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)
+    largest = F.aggregate("v", F.lit(0.0), lambda acc, x: F.greatest(acc, F.abs(x)))
+    usable = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite) & (largest > 0), F.lit(False))
+    units = rows.where(usable).groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("many"))
+    # Squares of very large or small components leave the range of doubles; those are scaled first.
+    scale = F.when(square("v").between(1e-200, 1e200), 1.0).otherwise(largest)
+    scaled = units.select("v", "first", "many", F.transform("v", lambda x: x / scale).alias("u"))
+    unit = F.transform("u", lambda x: x / F.sqrt(square("u")))
+    # Numbered as it is written, so every later step reads the same numbers.
+    units = save(scaled.select(F.monotonically_increasing_id().alias("id"), "v", "first", "many", unit.alias("u")), "imi-reps")
+    lengths = [r["d"] for r in units.select(F.size("v").alias("d")).distinct().orderBy("d").toLocalIterator()]
+    links = [link_table(units.where(F.size("v") == d).select("id", "many", F.col("u").alias("v")), cosine, recall) for d in lengths]
+    links = reduce(DataFrame.unionByName, links, rows.sparkSession.createDataFrame([], "a long, b long, n long"))
     parts = components(links.where("b is not null").select("a", "b"))
     counts = links.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
     reps = units.join(parts, F.col("id") == F.col("node"), "left").join(counts, F.col("id") == F.col("a"), "left")
-    reps = reps.select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
-    out = rows.where(usable).join(reps, "v").select("vec_id", "n", "c")
+    reps = reps.select("v", "first", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "id").alias("part"))
+    smallest = reps.groupBy("part").agg(F.min("first").alias("c"))
+    out = rows.where(usable).join(reps.join(smallest, "part").select("v", "n", "c"), "v").select("vec_id", "n", "c")
     out = out.unionByName(rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("c")))
-    kept = F.coalesce(F.col("vec_id") == F.col("c"), F.lit(True))
+    kept = F.col("vec_id").eqNullSafe(F.col("c"))
     return out.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), kept.alias("kept"))
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings' links at cosine 0.9 and their components."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
