@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight.llm.shared import WORD, ranked, ranked_in, save, table, text_of
@@ -11,8 +11,8 @@ from quirelight.llm.shared import WORD, ranked, ranked_in, save, table, text_of
 ONE = 1 << 24
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
-#: Offsets tried for a source, evenly spaced from a random one.
-OFFSETS = 16
+#: Sources up to which their targets are sent to every task.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -36,57 +36,49 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
     return all_of.select("key", "source_size", F.least("full", F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs with doc_id, source, text. Returns for each row doc_id, mark (a hash of the text),
-    source, size (its words), source_size, target (its source's), copies, taken (words).
+    source, size (its words), source_size, target (its source's), copies, taken (words), and the
+    columns named in keep.
 
     Each row of a source expects target / source_size copies. Rows stand by size, doc_id and
-    text within their source; expected copies are summed up along that order, one offset for
-    each source is added, and a row is taken once for each whole number that its interval
-    crosses. The offset is that of OFFSETS evenly spaced ones, from a random one on, whose words
-    come nearest the target. Along the sizes' order these miss it by less than the longest row. A null text has size 0; a null source is a source of its own, last in order; a
-    source without words has target 0. Reruns give the same rows. Repeated rows are rows of
-    their own."""
+    text within their source; expected copies are summed up along that order, one random offset
+    for each source is added, and a row is taken once for each whole number that its interval
+    crosses. Along the sizes' order that misses the target by less than the longest row. A null
+    text has size 0; a null source is a source of its own, last in order; a source without words
+    has target 0. Reruns give the same rows. Repeated rows are rows of their own; an empty table
+    gives no rows."""
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))  # null last
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "source", key.alias("key"), size.alias("size"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "source", key.alias("key"), size.alias("size"), *keep)
     rows = save(rows, "mix-sizes")
     goals = targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "key")), 1, 6), 16, 10).cast("long")
-    goals = goals.withColumn("expected", F.floor(ratio * ONE + 0.5).cast("long")).withColumn("offset", offset)
-    numbered = ranked_in(rows, ["key"], ["size", "doc_id", "mark"], "mix-dealt").join(goals, "key")
-
-    def crossed(offset: Column) -> Column:
-        upto = (F.col("rank") + 1) * F.col("expected") + offset
-        return F.shiftright(upto, 24) - F.shiftright(upto - F.col("expected"), 24)
-
-    tried = [(F.col("offset") + i * (ONE // OFFSETS)) % ONE for i in range(OFFSETS)]
-    sums = numbered.groupBy("key").agg(*(F.sum(crossed(o) * F.col("size")).alias(f"t{i}") for i, o in enumerate(tried)))
-    misses = [F.struct(F.abs(F.col(f"t{i}") - F.col("target")), F.lit(i), o.alias("offset")) for i, o in enumerate(tried)]
-    chosen = sums.join(goals, "key").select("key", F.array_min(F.array(*misses))["offset"].alias("chosen"))
-    numbered = numbered.join(chosen, "key").withColumn("copies", crossed(F.col("chosen")))
-    return numbered.select(
-        "doc_id", "mark", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    goals = save(goals.withColumn("expected", F.floor(ratio * ONE + 0.5).cast("long")).withColumn("offset", offset), "mix-goals")
+    # A row for each source. Beyond the bound a source's rows meet its row in a join that AQE splits.
+    few = goals.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    numbered = ranked_in(rows, ["key"], ["size", "doc_id", "mark"], "mix-dealt").join(F.broadcast(goals) if few else goals, "key")
+    upto = (F.col("rank") + 1) * F.col("expected") + F.col("offset")
+    copies = F.shiftright(upto, 24) - F.shiftright(upto - F.col("expected"), 24)
+    numbered = numbered.withColumn("copies", copies)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return numbered.select("doc_id", "mark", "source", "size", "source_size", "target", "copies", taken, *keep)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as :func:`mix` takes it. Of repeated rows (doc_id and text)
-    each has copies of its own."""
-    mark, nth, copies = "__ql_mark", "__ql_nth", "__ql_copies"
-    same = Window.partitionBy("doc_id", mark).orderBy(F.lit(0))
-    rows = docs.withColumn(mark, F.xxhash64("text")).withColumn(nth, F.row_number().over(same))
-    own = Window.partitionBy("doc_id", "mark").orderBy("copies")
-    taken = mix(docs, **options).select(
-        F.col("doc_id").alias("__ql_id"), F.col("mark").alias("__ql_of"), F.col("copies").alias(copies), F.row_number().over(own).alias("__ql_at")
-    )
-    on = F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.col(mark) == F.col("__ql_of")) & (F.col(nth) == F.col("__ql_at"))
-    out = rows.join(taken.where(F.col(copies) > 0), on)
+    """The rows of docs, each as often as :func:`mix` takes it, with all their columns. Repeated rows
+    have copies of their own; null texts and sources are as there; an empty table stays empty."""
+    row, copies = "__ql_row", "__ql_copies"
+    # Rows are numbered as they are written, so that equal ones are no common key.
+    rows = save(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, keep=(row,), **options).where("copies > 0").select(row, F.col("copies").alias(copies))
+    out = rows.join(taken, row)
     return out.withColumn("__ql_copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: what the mix takes of each."""
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -116,13 +108,8 @@ steps AS (
   SELECT s.key, s.doc_id, s.size, g.source_size, g.target, g.shift,
          CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size * {ONE} + 0.5)::BIGINT ELSE 0 END AS e,
          row_number() OVER (PARTITION BY s.key ORDER BY s.size, s.doc_id) AS nth
-  FROM sized s JOIN goals g USING (key)),
-tried AS (
-  SELECT key, j, o, abs(sum((((nth * e + o) >> 24) - (((nth - 1) * e + o) >> 24)) * size) - any_value(target)) AS miss
-  FROM (SELECT *, (shift + j * {ONE // OFFSETS}) % {ONE} AS o FROM steps, (SELECT unnest(range({OFFSETS})) AS j))
-  GROUP BY key, j, o),
-chosen AS (SELECT key, o FROM tried QUALIFY row_number() OVER (PARTITION BY key ORDER BY miss, j) = 1)
+  FROM sized s JOIN goals g USING (key))
 SELECT doc_id, size, source_size, target::DOUBLE AS target,
-       (((nth * e + o) >> 24) - (((nth - 1) * e + o) >> 24)) * size AS taken
-FROM steps JOIN chosen USING (key)
+       (((nth * e + shift) >> 24) - (((nth - 1) * e + shift) >> 24)) * size AS taken
+FROM steps
 """
