@@ -16,13 +16,18 @@ BASE = (
 )
 #: Candidates that only their owners' number tells from examples: long runs with letters and digits.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A secret is its owners' own if no more sources than this hold it, and no more documents for each.
+OWNERS, REPOSITORIES = 2, 20
+#: Documents from which on a secret's count is sent to every task, and how many such there may be.
+HOT, BROADCAST_SECRETS = 10_000, 100_000
 RANK = {kind: i for i, kind in enumerate([*(b[0] for b in BASE), "owned"])}
 
 
 def _matches(pattern: str, group: int, kind: str) -> Column:
     """array<struct<start, rank, end, value>> of the leftmost non-overlapping matches, in code
-    points. Each piece of the text that has no match is taken with the match behind it, so one
-    pass over the text gives both; the last piece ends in an empty match."""
+    points. Each piece of the text that has no match is taken with the match behind it, which
+    tells where that stands; the last piece ends in an empty match. A text without a match costs
+    one pass, one with matches a pass for each part that is taken."""
     cut = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
     gaps, found = F.regexp_extract_all("text", cut, F.lit(1)), F.regexp_extract_all("text", cut, F.lit(2))
     value = F.regexp_extract_all("text", cut, F.lit(2 + group)) if group else found
@@ -65,29 +70,41 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def owners(found: DataFrame) -> DataFrame:
-    """hash, repositories (documents that have it) and owners (sources that do), over all rows."""
+    """hash, repositories (documents that have it) and owners (sources that do), over all rows.
+    Counts are summed by source first, so a widely copied secret is no hot key."""
     each = found.select("doc_id", "source", F.explode(F.concat("base", "more")).alias("s"))
     each = each.select(F.col("s.hash").alias("hash"), "source", "doc_id").distinct()
     by_owner = each.groupBy("hash", "source").agg(F.count("*").alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, most_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, most_owners: int = OWNERS, most_repositories: int = REPOSITORIES) -> DataFrame:
     """docs with doc_id, source, text. Returns for each row doc_id, mark (a hash of the text) and
     spans: array<struct<start, rank, end, owners, live>> by start, then kind.
 
     The base kinds (assign, access, hex) always stay. A further candidate, a run of 20 or more
     key-like characters with letters and digits, is a span of kind owned if its hash belongs to
-    at most most_owners sources in the whole corpus; one that more sources hold is a copied
-    example. live says the same of each span, base ones too. A null or empty text has no spans;
-    a null source counts as one source; repeated rows come back repeated."""
+    its owners: at most most_owners sources of the whole corpus hold it, and at most
+    most_repositories documents for each of them. One that more sources hold, or that one source
+    repeats over and over, is a copied example. live says the same of each span, base ones too. A
+    null or empty text has no spans; a null source counts as one source; repeated rows come back
+    repeated; an empty table gives no rows."""
     found = save(_found(docs), "secrets")
     hits = found.where((F.size("base") > 0) | (F.size("more") > 0))
     each = hits.select("doc_id", "mark", F.explode(F.concat("base", "more")).alias("s")).distinct()
-    each = each.withColumn("hash", F.col("s.hash")).join(owners(hits), "hash")
-    live = F.col("owners") <= most_owners
-    each = each.where((F.col("s.rank") < RANK["owned"]) | live)
-    span = F.struct("s.start", "s.rank", "s.end", "owners", live.alias("live"))
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= F.col("owners") * most_repositories)
+    counts = save(owners(hits).select("hash", "owners", live.alias("live"), (F.col("repositories") > HOT).alias("hot")), "secret-owners")
+    each = each.withColumn("hash", F.col("s.hash"))
+    hot = counts.where("hot")
+    if 0 < hot.limit(BROADCAST_SECRETS + 1).count() <= BROADCAST_SECRETS:
+        # Hits of widely copied secrets stay where they are.
+        met = each.join(F.broadcast(hot), "hash", "left")
+        rest = met.where("live is null").select(*each.columns).join(counts.where("not hot"), "hash")
+        each = met.where("live is not null").unionByName(rest)
+    else:
+        each = each.join(counts, "hash")
+    each = each.where((F.col("s.rank") < RANK["owned"]) | F.col("live"))
+    span = F.struct("s.start", "s.rank", "s.end", "owners", "live")
     per_row = each.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     per_row = per_row.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "spans")
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
@@ -95,10 +112,11 @@ def scan(docs: DataFrame, most_owners: int = 2) -> DataFrame:
     return found.join(per_row, on, "left").select("doc_id", "mark", F.coalesce("spans", none).alias("spans"))
 
 
-def redact(docs: DataFrame, instead: str = "[SECRET]", most_owners: int = 2) -> DataFrame:
+def redact(docs: DataFrame, instead: str = "[SECRET]", **options) -> DataFrame:
     """docs with what :func:`scan` finds replaced in text, and n_chars (where docs has it) as it
-    is then. Overlapping spans are replaced together. All rows and columns stay."""
-    hits = scan(docs, most_owners).where(F.size("spans") > 0)
+    is then. Overlapping spans are replaced together. All rows and columns stay; null and empty
+    texts as they are, and repeated rows alike."""
+    hits = scan(docs, **options).where(F.size("spans") > 0)
     hits = hits.select(F.col("doc_id").alias("__ql_id"), F.col("mark").alias("__ql_mark"), F.col("spans").alias("__ql_spans"))
     hits = hits.dropDuplicates(["__ql_id", "__ql_mark"])
     on = F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.xxhash64("text") == F.col("__ql_mark"))
@@ -126,6 +144,7 @@ def _listed(spans: Column) -> Column:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' secrets: the base kinds' counts and digest, and all spans."""
     out = scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["rank"] == RANK[kind])).cast("long")
     base = F.filter("spans", lambda x: x["rank"] < RANK["owned"])
@@ -155,10 +174,10 @@ more AS (
   SELECT * FROM spans m WHERE kind = {RANK["owned"]} AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.s < m.e AND m.s < b.e)),
 held AS (
-  SELECT secret, count(DISTINCT source) AS owners FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN t USING (rid) GROUP BY secret),
+  SELECT secret, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN t USING (rid) GROUP BY secret),
 kept AS (
   SELECT rid, kind, s, ({list(RANK)})[kind + 1] || ':' || s || ':' || e AS listed
-  FROM (SELECT * FROM base UNION ALL SELECT m.* FROM more m JOIN held USING (secret) WHERE owners <= 2)),
+  FROM (SELECT * FROM base UNION ALL SELECT m.* FROM more m JOIN held USING (secret) WHERE owners <= {OWNERS} AND repositories <= owners * {REPOSITORIES})),
 found AS (
   SELECT rid, string_agg(listed, ',' ORDER BY s, kind) AS spans,
     string_agg(CASE WHEN kind < {RANK["owned"]} THEN listed END, ',' ORDER BY s, kind) AS base, {", ".join(f"count(CASE WHEN kind = {RANK[k]} THEN 1 END) AS n_{k}" for k, *_ in BASE)}
