@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelight.llm.shared import table
 
+#: Tokens of a window, of repeated history, and of a turn's marks.
+BUDGET, HISTORY, MARKS = 1024, 256, 4
 #: Control strings; all begin with <|, which no escaped text holds.
 FRESH, AGAIN, END, LINE = "<|im_start|>", "<|im_again|>", "<|im_end|>\n", "<|im_line|>"
 
@@ -25,7 +27,7 @@ def _role(role: Column) -> Column:
     return F.replace(escaped(role), F.lit("\n"), F.lit(LINE))
 
 
-def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conversations: conv_id, turn, role, text, a row for each turn. Returns a row for each
     window: conv_id, window int, text, loss array<struct<start, end>> (code points of text, end
     exclusive).
@@ -37,18 +39,23 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
     own. A conversation's first turn, if a system turn, stands again at the head of each later
     window, then as many earlier turns as fit history; both are marked as repeated. The loss
     covers the escaped texts of the window's own assistant turns, so each stands under it once.
-    Rows of a null conv_id are one conversation; an empty table has no windows."""
+    A row without conv_id is a conversation of its own; an empty table has no windows."""
+    return _windows(conversations, budget, history).drop("__lone")
+
+
+def _windows(conversations: DataFrame, budget: int, history: int) -> DataFrame:
+    """The windows with __lone: a number for each conversation that has no conv_id, else null."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select("conv_id", lone.alias("__lone"), "turn", role.alias("role"), text.alias("text"))
     rows = rows.withColumn("role_out", _role(F.col("role"))).withColumn("text_out", escaped(F.col("text")))
-    tokens = (F.ceil(F.length("text") / 4) + 4).cast("long")
-    one = F.struct("turn", "role", "text", "role_out", "text_out", tokens.alias("tokens"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    sums = F.aggregate(
-        "turns",
-        F.array(F.lit(0).cast("bigint")),
-        lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t["tokens"])),
-    )
+    rows = rows.withColumn("tokens", (F.ceil(F.length("text") / 4) + MARKS).cast("long"))
+    order = Window.partitionBy("conv_id", "__lone").orderBy("turn", "role", "text")
+    upto = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("upto", upto)
+    one = F.struct("nth", "role", "text", "role_out", "text_out", "upto")
+    convs = rows.groupBy("conv_id", "__lone").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    sums = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("turns", lambda t: t["upto"]))
     has_system = F.lower(F.element_at("turns", 1)["role"]) == "system"
     convs = convs.withColumn("sums", sums).withColumn("system", has_system)
     system = F.when(F.col("system"), F.element_at("sums", 2)).otherwise(0)
@@ -68,9 +75,10 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
     def span(first: Column, w: Column) -> Column:
         stop = F.coalesce(F.get("firsts", w + 1), F.size("turns"))
         # Earlier turns whose tokens up to this window's first fit history, without the system turn.
+        # A turn has MARKS tokens at least, so no more than history / MARKS of them can.
         limit = F.element_at("sums", first + 1) - F.lit(history)
         lowest = F.when(F.col("system"), 1).otherwise(0)
-        fits = F.filter(F.sequence(F.lit(0), first), lambda j: (j >= lowest) & (F.element_at("sums", j + 1) >= limit))
+        fits = F.filter(F.sequence(F.greatest(F.lit(0), first - history // MARKS), first), lambda j: (j >= lowest) & (F.element_at("sums", j + 1) >= limit))
         since = F.when(first > 0, F.coalesce(F.array_min(fits), first)).otherwise(first)
         head = F.when((first > 0) & F.col("system"), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
         return F.struct(
@@ -79,7 +87,7 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
             F.slice("turns", first + 1, stop - first).alias("own"),
         )
 
-    out = convs.select("conv_id", F.explode(F.transform("firsts", span)).alias("w")).select("conv_id", "w.*")
+    out = convs.select("conv_id", "__lone", F.explode(F.transform("firsts", span)).alias("w")).select("conv_id", "__lone", "w.*")
     line = lambda mark: lambda t: F.concat(F.lit(mark), t["role_out"], F.lit("\n"), t["text_out"], F.lit(END))
     before, own = F.array_join(F.transform("again", line(AGAIN)), ""), F.array_join(F.transform("own", line(FRESH)), "")
     out = out.withColumn("before", before).withColumn("rendered", own)
@@ -95,7 +103,7 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
         return F.struct((end + len(END)).cast("bigint").alias("pos"), spans.alias("out"))
 
     loss = F.aggregate("own", start, mask, lambda acc: acc["out"])
-    return out.select("conv_id", "window", F.concat("before", "rendered").alias("text"), loss.alias("loss"))
+    return out.select("conv_id", "__lone", "window", F.concat("before", "rendered").alias("text"), loss.alias("loss"))
 
 
 def turns_of(text: Column) -> Column:
@@ -115,17 +123,18 @@ def targets_of(text: Column, loss: Column) -> Column:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     roles = F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")
     two = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), roles)
     two = two.select("conv_id", F.col("turn").cast("long"), "role", said.alias("text"))
-    out = windows(rows.unionByName(two))
+    out = _windows(rows.unionByName(two), BUDGET, HISTORY)
     read = out.select(
-        "conv_id", "window", turns_of(F.col("text")).alias("turns"), F.length("text").alias("n"),
+        "conv_id", "__lone", "window", turns_of(F.col("text")).alias("turns"), F.length("text").alias("n"),
         F.array_join(targets_of(F.col("text"), F.col("loss")), "").alias("target"),
     )
-    whole = read.groupBy("conv_id").agg(
+    whole = read.groupBy("conv_id", "__lone").agg(
         F.array_sort(F.collect_list(F.struct("window", "turns", "target"))).alias("w"), F.sum("n").alias("formatted_chars")
     )
     turns = F.flatten(F.transform("w", lambda x: x["turns"]))
