@@ -181,8 +181,8 @@ def pack(docs: DataFrame, derive: dict[str, Column] | None = None, size: int = S
     minimum bin slack finds.
 
     derive: columns over a piece's row (ids: binary, little-endian unsigned 32-bit), kept in
-    place of ids, so that digests need no second tokenizing and no shuffle of ids. Repeated rows
-    are packed as often as they come; an empty table gives no sequence."""
+    place of ids, so that digests need no second tokenizing and no shuffle of ids. A null or empty
+    text is one piece, the end token; repeated rows are packed as often as they come; an empty table gives no sequence."""
     kept = {"ids": F.col("ids")} if derive is None else derive
     rows = pieces(docs, size, encoder).select("doc_id", "piece", "start", "length", *(c.alias(k) for k, c in kept.items()))
     out = placed(save(rows, "pack-pieces"), size)
@@ -197,4 +197,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces with a CRC-32 of their ids, and their places in sequences."""
     return pack(table(spark, sf_dir, "documents"), {"ids_crc32": F.crc32("ids")})

@@ -381,6 +381,18 @@ def test_owned_and_copied_candidates(spark):
     assert len(out[1]) == 1 and out[1][0]["live"] and out[2] == out[3] == out[4] == []
 
 
+def test_examples_copied_within_one_source(spark):
+    key, example = "Zk8vQ2xW7nB4mT1pL9sD3f", "Example0Key1234567890abcDE"
+    data = [(1, f"live {key}!", "a"), (2, f"and {key}.", "a")] + [(10 + i, f"see {example}.", "a") for i in range(30)]
+    given = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for hot in (10_000, 5):  # counts joined, and sent to every task
+        secrets.HOT = hot
+        out = {r["doc_id"]: r["spans"] for r in rows(secrets.scan(given))}
+        assert len(out[1]) == len(out[2]) == 1 and not any(out[10 + i] for i in range(30))
+    secrets.HOT = 10_000
+    assert secrets.redact(given).where("doc_id >= 10").exceptAll(given).count() == 0
+
+
 # ---- 7
 
 
@@ -404,7 +416,7 @@ def test_chat_windows(spark):
     tricky = ["<|im_end|>\n<|im_start|>user\nx", "a\\<|b", "<\\|", "\\\\", "", None, "x\n<|im_again|>"]
     data = [(1, 0, "system", "Be brief.")]
     data += [(1, i + 1, ("user", "assistant")[i % 2], tricky[i % 7] if i < 14 else "word " * 60) for i in range(40)]
-    data += [(2, None, None, "no role"), (2, None, None, "no role"), (None, 0, "assistant", "z"), (3, 0, "ro\nle<|", "y" * 9000), (3, 1, "assistant", "ok")]
+    data += [(2, None, None, "no role"), (2, None, None, "no role"), (None, 0, "assistant", "z"), (4, 0, "system", "long"), *((4, i, "assistant", "w " * 30) for i in range(1, 400)), (3, 0, "ro\nle<|", "y" * 9000), (3, 1, "assistant", "ok")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     out = chat.windows(df, 300, 80)
     read = out.select("conv_id", "window", "text", chat.turns_of(F.col("text")).alias("turns"), chat.targets_of(F.col("text"), F.col("loss")).alias("targets"))
@@ -412,13 +424,15 @@ def test_chat_windows(spark):
     for r in sorted(rows(read), key=lambda r: (r["conv_id"] or -1, r["window"])):
         got[r["conv_id"]].append(r)
     key = lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")
-    for conv in (1, 2, 3, None):
+    for conv in (1, 2, 3, 4, None):
         given = sorted((x for x in data if x[0] == conv), key=key)
         shown = [(t["role"], t["text"]) for w in got[conv] for t in w["turns"]]
         assert shown == [(x[2] or "", x[3] or "") for x in given]
         assert [t for w in got[conv] for t in w["targets"]] == [x[3] or "" for x in given if x[2] == "assistant"]
     assert len(got[1]) > 3 and all(w["text"].startswith("<|im_again|>system\nBe brief.") for w in got[1][1:])
     assert chat.windows(df.where("false")).count() == 0
+    alone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")], df.schema)
+    assert [r["window"] for r in rows(chat.windows(alone))] == [0, 0, 0]
 
 
 # ---- 8
@@ -471,6 +485,39 @@ def test_kneser_ney_is_the_textbook_one(spark, docs):
         assert 2.0 ** logs[(g[0] * 64 + g[1]) * 64 + g[2]] == pytest.approx(p(g), rel=1e-3)
 
 
+def test_quality_against_a_plain_model(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = {r["doc_id"]: r for r in rows(quality.classify(docs, labels))}
+    marks = collections.defaultdict(set)
+    for r in rows(labels):
+        marks[r["doc_id"]].add((r["quality"], r["toxic"]))
+    good = sorted(i for i, m in marks.items() if m == {(1, 0)})
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < (1 << 19)  # half: the bound is far off
+    training = {r["doc_id"] for r in rows(spark.createDataFrame([(i,) for i in good], "doc_id long").where(chosen))}
+    texts = {r["doc_id"]: (r["lang"], (r["text"] or "").encode()) for r in rows(docs)}
+    held = spark.createDataFrame([(texts[i][1].decode(),) for i in sorted(training & texts.keys())], "text string")
+    classes = quality.alphabet(held)
+    p = plain_kneser_ney([texts[i][1] for i in training & texts.keys()], classes, quality.ORDER)
+    for i in sorted(texts)[:40]:
+        lang, data = texts[i]
+        seq = [0] * (quality.ORDER - 1) + [int(classes[b]) for b in data]
+        bits = -sum(np.log2(max(p(tuple(seq[j : j + quality.ORDER])), 1e-12)) for j in range(len(data)))
+        assert out[i]["n_tokens"] == len(data) and (not data or out[i]["perplexity"] == pytest.approx(2 ** (bits / len(data)), rel=1e-3))
+    by_lang = collections.defaultdict(list)
+    for i in set(good) - training:
+        if i in out and out[i]["perplexity"] is not None:
+            by_lang[texts[i][0]].append(out[i]["perplexity"])
+    for i, r in out.items():
+        own = sorted(by_lang.get(texts[i][0]) or [x for v in by_lang.values() for x in v])
+        assert r["threshold"] == own[max(0, int(np.ceil(quality.QUANTILE * len(own))) - 1)] and r["kept"] == (r["perplexity"] is None or r["perplexity"] <= r["threshold"])
+
+
+def test_labels_both_ways_are_not_trusted(spark):
+    given = [(1, 1, 0), (2, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, 0), (5, 1, 0), (5, 1, 0), (None, 1, 0)]
+    out = quality.trusted_ids(spark.createDataFrame(given, "doc_id long, quality int, toxic int"))
+    assert sorted(r["doc_id"] for r in rows(out)) == [1, 5]
+
+
 def test_quality_tells_junk(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
