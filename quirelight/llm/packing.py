@@ -184,8 +184,14 @@ def pack(docs: DataFrame, derive: dict[str, Column] | None = None, size: int = S
     place of ids, so that digests need no second tokenizing and no shuffle of ids. A null or empty
     text is one piece, the end token; repeated rows are packed as often as they come; an empty table gives no sequence."""
     kept = {"ids": F.col("ids")} if derive is None else derive
+    row = "__ql_row"
     rows = pieces(docs, size, encoder).select("doc_id", "piece", "start", "length", *(c.alias(k) for k, c in kept.items()))
-    out = placed(save(rows, "pack-pieces"), size)
+    # Numbered as they are written. Ids stay there while places are found, and are joined on once.
+    rows = save(rows.withColumn(row, F.monotonically_increasing_id()), "pack-pieces")
+    wide = [f.name for f in rows.schema if f.name in kept and f.dataType.simpleString() == "binary"]
+    out = placed(rows.drop(*wide), size)
+    if wide:
+        out = out.join(rows.select(row, *wide), row)
     return out.select("doc_id", "piece", "start", "length", *kept, "sequence_id", "offset")
 
 
