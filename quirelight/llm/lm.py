@@ -16,7 +16,7 @@ from quirelight.llm.shared import save, table, text_of
 #: Tokens that a worker gathers before it writes a block of documents.
 BLOCK_TOKENS = 1_000_000
 #: Tokens that are scored at once, and tokens for each shard of the n-grams' hashes.
-SLICE_TOKENS, SHARD_TOKENS = 250_000, 500_000
+SLICE_TOKENS, SHARD_TOKENS = 250_000, 3_000_000
 #: Counts are kept as levels: level q stands for q up to EXACT, then for steps of STEP.
 EXACT, STEP = 8, 1.25
 #: Bits of the filter for each level of each n-gram, probes for each, bits of an n-gram's hash.
@@ -226,19 +226,22 @@ def counted(rows: DataFrame) -> DataFrame:
     input, and nothing is sent around but what a block asks for."""
 
     def each(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        def merged(keys: str, counts: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        def merged(keys: str, counts: str) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
             own = [_sorted_unpack(r[keys]) for r in held]
             every, at = np.unique(np.concatenate(own), return_inverse=True)
             total = np.bincount(at, np.concatenate([_unpack(r[counts], "<u4") for r in held]), len(every))
-            return own, every, at, total.astype(np.int64)
-
-        words, every, at, n = merged("words", "word_counts")
-        pairs, both, _, m = merged("pairs", "pair_counts")
-        made = LogFrequencyFilter(np.concatenate([pair_hash(every[n > 0], ALONE), both[m > 0]]), level_of(np.concatenate([n[n > 0], m[m > 0]])))
-        sums, start = [int(n.sum()), int((n > 0).sum())], 0
-        for r, w, p in zip(held, words, pairs, strict=True):
-            exact, start = n[at[start : start + len(w)]], start + len(w)
-            yield _out([(r["block"], r["shard"], _pack(exact.astype("<u8")), _pack(made.levels(pair_hash(w, ALONE))), _pack(made.levels(p)), sums)], COUNTS)
+            return np.cumsum([len(k) for k in own])[:-1].tolist(), every, at, total.astype(np.int64)
+
+        w_ends, words, w_at, n = merged("words", "word_counts")
+        p_ends, pairs, p_at, m = merged("pairs", "pair_counts")
+        words = pair_hash(words, ALONE)
+        made = LogFrequencyFilter(np.concatenate([words[n > 0], pairs[m > 0]]), level_of(np.concatenate([n[n > 0], m[m > 0]])))
+        # What blocks ask for in common is probed once.
+        exact = np.split(n.astype("<u8")[w_at], w_ends)
+        levels = np.split(made.levels(words)[w_at], w_ends), np.split(made.levels(pairs)[p_at], p_ends)
+        sums = [int(n.sum()), int((n > 0).sum())]
+        for r, c, w, p in zip(held, exact, *levels, strict=True):
+            yield _out([(r["block"], r["shard"], _pack(c), _pack(w), _pack(p), sums)], COUNTS)
 
     return _by_key(rows, ["shard", "block"], each, COUNTS)
 
@@ -259,7 +262,7 @@ def scored(docs: DataFrame, folds: int = 10, weight: float = WEIGHT) -> DataFram
     tokens: as many as the input calls for, each as large at every size."""
     blocks = save(encode(docs), "lm-blocks")
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
-    shards = max(8, -(-tokens // SHARD_TOKENS))
+    shards = max(1, -(-tokens // SHARD_TOKENS))
     counts = save(counted(parts(blocks, shards, folds)), "lm-counts")
     each_shard = counts.groupBy("shard").agg(F.first("sums").alias("s")).select(F.col("s")[0].alias("n"), F.col("s")[1].alias("v"))
     n, v = (x or 0 for x in each_shard.agg(F.sum("n"), F.sum("v")).first())
