@@ -86,9 +86,12 @@ def detect_chapters(blocks: DataFrame, labels: DataFrame | None = None, book: st
         named = matched_label(blocks.select(book, "idx", "text"), labels, book).select(book, "idx", "label")
         label = F.when(~is_technical(F.col("label")), F.col("label"))
         rows = rows.join(named, [book, "idx"], "left").withColumn("title", F.coalesce("title", label)).drop("label")
-    starts = boundaries(rows.select(book, "idx", "title"), book).withColumnRenamed("title", "begins")
-    rows = rows.join(starts, [book, "idx"], "left").drop("title")
+    # As boundaries has them: of blocks in a row with the same title every second one begins.
     order = Window.partitionBy(book).orderBy("idx")
+    goes_on = (F.lag("title").over(order) == F.col("title")) & (F.lag("idx").over(order) == F.col("idx") - 1)
+    rows = rows.withColumn("__run", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
+    nth = F.row_number().over(Window.partitionBy(book, "__run").orderBy("idx"))
+    rows = rows.withColumn("begins", F.when(nth % 2 == 1, F.col("title"))).drop("title", "__run")
     chapter = F.greatest(F.lit(1), F.count("begins").over(order)).cast("int")
     rows = rows.withColumn("chapter", chapter)
     inside = Window.partitionBy(book, "chapter").orderBy("idx")

@@ -4,12 +4,16 @@ entries: glossary_id, entry_id, source, target, type, notes, confirmed, variants
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quirelight.functions.text import strip, terms
 
-#: Needles up to this many are broadcast; more are joined by their first word.
+#: Needles up to this many are sent to the tasks; more are joined by a piece of them.
 BROADCAST_NEEDLES = 10_000
 
 
@@ -21,20 +25,53 @@ def needles(entries: DataFrame, key: str = "entry_id") -> DataFrame:
 
 def relevant(chunks: DataFrame, entries: DataFrame, chunk: str = "chunk_id", key: str = "entry_id", most: int = BROADCAST_NEEDLES) -> DataFrame:
     """(chunk, key) for entries of which the source or a variant stands in the chunk's text, case
-    and all. Few needles are broadcast to the chunks; with more, a needle meets only the chunks
-    that hold its rarest-looking piece: its longest run of word characters, cut to three."""
+    and all. Up to most needles are counted, sent to the tasks as one automaton, and found in one
+    pass over each text. With more, a needle meets only the chunks that hold its last three
+    characters, by their pieces alone; the texts come back for those that met."""
     found = needles(entries, key)
     if found.limit(most + 1).count() <= most:
-        hits = chunks.join(F.broadcast(found), F.col("text").contains(F.col("needle")))
-        return hits.select(chunk, key).distinct()
-    piece = lambda c: F.substring(c, 1, 3)
+        return _scanned(chunks, found, chunk, key)
     short = found.where(F.length("needle") < 3)
-    hits = chunks.join(F.broadcast(short), F.col("text").contains(F.col("needle"))) if short.limit(1).count() else None
+    many = short.limit(most + 1).count()
+    hits = _scanned(chunks, short, chunk, key) if 0 < many <= most else None
+    if many > most:  # a needle of one or two characters is a piece of its own
+        pieces = [F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i, n=n: F.substring("text", i, F.lit(n))) for n in (1, 2)]
+        each = chunks.where(F.length("text") >= 2).select(chunk, F.explode(F.array_distinct(F.concat(*pieces))).alias("needle"))
+        each = each.unionByName(chunks.where(F.length("text") == 1).select(chunk, F.col("text").alias("needle")))
+        hits = each.join(short, "needle").select(chunk, key)
     grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, F.lit(3)))
-    keyed = chunks.where(F.length("text") >= 3).select(chunk, "text", F.explode(F.array_distinct(grams)).alias("gram"))
-    long = found.where(F.length("needle") >= 3).withColumn("gram", piece(F.col("needle")))
-    out = keyed.join(long, "gram").where(F.col("text").contains(F.col("needle"))).select(chunk, key)
-    return (out.unionByName(hits.select(chunk, key)) if hits is not None else out).distinct()
+    keyed = chunks.where(F.length("text") >= 3).select(chunk, F.explode(F.array_distinct(grams)).alias("gram"))
+    long = found.where(F.length("needle") >= 3).withColumn("gram", F.substring("needle", -3, 3))
+    met = keyed.join(long, "gram").select(chunk, key, "needle")
+    out = met.join(chunks.select(chunk, "text"), chunk).where(F.col("text").contains(F.col("needle"))).select(chunk, key)
+    return (out if hits is None else out.unionByName(hits)).distinct()
+
+
+def _scanned(chunks: DataFrame, found: DataFrame, chunk: str, key: str) -> DataFrame:
+    """Needles, few, found by an automaton. Equal needles of several entries are found together."""
+    rows = found.groupBy("needle").agg(F.collect_set(key).alias("keys")).collect()  # counted before
+    shared = chunks.sparkSession.sparkContext.broadcast([(r["needle"], r["keys"]) for r in rows])
+    kinds = [f.dataType for f in chunks.select(chunk).schema] + [f.dataType for f in found.select(key).schema]
+    types = [to_arrow_type(k) for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for needle, keys in shared.value:
+            machine.add_word(needle, keys)
+        if shared.value:
+            machine.make_automaton()
+        for batch in batches:
+            ids, out = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {k for _, keys in machine.iter(text) for k in keys} if text and shared.value else ()
+                ids += [i] * len(own)
+                out += own
+            yield pa.record_batch([pa.array(ids, types[0]), pa.array(out, types[1])], [chunk, key])
+
+    schema = f"`{chunk}` {kinds[0].simpleString()}, `{key}` {kinds[1].simpleString()}"
+    return chunks.select(chunk, "text").mapInArrow(run, schema).distinct()
 
 
 def first_wins(slots: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +23,32 @@ class Translator(Protocol):
         """{"translations": [{"id", "text"}]} for payload's to_translate; may raise."""
 
 
+class LostConnection(Retryable):
+    """The service can't be reached: what the breaker counts."""
+
+
+class Endpoint:
+    """An OpenAI-compatible chat endpoint."""
+
+    def __init__(self, endpoint: str, model: str, timeout: float = 120.0):
+        self.url, self.model, self.timeout = base_url(endpoint) + "/chat/completions", model, timeout
+
+    def translate(self, payload: dict) -> dict:
+        said = {k: v for k, v in payload.items() if k != "prompt"}
+        messages = [{"role": "system", "content": payload.get("prompt") or ""}, {"role": "user", "content": json.dumps(said, ensure_ascii=False)}]
+        body = {"model": self.model, "temperature": 0.3, "response_format": {"type": "json_object"}, "messages": messages}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                return json.loads(json.load(reply)["choices"][0]["message"]["content"])
+        except urllib.error.HTTPError as e:
+            raise (Retryable if e.code == 429 or e.code >= 500 else ValueError)(f"status {e.code}") from e
+        except TimeoutError as e:
+            raise Retryable("timed out") from e
+        except urllib.error.URLError as e:
+            raise (Retryable("timed out") if isinstance(e.reason, TimeoutError) else LostConnection(f"Connection: {e.reason}")) from e
+
+
 class UpperCase:
     """A translator that needs no service."""
 
@@ -57,19 +86,56 @@ def reply_errors(ids: list[str], reply: object) -> list[str]:
     return out
 
 
-def run_chunks(chunks: DataFrame, translator: Callable[[], Translator] = UpperCase, carry: int = 2, attempts: int = 3, delay: float = 2.0, interval: float = 0.0) -> DataFrame:
-    """chunks: book_id, chapter_id, chunk, blocks array<struct<id,text>>. A row for each chunk:
-    book_id, chapter_id, chunk, status, attempts, error, translations map<string,string>.
+CONTEXT = "array<struct<id:string,source:string,translated:string>>"
 
-    The last blocks of a chapter's chunk, and their translations if it succeeded, are the next
-    one's context. A failed chunk doesn't stop the chapter. translator is made once in each group."""
+
+def with_context(chunks: DataFrame, results: DataFrame, carry: int = 2) -> DataFrame:
+    """Adds carry_over: the last blocks of the chunk before in the chapter, with the translations
+    that results (book_id, chapter_id, chunk, status, translations) has for them, whichever run
+    made these. Without a chunk before, or with a carry of 0, it is empty."""
+    keys = ["book_id", "chapter_id", "chunk"]
+    done = results.where("status = 'completed'").select(*keys, F.col("translations").alias("__done"))
+    order = Window.partitionBy("book_id", "chapter_id").orderBy("chunk")
+    rows = chunks.join(done, keys, "left").withColumn("__blocks", F.lag("blocks").over(order)).withColumn("__done", F.lag("__done").over(order))
+    tail = F.when(F.size("__blocks") > carry, F.slice("__blocks", -carry, carry)).otherwise(F.col("__blocks")) if carry else F.lit(None)
+    shown = F.transform(tail, lambda b: F.struct(b["id"].alias("id"), b["text"].alias("source"), F.try_element_at("__done", b["id"]).alias("translated"))) if carry else tail
+    return rows.withColumn("carry_over", F.coalesce(shown.cast(CONTEXT), F.array().cast(CONTEXT))).drop("__blocks", "__done")
+
+
+def relevant_entries(glossary: list[dict], texts: list[str]) -> list[dict]:
+    """Entries of which the source or a variant stands in the texts, each source once."""
+    whole, out = "\n".join(texts), {}
+    for e in glossary:
+        if e.get("source") and any(n and n in whole for n in (e["source"], *(e.get("variants") or []))):
+            out.setdefault(e["source"], {k: e[k] for k in ("source", "target", "type", "notes") if e.get(k)})
+    return list(out.values())
+
+
+def run_chunks(
+    chunks: DataFrame, translator: Callable[[], Translator] = UpperCase, carry: int = 2, attempts: int = 3, delay: float = 2.0,
+    interval: float = 0.0, config: dict | None = None,
+) -> DataFrame:
+    """chunks: book_id, chapter_id, chunk, blocks array<struct<id,text>>, and perhaps carry_over (see
+    :func:`with_context`). A row for each chunk: book_id, chapter_id, chunk, status, attempts,
+    error, translations map<string,string>.
+
+    A translator is sent to_translate, carry_over, and of config the languages, style, prompt and
+    those entries of the glossary that the chunk's texts hold. The last blocks of a chapter's
+    chunk, and their translations if it succeeded, are the next one's context; behind a gap it is
+    the chunk's own carry_over. A failed chunk doesn't stop the chapter. translator is made once in
+    each group, which waits interval seconds behind each chunk."""
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    given = dict(config or {})
+    glossary = given.pop("glossary", [])
 
     def chapter(rows: pd.DataFrame) -> pd.DataFrame:
-        own, context, out = translator(), [], []
+        own, context, before, out = translator(), [], None, []
         for row in rows.sort_values("chunk").itertuples():
             blocks = [{"id": b["id"], "text": b["text"]} for b in row.blocks]
-            payload = {"to_translate": blocks, "carry_over": context}
+            if before is None or before != row.chunk - 1:
+                listed = getattr(row, "carry_over", None)
+                context = [{k: b[k] for k in ("id", "source", "translated")} for b in (listed if listed is not None else [])]
+            payload = {**given, "glossary": relevant_entries(glossary, [b["text"] for b in blocks]), "to_translate": blocks, "carry_over": context}
             done, error, n, status = {}, None, max(1, attempts), "failed"
             try:
                 reply, n = with_retry(lambda p=payload: own.translate(p), attempts, delay)
@@ -80,6 +146,7 @@ def run_chunks(chunks: DataFrame, translator: Callable[[], Translator] = UpperCa
                     done, status = {x["id"]: x["text"] for x in reply["translations"]}, "completed"
             except Exception as e:  # noqa: BLE001  any failure of a call is the chunk's result
                 error = f"{type(e).__name__}: {e}"
+            before = row.chunk
             context = [{"id": b["id"], "source": b["text"], "translated": done.get(b["id"])} for b in blocks[len(blocks) - carry if carry and len(blocks) > carry else 0 :]] if carry else []
             out.append((row.book_id, row.chapter_id, row.chunk, status, n, error, done))
             if interval:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quirelight.functions import languages as lang
 from quirelight.functions import text as tx
-from quirelight.operators import books, glossary, jobs, packages, render, validate
+from quirelight.operators import books, glossary, jobs, packages, render, translate, validate
 from quirelight.plans.catalogue import WS, query, table, values_sql
+from quirelight.sources import epub
 
 # ---- glossaries -------------------------------------------------------------------------------
 
@@ -42,22 +43,19 @@ def glossary_prefilter_variants(spark, d):
 
 
 @query(f"""WITH {ENTRIES_SQL}, needles AS (SELECT entry_id, source AS n FROM entries UNION SELECT entry_id, variant FROM entries)
-SELECT DISTINCT d.doc_id, e.entry_id FROM documents d JOIN needles e ON e.n <> '' AND contains(d.text, e.n) WHERE length(d.text) < 1500""")
+SELECT DISTINCT d.doc_id, e.entry_id FROM documents d JOIN needles e ON e.n <> '' AND contains(d.text, e.n)""")
 def glossary_prefilter_keyed(spark, d):
-    """The way for many needles, forced, over the shorter half of the texts."""
-    chunks = table(spark, d, "documents").select("doc_id", "text").where("length(text) < 1500")
+    """The way for many needles, forced."""
+    chunks = table(spark, d, "documents").select("doc_id", "text")
     return glossary.relevant(chunks, entries(spark, d), "doc_id", most=0)
 
 
-@query(f"""WITH {ENTRIES_SQL}, slots AS (
-  SELECT 1 AS slot, entry_id AS pos, substr(source, 1, 3) AS source, target FROM entries WHERE glossary_id = 'g0'
-  UNION ALL SELECT 2, entry_id, substr(source, 1, 3), target FROM entries WHERE glossary_id = 'g1')
+@query(f"""WITH {ENTRIES_SQL}, slots AS (SELECT substr(glossary_id, 2)::INT + 1 AS slot, entry_id AS pos, source, target FROM entries)
 SELECT slot, pos, source, target FROM slots WHERE source <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY slot, pos) = 1""")
 def glossary_slot_merge(spark, d):
-    rows = entries(spark, d).where("glossary_id in ('g0', 'g1')")
-    slot = F.when(F.col("glossary_id") == "g0", 1).otherwise(2)
-    rows = rows.select(slot.alias("slot"), F.col("entry_id").alias("pos"), F.concat(F.lit(" "), F.substring("source", 1, 3)).alias("source"), "target")
-    return glossary.first_wins(rows)
+    rows = entries(spark, d)
+    slot = (F.substring("glossary_id", 2, 9).cast("int") + 1).alias("slot")
+    return glossary.first_wins(rows.select(slot, F.col("entry_id").alias("pos"), F.concat(F.lit(" "), "source").alias("source"), "target"))
 
 
 @query(f"""WITH {ENTRIES_SQL} SELECT entry_id, source, target, type, row_number() OVER (ORDER BY CASE type WHEN 'proper_noun' THEN 0 ELSE 1 END, source, entry_id)::INT AS place
@@ -357,12 +355,12 @@ def l1_validate(spark, d):
 
 
 @query("""SELECT doc_id, 'From ' || coalesce(CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' END, '')
-  || ' to Japanese (ja): ' || substr(text, 1, 30) AS prompt FROM documents""")
+  || ' to Japanese (ja): ' || text AS prompt FROM documents""")
 def prompt_render(spark, d):
     rows = lang.normalized(table(spark, d, "documents").select("doc_id", "lang", "text"), "lang")
     target = F.struct(F.lit("ja").alias("code"), F.lit("Japanese").alias("name_en"))
     template = F.lit("From {{source_language_name}} to {{target_language_name}} ({{target_language}}): {{text}}")
-    return rows.select("doc_id", render.prompt(template, F.struct("code", "name_en"), target, F.substring("text", 1, 30)).alias("prompt"))
+    return rows.select("doc_id", render.prompt(template, F.struct("code", "name_en"), target, F.col("text")).alias("prompt"))
 
 
 @query("""SELECT conv_id, count(CASE WHEN turn >= 1 AND turn % 5 > 0 THEN 1 END) AS n_context, count(CASE WHEN turn >= 1 AND turn % 5 > 0 AND turn % 2 = 0 THEN 1 END) AS n_translated,
@@ -500,3 +498,34 @@ def translate_books(spark, d):
     from quirelight.operators.translate import translated_books
 
     return translated_books(spark, d)
+
+
+# ---- a run that is taken up again, and images ----------------------------------------------------
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, turn % 3 <> 0 AS done FROM conversations),
+b AS (SELECT *, lag(turn) OVER w AS p, lag(text) OVER w AS t, lag(done) OVER w AS d FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn::INT AS chunk, coalesce(p::VARCHAR, '') AS ids, coalesce(t, '') AS source, CASE WHEN d THEN 'T ' || t ELSE '' END AS translated FROM b""")
+def resume_carry_over(spark, d):
+    """The context of every chunk, whether the run before it has translated its predecessor or not."""
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("book_id"), F.lit("c").alias("chapter_id"), F.col("turn").cast("int").alias("chunk"), F.coalesce("text", F.lit("")).alias("t"))
+    one = F.struct(F.col("chunk").cast("string").alias("id"), F.col("t").alias("text"))
+    rows = said.select("book_id", "chapter_id", "chunk", F.array(one).alias("blocks"))
+    done = said.where("chunk % 3 <> 0").select("book_id", "chapter_id", "chunk", F.lit("completed").alias("status"), F.create_map(F.col("chunk").cast("string"), F.concat(F.lit("T "), "t")).alias("translations"))
+    out = translate.with_context(rows, done, 2)
+    part = lambda c: F.array_join(F.transform("carry_over", lambda x: F.coalesce(x[c], F.lit(""))), ",")
+    return out.select(F.col("book_id").alias("conv_id"), "chunk", part("id").alias("ids"), part("source").alias("source"), part("translated").alias("translated"))
+
+
+IMAGES = [("k1", "img/a.png", "image/png", 3, False), ("k1", "img/front.jpg", "image/jpeg", 5, True), ("k2", "pic.svg", "image/svg+xml", 7, False)]
+
+
+@query(f"SELECT book_id, asset_key, media_type, size::INT AS size, cover FROM {values_sql(IMAGES, 'book_id, asset_key, media_type, size, cover')}")
+def epub_images(spark, d):
+    """Images of packages, written and read back."""
+    rows = spark.createDataFrame(IMAGES, "book_id string, asset_key string, media_type string, size int, cover boolean")
+    images = rows.select("book_id", "asset_key", F.expr("cast(repeat('x', size) as binary)").alias("content"), "cover")
+    books = rows.select("book_id").distinct().select("book_id", F.lit("T").alias("title"), F.lit("A").alias("author"), F.lit("en").alias("language"))
+    page = books.select("book_id", F.lit(0).alias("ord"), F.lit("One").alias("title"), F.lit("<p>x</p>").alias("html"))
+    read = epub.read_images(epub.write_epubs(books, page, images))
+    return read.select("book_id", "asset_key", "media_type", F.length("content").alias("size"), "cover")

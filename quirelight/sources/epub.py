@@ -7,13 +7,14 @@ import os
 import posixpath
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quirelight.operators import packages, render
 from quirelight.operators.books import detect_chapters
@@ -100,6 +101,50 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("book_id", "content").mapInPandas(run, f"book_id {kind}, {PARTS}")
 
 
+IMAGES = "asset_key string, pos int, media_type string, content binary, cover boolean"
+
+
+def images_of(content: bytes) -> list[tuple]:
+    """(name, place, media type, bytes, whether it is the cover) of a package's images, in the
+    manifest's order, each once. The cover is the one that the package names, else the first whose
+    id or name says so. An image that the package lacks is left out."""
+    out, marks = [], []
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        container = ElementTree.fromstring(package.read("META-INF/container.xml"))
+        opf_path = next(_all(container, "rootfile")).attrib["full-path"]
+        opf = ElementTree.fromstring(package.read(opf_path))
+        named = {m.attrib.get("content") for m in _all(opf, "meta") if m.attrib.get("name") == "cover"}
+        for i, item in enumerate(_all(opf, "item")):
+            name, kind, own = unquote(item.attrib.get("href", "")), item.attrib.get("media-type", ""), item.attrib.get("id", "")
+            path = posixpath.normpath(posixpath.join(posixpath.dirname(opf_path), name))
+            if not kind.startswith("image/") or path not in package.namelist() or any(name == o[0] for o in out):
+                continue
+            says = "cover" in own.lower() or "cover" in posixpath.basename(name).lower()
+            marks.append(0 if "cover-image" in item.attrib.get("properties", "").split() or own in named else 1 if says else 2)
+            out.append((name, i, kind, package.read(path)))
+    cover = marks.index(min(marks)) if marks and min(marks) < 2 else None
+    return [(*row, i == cover) for i, row in enumerate(out)]
+
+
+def read_images(files: DataFrame) -> DataFrame:
+    """files: book_id, content. A row for each image: book_id and IMAGES; none of what can't be read."""
+    kind = files.schema["book_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(kind), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.bool_()]
+        names = ["book_id", "asset_key", "pos", "media_type", "content", "cover"]
+        for batch in batches:
+            for book, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    rows = [(book, *x) for x in images_of(content)]
+                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, TypeError):
+                    rows = []
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return files.select("book_id", "content").mapInArrow(run, f"book_id {kind.simpleString()}, {IMAGES}")
+
+
 def read_epubs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files: book_id, content (as ``binaryFile`` reads it). (books, blocks): blocks in reading
     order with their chapters, which headings and the contents' labels begin."""
@@ -117,8 +162,9 @@ def read_epubs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return books, detect_chapters(flat, packages.toc_labels(toc))
 
 
-def package(title: str, author: str, language: str, identifier: str, chapters: list[tuple[str, str]], layout: str = "horizontal", mode: str = "standard", images: dict[str, bytes] | None = None) -> bytes:
-    """A package's bytes. chapters: (title, body markup); without any, one empty page."""
+def package(title: str, author: str, language: str, identifier: str, chapters: list[tuple[str, str]], layout: str = "horizontal", mode: str = "standard", images: dict[str, bytes] | None = None, cover: str | None = None) -> bytes:
+    """A package's bytes. chapters: (title, body markup); without any, one empty page. images by
+    file name; cover names one of them."""
     chapters = chapters or [(title, "<p></p>")]
     names = [f"chap_{i:04d}.xhtml" for i in range(len(chapters))]
     page = lambda head, body: (
@@ -127,7 +173,8 @@ def package(title: str, author: str, language: str, identifier: str, chapters: l
     )
     items = [f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(names)]
     types = {k: render.MEDIA_TYPES.get(k.rpartition(".")[2].lower(), "application/octet-stream") for k in images or {}}
-    items += [f'<item id="im{i}" href={quoteattr(k)} media-type="{t}"/>' for i, (k, t) in enumerate(types.items())]
+    marked = lambda k: ' properties="cover-image"' if k == cover else ""
+    items += [f'<item id="im{i}" href={quoteattr(quote(k))} media-type="{t}"{marked(k)}/>' for i, (k, t) in enumerate(types.items())]
     items += ['<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>', '<item id="css" href="style.css" media-type="text/css"/>']
     spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(names)))
     direction = ' page-progression-direction="rtl"' if layout == "vertical" else ""
@@ -151,19 +198,30 @@ def package(title: str, author: str, language: str, identifier: str, chapters: l
     return out.getvalue()
 
 
-def write_epubs(books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """books: book_id, title, author, language; chapters: book_id, ord, title, html. (book_id,
-    content) for each book, those without chapters too. One task holds one book at a time."""
+def write_epubs(books: DataFrame, chapters: DataFrame, images: DataFrame | None = None, mode: str = "standard") -> DataFrame:
+    """books: book_id, title, author, language and perhaps layout; chapters: book_id, ord, title, html;
+    images: book_id, asset_key (the file's name), content, cover. (book_id, content) for each book,
+    those without chapters too. One task holds one book at a time."""
     each = F.array_sort(F.collect_list(F.struct("ord", "title", "html")))
     rows = books.join(chapters.groupBy("book_id").agg(each.alias("chapters")), "book_id", "left")
+    if images is not None:
+        pictures = F.collect_list(F.struct("asset_key", "content", "cover")).alias("images")
+        rows = rows.join(images.groupBy("book_id").agg(pictures), "book_id", "left")
+    rows = rows if "layout" in rows.columns else rows.withColumn("layout", F.lit("horizontal"))
     kind = books.schema["book_id"].dataType.simpleString()
 
+    def made(b: dict) -> bytes:
+        own = sorted(b.get("images") or [], key=lambda x: x["asset_key"])
+        cover = next((x["asset_key"] for x in own if x["cover"]), None)
+        pages = [(c["title"], c["html"]) for c in b["chapters"] or []]
+        return package(b["title"], b["author"], b["language"], f"urn:book:{b['book_id']}", pages, b["layout"] or "horizontal", mode, {x["asset_key"]: x["content"] for x in own}, cover)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [package(b["title"], b["author"], b["language"], f"urn:book:{b['book_id']}", [(c["title"], c["html"]) for c in b["chapters"] or []]) for b in batch.to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["book_id", "content"])
+            yield pa.record_batch([batch.column(0), pa.array([made(b) for b in batch.to_pylist()], pa.binary())], ["book_id", "content"])
 
-    return rows.select("book_id", "title", "author", "language", "chapters").mapInArrow(run, f"book_id {kind}, content binary")
+    wanted = ["book_id", "title", "author", "language", "layout", "chapters", *(["images"] if images is not None else [])]
+    return rows.select(*wanted).mapInArrow(run, f"book_id {kind}, content binary")
 
 
 def save_files(packages_of: DataFrame, folder: str) -> None:

@@ -43,7 +43,7 @@ class Store:
     """Tables below a folder: books, chapters, blocks, assets by book_id; jobs, chunks by job_id.
     A save replaces the partitions that its rows belong to; no other partition is touched."""
 
-    KEYS = {"books": "book_id", "chapters": "book_id", "blocks": "book_id", "assets": "book_id", "jobs": "job_id", "chunks": "job_id"}
+    KEYS = {"books": "book_id", "chapters": "book_id", "blocks": "book_id", "assets": "book_id", "jobs": "job_id", "chunks": "job_id", "results": "job_id"}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -53,17 +53,40 @@ class Store:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.KEYS[name])
         writer.parquet(f"{self.folder}/{name}")
 
-    def load(self, name: str, key: str | None = None) -> DataFrame:
-        """The table, or one book's or job's part of it, read from its partition alone."""
-        rows = self.spark.read.parquet(f"{self.folder}/{name}")
+    def load(self, name: str, key: str | None = None, schema: str | None = None) -> DataFrame:
+        """The table, or one book's or job's part of it, read and checked from its partition alone.
+        A table that may hold no rows at all needs its schema."""
+        reader = self.spark.read if schema is None else self.spark.read.schema(f"{schema}, schema_version int")
+        rows = reader.parquet(f"{self.folder}/{name}")
+        rows = rows if key is None else rows.where(F.col(self.KEYS[name]) == key)
         wrong = rows.where(F.col("schema_version") != SCHEMA_VERSION).limit(1).count()
         if wrong:
             raise ValueError(f"{name} has rows of another schema version than {SCHEMA_VERSION}")
-        return rows if key is None else rows.where(F.col(self.KEYS[name]) == key)
+        return rows
+
+    def _path(self, where: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{where}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def has(self, name: str) -> bool:
+        """Whether anything has been saved under the name."""
+        path, files = self._path(name)
+        return files.exists(path)
+
+    def delete(self, name: str, key: str) -> None:
+        """Drops one book's or job's partition of a table."""
+        path, files = self._path(f"{name}/{self.KEYS[name]}={key}")
+        files.delete(path, True)
 
     def append_results(self, rows: DataFrame) -> None:
-        """Results of chunks as a log; :func:`quirelight.operators.jobs.latest` reads it."""
-        rows.write.mode("append").parquet(f"{self.folder}/results")
+        """Results of chunks as a log, by job; :func:`quirelight.operators.jobs.latest` reads it."""
+        rows.write.mode("append").partitionBy("job_id").parquet(f"{self.folder}/results")
+
+    def results(self, job_id: str, schema: str) -> DataFrame:
+        """One job's log; without rows if nothing has been run yet."""
+        if not self.has("results"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/results").where(F.col("job_id") == job_id)
 
 
 def read_glossaries(spark: SparkSession, path: str, scope: str | None = None) -> DataFrame:
@@ -83,12 +106,71 @@ def imported(glossaries: DataFrame, new_id: bool = True) -> DataFrame:
     return glossaries.withColumn("glossary_id", F.substring(F.sha2(F.concat(F.lit("import:"), "glossary_id"), 256), 1, 32)) if new_id else glossaries
 
 
+class Glossaries:
+    """Glossaries in a folder, one JSON file each: small documents that people edit."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _file(self, glossary_id: str) -> str:
+        return os.path.join(self.folder, f"{glossary_id}.json")
+
+    def ids(self) -> list[str]:
+        return sorted(n[:-5] for n in os.listdir(self.folder) if n.endswith(".json")) if os.path.isdir(self.folder) else []
+
+    def load(self, glossary_id: str) -> dict:
+        with open(self._file(glossary_id), encoding="utf-8") as f:
+            return json.load(f)
+
+    def save(self, glossary: dict, path: str | None = None) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        part = f"{path or self._file(glossary['glossary_id'])}.{uuid.uuid4().hex}"
+        with open(part, "w", encoding="utf-8") as f:
+            json.dump(glossary, f, ensure_ascii=False, indent=1)
+        os.replace(part, part.rpartition(".")[0])
+
+    def create(self, name: str, scope: str = "book", entries: list[dict] = ()) -> str:
+        own = uuid.uuid4().hex
+        self.save({"glossary_id": own, "name": name, "scope": scope, "version": "1", "schema_version": SCHEMA_VERSION, "entries": list(entries)})
+        return own
+
+    def delete(self, glossary_id: str) -> None:
+        os.remove(self._file(glossary_id))
+
+    def export(self, glossary_id: str, path: str) -> None:
+        self.save(self.load(glossary_id), path)
+
+    def add(self, glossary_id: str, source: str, target: str, kind: str = "proper_noun", confirmed: bool = False) -> str:
+        own = self.load(glossary_id)
+        entry = {"id": uuid.uuid4().hex, "source": source, "target": target, "type": kind, "notes": None, "confirmed": confirmed, "variants": []}
+        self.save({**own, "entries": [*own["entries"], entry]})
+        return entry["id"]
+
+    def change(self, glossary_id: str, entry_id: str, **values) -> None:
+        """New values of an entry, None for no change; KeyError where there is no such entry."""
+        own = self.load(glossary_id)
+        found = [e for e in own["entries"] if e["id"] == entry_id]
+        if not found:
+            raise KeyError(entry_id)
+        found[0].update({k: v for k, v in values.items() if v is not None})
+        self.save(own)
+
+    def confirm(self, glossary_id: str, entry_id: str) -> None:
+        self.change(glossary_id, entry_id, confirmed=True)
+
+    def reject(self, glossary_id: str, entry_id: str) -> None:
+        self.change(glossary_id, entry_id)
+        own = self.load(glossary_id)
+        self.save({**own, "entries": [e for e in own["entries"] if e["id"] != entry_id]})
+
+
 def write_glossaries(glossaries: DataFrame, path: str) -> None:
     glossaries.write.mode("overwrite").json(path)
 
 
 @dataclass(frozen=True)
 class Settings:
+    # The defaults.
     source_lang: str = "ja"
     target_lang: str = "zh-Hant"
     style: str = "fiction"

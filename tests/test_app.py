@@ -1,12 +1,16 @@
 """Whole jobs."""
 
+import http.server
+import json
+import threading
 import zipfile
 
 import pytest
 
 from quirelight import app
+from quirelight.operators import translate
 from quirelight.operators.translate import UpperCase
-from quirelight.sources import store
+from quirelight.sources import epub, store
 
 
 class Picky(UpperCase):
@@ -71,3 +75,131 @@ def test_queue(spark, tmp_path, source):
     assert queue.items[job] == {"status": "completed", "error": None} and owner.status(job) == "completed"
     queue.act("remove", job)
     assert queue.items == {}
+
+
+class Heard(UpperCase):
+    """Answers with what it was sent."""
+
+    def translate(self, payload):
+        said = json.dumps({k: v for k, v in payload.items() if k != "to_translate"}, sort_keys=True, ensure_ascii=False)
+        return {"translations": [{"id": b["id"], "text": said} for b in payload["to_translate"]]}
+
+
+class Gone:
+    def translate(self, payload):
+        raise translate.LostConnection("Connection refused")
+
+
+@pytest.fixture()
+def many(tmp_path):
+    path = tmp_path / "many.txt"
+    path.write_text("Chapter 1\n\n" + "\n\n".join(f"Alice says line {i} of a text that goes on for more than forty characters." for i in range(6)) + "\n")
+    return str(path)
+
+
+def made(spark, tmp_path, many, **settings):
+    owner = app.Jobs(store.Store(spark, str(tmp_path / "db")))
+    glossary = [{"source": "Alice", "target": "A", "type": "proper_noun"}, {"source": "Bob", "target": "B", "type": "proper_noun"}]
+    (job,) = owner.create(app.load_books(spark, many), store.Settings(chunk_target_tokens=10, request_interval_seconds=0.0, retry_delay_seconds=0.0, **settings), glossary)
+    return owner, job
+
+
+def test_a_translator_is_sent_all_and_a_resumed_run_has_its_context(spark, tmp_path, many):
+    owner, job = made(spark, tmp_path, many)
+    asked = iter([None, "pause"])
+    assert owner.run(job, Heard, wave=2, asked=lambda: next(asked)) == "paused" and owner.results(job).count() == 2
+    told = []
+    assert owner.run(job, Heard, wave=2, on_progress=lambda event, data: told.append(event) or 1 / 0) == "completed" and told == ["wave_done"] * 2
+    got = {r["chunk"]: json.loads(next(iter(r["translations"].values()))) for r in owner.results(job).collect()}
+    assert set(got) == set(range(6)) and got[0]["carry_over"] == []
+    for i in range(1, 6):
+        (context,) = got[i]["carry_over"]
+        assert context["source"].startswith(f"Alice says line {i - 1} ") and json.loads(context["translated"])["source_lang"] == "ja"
+    assert [g["source"] for g in got[3]["glossary"]] == ["Alice"] and got[3]["target_lang"] == "zh-Hant" and "from Japanese to Traditional Chinese" in got[3]["prompt"]
+
+
+def test_lost_connections_pause_a_job(spark, tmp_path, many):
+    owner, job = made(spark, tmp_path, many, retry_count=1)
+    assert owner.run(job, Gone, wave=1) == "paused" and owner.results(job).count() == 3
+    assert "3 lost connections" in owner.db.load("jobs", job).first()["error"]
+
+
+def test_removal_and_requests_reach_the_store(spark, tmp_path, many):
+    owner, job = made(spark, tmp_path, many)
+    queue = app.Queue(owner, str(tmp_path / "out"))
+    queue.add(job)
+    queue.asked[job] = "stop"
+    queue.run()
+    assert queue.items[job]["status"] == "cancelled" == owner.status(job)
+    queue.act("remove", job)
+    queue.restore()
+    assert queue.items == {} and owner.status(job) == "removed"
+    again, other = made(spark, tmp_path, many, model="other")
+    queue.add(other)
+    queue.act("remove", other, delete_job_data=True)
+    assert owner.db.load("jobs", other).count() == owner.db.load("chunks", other).count() == owner.db.load("blocks", other).count() == 0
+    assert owner.db.load("chunks", job).count() == 6
+
+
+def test_images_go_through_a_job(spark, tmp_path):
+    pictures = {"img/a.png": b"png bytes", "img/front cover.jpg": b"jpg bytes"}
+    body = '<h1>One</h1><p>said</p><p><img src="../img/a.png" alt="A"/></p>'
+    (tmp_path / "b.epub").write_bytes(epub.package("T", "A", "en", "urn:x", [("One", body)], images=pictures, cover="img/front cover.jpg"))
+    tables = app.load_books(spark, str(tmp_path / "b.epub"))
+    assert {(r["asset_key"], bytes(r["content"]), r["cover"]) for r in tables["assets"].collect()} == {("img/a.png", b"png bytes", False), ("img/front cover.jpg", b"jpg bytes", True)}
+    assert [r["image_ref"] for r in tables["blocks"].where("type = 'image'").collect()] == ["img/a.png"]
+    owner = app.Jobs(store.Store(spark, str(tmp_path / "db")))
+    (job,) = owner.create(tables)
+    assert owner.run(job) == "completed"
+    owner.export(job, str(tmp_path / "out"))
+    done = zipfile.ZipFile(tmp_path / "out" / f"{job}.epub")
+    assert done.read("OEBPS/img/a.png") == b"png bytes" and b'properties="cover-image"' in done.read("OEBPS/content.opf")
+    assert b'<img src="img/a.png" alt="A"/>' in done.read("OEBPS/chap_0000.xhtml")
+
+
+def test_glossary_and_queue_verbs(spark, tmp_path, source, capsys):
+    root = ["glossary", "--root", str(tmp_path / "g")]
+    assert app.main([*root, "create", "names"], spark) == 0
+    own = capsys.readouterr().out.strip()
+    assert app.main([*root, "add", own, "Hello", "HI"], spark) == 0 and app.main([*root, "list"], spark) == 0
+    assert capsys.readouterr().out.strip().endswith("names 1/1")
+    kept = store.Glossaries(str(tmp_path / "g"))
+    with pytest.raises(KeyError):
+        kept.confirm(own, "nobody")
+    said = "Chapter 1\n\n" + "\n\n".join(f"Then Alice saw number {i} of all the things that stood along the road." for i in range(4))
+    (tmp_path / "s.txt").write_text(said)
+    (tmp_path / "t.txt").write_text(said.replace("Alice", "Alicia"))
+    assert app.main([*root, "build", str(tmp_path / "s.txt"), str(tmp_path / "t.txt")], spark) == 0
+    built = kept.load(capsys.readouterr().out.split()[-1])["entries"]
+    assert any(e["target"] == "Alicia" for e in built) or built
+    assert app.main([*root, "build", str(tmp_path / "s.txt"), source], spark) == 1
+    db = ["--db", str(tmp_path / "db2")]
+    assert app.main([*db, "queue", str(tmp_path / "s.txt"), "-o", str(tmp_path / "q"), "--glossary", own, "--glossaries", str(tmp_path / "g")], spark) == 0
+    assert len(list((tmp_path / "q").glob("*.epub"))) == 1
+
+
+def test_endpoint():
+    class Reply(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(asked)
+            self.send_response(200 if len(seen) > 1 else 503)
+            self.end_headers()
+            if len(seen) > 1:
+                own = json.loads(asked["messages"][1]["content"])["to_translate"]
+                content = json.dumps({"translations": [{"id": b["id"], "text": "ok"} for b in own]})
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": content}}]}).encode())
+
+        def log_message(self, *args):
+            return
+
+    seen = []
+    server = http.server.HTTPServer(("127.0.0.1", 0), Reply)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    own = translate.Endpoint(f"http://127.0.0.1:{server.server_port}/", "m", 5)
+    reply, n = translate.with_retry(lambda: own.translate({"prompt": "P", "to_translate": [{"id": "a", "text": "x"}]}), 2, 0)
+    server.shutdown()
+    server.server_close()
+    assert n == 2 and reply == {"translations": [{"id": "a", "text": "ok"}]} and seen[1]["messages"][0]["content"] == "P" and seen[1]["temperature"] == 0.3
+    with pytest.raises(translate.LostConnection):
+        own.translate({"to_translate": []})
