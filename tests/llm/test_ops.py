@@ -321,7 +321,7 @@ def test_lm_in_blocks_and_shards(spark, docs, monkeypatch, block):
     cut = {r["doc_id"]: r for r in rows(lm.scored(few))}
     assert whole.keys() == cut.keys()
     for i, r in whole.items():
-        assert cut[i]["base_score"] == pytest.approx(r["base_score"]) and cut[i]["score"] == pytest.approx(r["score"], rel=1e-3)
+        assert cut[i]["base_score"] == pytest.approx(r["base_score"]) and abs(cut[i]["score"] - r["score"]) < 0.02 * r["n_tokens"] + 3  # other shards, other false positives
         assert all(cut[i][c] == r[c] for c in ("n_tokens", "n_known", "train_tokens", "held_out"))
 
 
