@@ -187,7 +187,8 @@ def pack(docs: DataFrame, derive: dict[str, Column] | None = None, size: int = S
     row = "__ql_row"
     rows = pieces(docs, size, encoder).select("doc_id", "piece", "start", "length", *(c.alias(k) for k, c in kept.items()))
     # Numbered as they are written. Ids stay there while places are found, and are joined on once.
-    rows = save(rows.withColumn(row, F.monotonically_increasing_id()), "pack-pieces")
+    # Half of their bytes are zeros, which zstd takes for over a third less than snappy does.
+    rows = save(rows.withColumn(row, F.monotonically_increasing_id()), "pack-pieces", "zstd")
     wide = [f.name for f in rows.schema if f.name in kept and f.dataType.simpleString() == "binary"]
     out = placed(rows.drop(*wide), size)
     if wide:

@@ -44,13 +44,14 @@ def root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, a lost
     executor costs nothing that was written, and later uses don't compute df again. The files
-    go when the session's JVM ends, or by :func:`drop`."""
+    go when the session's JVM ends, or by :func:`drop`. codec: a Parquet compression in place of
+    the session's."""
     spark = df.sparkSession
     path = f"{root(spark).rstrip('/')}/quirelight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
