@@ -478,7 +478,9 @@ def test_kneser_ney_is_the_textbook_one(spark, docs):
     texts = [r["text"].encode()[:400] for r in rows(some)]
     given = spark.createDataFrame([(t.decode("utf-8", "ignore"),) for t in texts], "text string")
     classes = quality.alphabet(given)
-    logs = quality.kneser_ney(quality._counted(given, classes, 3), 3)
+    every = quality.probabilities(spark.range(64**3).withColumnRenamed("id", "gram"), quality.kneser_ney(quality._counted(given, classes, 3), 3))
+    logs = np.array([r["bits"] for r in rows(every.orderBy("gram"))])
+    assert len(logs) == 64**3
     p = plain_kneser_ney([t.decode("utf-8", "ignore").encode() for t in texts], classes, 3)
     assert np.exp2(logs.reshape(-1, 64)).sum(axis=1) == pytest.approx(1, abs=1e-3)
     for g in [(1, 2, 3), (5, 1, 2), (63, 63, 63), (2, 1, 1), (0, 0, 7), (9, 40, 3)]:
@@ -512,6 +514,13 @@ def test_quality_against_a_plain_model(spark, sf, docs):
         assert r["threshold"] == own[max(0, int(np.ceil(quality.QUANTILE * len(own))) - 1)] and r["kept"] == (r["perplexity"] is None or r["perplexity"] <= r["threshold"])
 
 
+def test_quality_of_blocks_of_any_size(spark, docs, odd):
+    model = quality.train(docs.select("text"), 3)
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    whole, small, single = (sorted(rows(quality.scored(both, model, ["doc_id"], n)), key=str) for n in (quality.BLOCK_BYTES, 2000, 1))
+    assert len(whole) == 200 + len(AWKWARD) and whole == small == single
+
+
 def test_labels_both_ways_are_not_trusted(spark):
     given = [(1, 1, 0), (2, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, 0), (5, 1, 0), (5, 1, 0), (None, 1, 0)]
     out = quality.trusted_ids(spark.createDataFrame(given, "doc_id long, quality int, toxic int"))
