@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelight.llm.chat import OP7_SQL, op7_chat
+from quirelight.llm.langid import op13_language
 from quirelight.llm.lm import op5_lm
 from quirelight.llm.mixing import OP1_SQL, op1_mixing
+from quirelight.llm.negatives import OP11_SQL, op11_negatives
 from quirelight.llm.packing import op3_packing
 from quirelight.llm.quality import op8_quality
+from quirelight.llm.runs import op12_runs
 from quirelight.llm.secrets import OP6_SQL, op6_secrets
 from quirelight.llm.sharding import OP4_SQL, op4_sharding
 from quirelight.llm.simhash import op2_simhash
@@ -32,8 +35,11 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_syncmers": op9_syncmers,
         "op10_vectors": op10_vectors,
+        "op11_negatives": op11_negatives,
+        "op12_runs": op12_runs,
+        "op13_language": op13_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_sharding": OP4_SQL, "op6_secrets": OP6_SQL, "op7_chat": OP7_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_sharding": OP4_SQL, "op6_secrets": OP6_SQL, "op7_chat": OP7_SQL, "op11_negatives": OP11_SQL}
