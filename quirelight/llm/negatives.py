@@ -44,7 +44,10 @@ class Approximation:
         return Approximation(np.ascontiguousarray(edges), least, np.maximum(most, least))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, d], side="right") for d, e in enumerate(self.edges)], axis=1).astype(np.uint8).reshape(x.shape)
+        out = np.empty(x.shape, np.uint8)
+        for d, e in enumerate(self.edges):
+            out[:, d] = np.searchsorted(e, x[:, d], side="right")
+        return out
 
     def tables(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(dimensions, cells, anchors): the least and the most that a value of the cell adds to the
