@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import hashlib
 import json
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict
 
@@ -21,7 +21,7 @@ from quirelight.sources import epub, store, txt
 BLOCKS = ["book_id", "chapter_id", "ord", "block_id", "type", "level", "text", "image_ref", "image_alt"]
 ASSETS = ["book_id", "asset_key", "media_type", "content", "cover"]
 ASSET_SCHEMA = "asset_key string, media_type string, content binary, cover boolean, book_id string"
-RESULTS = "job_id string, book_id string, chapter_id string, chunk int, status string, attempts int, error string, translations map<string,string>, version int"
+RESULTS = "job_id string, book_id string, chapter_id string, chunk int, status string, attempts int, error string, translations map<string,string>, ended double, version int"
 Tables = dict[str, DataFrame]
 
 
@@ -79,21 +79,22 @@ class Jobs:
         self.db, self.spark = db, db.spark
 
     def create(self, tables: Tables, settings: store.Settings = store.Settings(), entries: list[dict] | None = None) -> list[str]:
-        """A job for each book. Unknown languages are refused before anything is written."""
+        """A job for each book, in one transaction: a creation that fails leaves nothing. Unknown
+        languages are refused before anything is written."""
         config = {**asdict(settings), "source_lang": code_of(settings.source_lang), "target_lang": code_of(settings.target_lang), "glossary": entries or []}
         text = json.dumps(config, ensure_ascii=False, sort_keys=True)
-        salt = hashlib.sha256(text.encode()).hexdigest()
+        # Each creation makes jobs of its own: what an earlier one has of the same file stays its own.
+        salt = uuid.uuid4().hex
         job_id = F.substring(F.sha2(F.concat(F.lit(salt), F.col("book_id").cast("string")), 256), 1, 16)
         own = {k: t.withColumn("book_id", job_id) for k, t in tables.items()}
-        for name, t in own.items():
-            self.db.save(name, store.saved(t, name))
         job = own["books"].select(F.col("book_id").alias("job_id"), "title", F.lit("pending").alias("status"), F.lit(text).alias("config"), F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("created_at"))
-        self.db.save("jobs", store.saved(job, "jobs"))
         wanted = own["blocks"].where(is_translatable(F.col("type"), F.col("text")))
         chunks = translate.chunked(wanted, settings.chunk_target_tokens).withColumn("job_id", F.col("book_id"))
-        self.db.save("chunks", store.saved(chunks, "chunks"))
-        # One id for each book that was handed in.
-        return [r["job_id"] for r in job.select("job_id").toLocalIterator()]
+        with self.db.transaction() as t:
+            for name, rows in {**own, "chunks": chunks, "jobs": job}.items():
+                t.save(name, rows)
+            # One id for each book that was handed in.
+            return sorted(key for key, names in t.keys().items() if "jobs" in names)
 
     def results(self, job_id: str) -> DataFrame:
         return jobs.latest(self.db.results(job_id, RESULTS), ["book_id", "chapter_id", "chunk"], "version")
@@ -103,23 +104,34 @@ class Jobs:
 
     def set_status(self, job_id: str, status: str, error: str | None = None) -> None:
         rows = self.db.load("jobs", job_id).withColumn("status", F.lit(status)).withColumn("error", F.lit(error).cast("string"))
-        self.db.save("jobs", store.saved(rows, "jobs"))
+        self.db.save("jobs", rows)
+
+    def translator(self, job_id: str) -> Callable[[], translate.Translator]:
+        """What the job was made for: its endpoint and model; without an endpoint, the one that needs no service."""
+        config = json.loads(self.db.load("jobs", job_id).first()["config"])
+        endpoint, model, timeout = config["endpoint"], config["model"], config["request_timeout_seconds"]
+        return (lambda: translate.Endpoint(endpoint, model, timeout)) if endpoint else translate.UpperCase
 
     def delete(self, job_id: str) -> None:
         """The job, its chunks, its results and its snapshot of the book."""
-        for name in ("results", "chunks", "jobs", "assets", "blocks", "chapters", "books"):
-            self.db.delete(name, job_id)
+        self.db.delete(job_id)
 
     def run(
         self, job_id: str, translator: Callable[[], translate.Translator] = translate.UpperCase, only_failed: bool = False, wave: int = 8,
-        asked: Callable[[], str | None] = lambda: None, on_progress: Callable[[str, dict], None] = lambda event, data: None,
+        asked: Callable[[], str | None] = lambda: None, on_progress: Callable[[str, dict], None] = lambda event, data: None, chosen: list[str] | None = None,
     ) -> str:
-        """Runs the chunks that aren't completed (or the failed alone), and returns the job's status.
+        """Runs the chunks that aren't completed (or the failed alone; of them, those chosen by id,
+        ``chapter_id:chunk``), and returns the job's status.
 
         Chapters go side by side, in waves of so many chunks of each. A wave's results are stored
         before the next one begins, so a lost run is taken up behind its last wave. Between waves
-        asked may answer pause or stop, and so many lost connections in a row as the job's
-        threshold pause it. on_progress hears of waves; what it raises changes nothing."""
+        asked may answer pause or stop. on_progress hears of waves; what it raises changes nothing.
+
+        So many lost connections in a row as the job's threshold, in the order in which calls ended,
+        pause it. A chapter calls no more once it has seen so many; and one chapter goes alone until
+        the service has replied, and again when a wave ends in a lost connection. So a service that
+        is gone is called as often as the threshold says, or, if it goes in the middle of a wave, at
+        most so often by each chapter."""
         config = json.loads(self.db.load("jobs", job_id).first()["config"])
         sent = {k: config[k] for k in ("source_lang", "target_lang", "style", "glossary")}
         names = {k: name_of(config[k]) for k in ("source_lang", "target_lang")}
@@ -129,15 +141,22 @@ class Jobs:
         self.set_status(job_id, "processing")
         chunks, keys = self.db.load("chunks", job_id).select("book_id", "chapter_id", "chunk", "blocks"), ["book_id", "chapter_id", "chunk"]
         first = version = (self.results(job_id).agg(F.max("version")).first()[0] or 0) + 1
-        open_ = store.saved(translate.to_do(chunks, self.results(job_id), only_failed).select(*keys), "open-chunks")
-        lost, status, error = 0, None, None
+        open_ = translate.to_do(chunks, self.results(job_id), only_failed)
+        if chosen is not None:
+            open_ = open_.where(F.concat_ws(":", "chapter_id", "chunk").isin(*chosen))
+        open_ = store.saved(open_.select(*keys), "open-chunks")
+        most = config["endpoint_fail_threshold"]
+        lost, replied, status, error = 0, False, None, None
         while status is None:
             log = self.results(job_id)
             left = open_.join(log.where(F.col("version") >= first).select(*keys), keys, "left_anti")
+            if not replied or lost:
+                left = left.join(left.agg(F.min(F.struct("book_id", "chapter_id")).alias("c")).select("c.*"), ["book_id", "chapter_id"])
             nth = F.row_number().over(Window.partitionBy("book_id", "chapter_id").orderBy("chunk"))
             now = left.withColumn("nth", nth).where(F.col("nth") <= wave).drop("nth")
             wanted = asked()
             if not left.limit(1).count():
+                # As the whole job stands, not this run's chunks alone.
                 failed = log.where("status = 'failed'").limit(1).count()
                 status = "completed_with_errors" if failed else "completed"
             elif wanted:
@@ -146,20 +165,32 @@ class Jobs:
                 ready = translate.with_context(chunks, log, config["carry_over_paragraphs"]).join(now, keys, "left_semi")
                 done = translate.run_chunks(
                     ready, translator, config["carry_over_paragraphs"], config["retry_count"], config["retry_delay_seconds"],
-                    config["request_interval_seconds"] if translator is not translate.UpperCase else 0.0, {**sent, "prompt": prompt},
+                    config["request_interval_seconds"] if translator is not translate.UpperCase else 0.0, {**sent, "prompt": prompt}, lost, most,
                 )
                 self.db.append_results(done.select(F.lit(job_id).alias("job_id"), *done.columns, F.lit(version).alias("version")))
-                # A wave without any reply is so many lost connections in a row.
-                events = self.results(job_id).where(F.col("version") == version).withColumn("bad", F.coalesce(F.col("error").contains("Connection"), F.lit(False)))
-                n, ran, good = events.agg(F.count("*"), F.count_if("bad"), F.count_if(~F.col("bad"))).first()
-                lost = lost + ran if not good else 0
+                events = self.results(job_id).where(F.col("version") == version)
+                n = events.count()
+                streak, lost = self._streaks(events, lost)
+                replied = replied or lost < streak or not streak
                 self._tell(on_progress, "wave_done", {"job_id": job_id, "chunks": n, "version": version})
                 version += 1
-                if lost >= config["endpoint_fail_threshold"]:
-                    status, error = "paused", f"{lost} lost connections in a row"
+                if streak >= most:
+                    status, error = "paused", f"{streak} lost connections in a row"
         self.set_status(job_id, status, error)
         return status
 
+    @staticmethod
+    def _streaks(events: DataFrame, before: int) -> tuple[int, int]:
+        """(the longest run of lost connections, the run that lasts), of one wave's calls by when they
+        ended; before is how many there were already."""
+        bad = F.coalesce(F.col("error").contains("Connection"), F.lit(False))
+        order = ["ended", "chapter_id", "chunk"]
+        rows = jobs.streaks(events.withColumn("bad", bad), ["job_id"], order)
+        replies = F.sum((~F.col("bad")).cast("int")).over(Window.partitionBy("job_id").orderBy(*order))
+        rows = rows.withColumn("streak", F.col("streak") + F.when(replies == 0, before).otherwise(0))
+        longest, last = rows.agg(F.max("streak"), F.max_by("streak", F.struct(*order))).first()
+        return longest or 0, last or 0
+
     @staticmethod
     def _tell(on_progress: Callable[[str, dict], None], event: str, data: dict) -> None:
         try:
@@ -199,7 +230,8 @@ class Queue:
     """Jobs in a line. An action is looked up in the transition table and stored before the queue's
     own view of the item changes."""
 
-    def __init__(self, owner: Jobs, folder: str, translator: Callable[[], translate.Translator] = translate.UpperCase, mode: str = "standard"):
+    def __init__(self, owner: Jobs, folder: str, translator: Callable[[], translate.Translator] | None = None, mode: str = "standard"):
+        """Without a translator, each job is run with its own."""
         self.jobs, self.folder, self.translator, self.mode = owner, folder, translator, mode
         self.items: dict[str, dict] = {}
         self.asked: dict[str, str] = {}
@@ -238,7 +270,7 @@ class Queue:
         """Pending items in order. A failed export leaves the item completed with errors."""
         for job_id in [k for k, v in self.items.items() if v["status"] == "pending"]:
             self.items[job_id]["status"] = "processing"
-            status, error = self.jobs.run(job_id, self.translator, asked=lambda j=job_id: self.asked.pop(j, None)), None
+            status, error = self.jobs.run(job_id, self.translator or self.jobs.translator(job_id), asked=lambda j=job_id: self.asked.pop(j, None)), None
             self.asked.pop(job_id, None)
             if status in ("paused", "cancelled"):
                 self.items[job_id].update(status=status)
@@ -261,7 +293,7 @@ def _translating(verb: argparse.ArgumentParser) -> None:
 
 
 def _settings(given: argparse.Namespace) -> store.Settings:
-    return store.Settings(source_lang=given.source, target_lang=given.target, model=given.model, endpoint=translate.base_url(given.endpoint))
+    return store.Settings(source_lang=given.source, target_lang=given.target, model=given.model, endpoint=translate.base_url(given.endpoint) if given.endpoint else "")
 
 
 def _frozen(given: argparse.Namespace) -> list[dict]:
@@ -270,13 +302,6 @@ def _frozen(given: argparse.Namespace) -> list[dict]:
     return sorted((e for e in entries if e.get("confirmed")), key=lambda e: (e.get("type") != "proper_noun", e["source"]))
 
 
-def _translator(given: argparse.Namespace) -> Callable[[], translate.Translator]:
-    if not given.endpoint:
-        return translate.UpperCase
-    endpoint, model = given.endpoint, given.model
-    return lambda: translate.Endpoint(endpoint, model)
-
-
 def built_glossary(source: Tables, official: Tables, most: int = 200) -> tuple[bool, list[dict]]:
     """(whether the books must be aligned by hand, candidate entries): the nth translatable texts of
     both together, and their frequent terms, unless the books differ too much in length. most
@@ -328,11 +353,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             verb.add_argument("--mode", default="standard", choices=render.MODES)
         if name == "translate":
             _translating(verb)
+            verb.add_argument("--force", "--force-export", action="store_true", help="export a book that has errors")
     for name in ("export", "retry-failed"):
         verb = verbs.add_parser(name)
         verb.add_argument("job")
-        verb.add_argument("-o", "--output", required=True)
-        verb.add_argument("--force", action="store_true")
+        verb.add_argument("-o", "--output", required=name == "export")
+        verb.add_argument("--force", "--force-export", action="store_true")
+        verb.add_argument("--mode", default="standard", choices=render.MODES)
+        if name == "retry-failed":
+            verb.add_argument("--chunks", nargs="*", help="ids of failed chunks, chapter_id:chunk; all of them without")
     verbs.add_parser("list-jobs")
     queued = verbs.add_parser("queue")
     queued.add_argument("inputs", nargs="*")
@@ -358,7 +387,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif given.verb == "glossary":
         return _glossary(given, spark)
     elif given.verb == "queue":
-        queue = Queue(owner, given.output, _translator(given), given.mode)
+        queue = Queue(owner, given.output, mode=given.mode)
         queue.restore()
         for path in given.inputs:
             for job_id in owner.create(load_books(spark, path), _settings(given), _frozen(given)):
@@ -374,10 +403,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             else:
                 made = [given.job]
             if given.verb == "retry-failed":
-                owner.run(given.job, only_failed=True)
-            ended = [owner.run(j, _translator(given)) for j in made] if given.verb == "translate" else [owner.status(j) for j in made]
+                owner.run(given.job, owner.translator(given.job), only_failed=True, chosen=given.chunks)
+            ended = [owner.run(j, owner.translator(j)) for j in made] if given.verb == "translate" else [owner.status(j) for j in made]
+            if given.verb == "retry-failed" and not given.output:
+                return int(any(s != "completed" for s in ended))
             for j in made:
-                owner.export(j, given.output, getattr(given, "force", False), getattr(given, "mode", "standard"))
+                owner.export(j, given.output, given.force, given.mode)
         except ExportBlocked as e:
             print(e, file=sys.stderr)
             return 2

@@ -113,23 +113,24 @@ def relevant_entries(glossary: list[dict], texts: list[str]) -> list[dict]:
 
 def run_chunks(
     chunks: DataFrame, translator: Callable[[], Translator] = UpperCase, carry: int = 2, attempts: int = 3, delay: float = 2.0,
-    interval: float = 0.0, config: dict | None = None,
+    interval: float = 0.0, config: dict | None = None, lost: int = 0, most: int | None = None,
 ) -> DataFrame:
     """chunks: book_id, chapter_id, chunk, blocks array<struct<id,text>>, and perhaps carry_over (see
     :func:`with_context`). A row for each chunk: book_id, chapter_id, chunk, status, attempts,
-    error, translations map<string,string>.
+    error, translations map<string,string>, ended (seconds since 1970).
 
     A translator is sent to_translate, carry_over, and of config the languages, style, prompt and
     those entries of the glossary that the chunk's texts hold. The last blocks of a chapter's
     chunk, and their translations if it succeeded, are the next one's context; behind a gap it is
-    the chunk's own carry_over. A failed chunk doesn't stop the chapter. translator is made once in
-    each group, which waits interval seconds behind each chunk."""
+    the chunk's own carry_over. A failed chunk doesn't stop the chapter; `most` lost connections in
+    a row do (there were `lost` of them before), and what follows gives no row. translator is made
+    once in each group, which waits interval seconds behind each chunk."""
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
     given = dict(config or {})
     glossary = given.pop("glossary", [])
 
     def chapter(rows: pd.DataFrame) -> pd.DataFrame:
-        own, context, before, out = translator(), [], None, []
+        own, context, before, out, gone = translator(), [], None, [], lost
         for row in rows.sort_values("chunk").itertuples():
             blocks = [{"id": b["id"], "text": b["text"]} for b in row.blocks]
             if before is None or before != row.chunk - 1:
@@ -144,16 +145,19 @@ def run_chunks(
                     error = "; ".join(wrong)
                 else:
                     done, status = {x["id"]: x["text"] for x in reply["translations"]}, "completed"
+                gone = 0
             except Exception as e:  # noqa: BLE001  any failure of a call is the chunk's result
-                error = f"{type(e).__name__}: {e}"
+                error, gone = f"{type(e).__name__}: {e}", gone + 1 if isinstance(e, LostConnection) else 0
             before = row.chunk
             context = [{"id": b["id"], "source": b["text"], "translated": done.get(b["id"])} for b in blocks[len(blocks) - carry if carry and len(blocks) > carry else 0 :]] if carry else []
-            out.append((row.book_id, row.chapter_id, row.chunk, status, n, error, done))
+            out.append((row.book_id, row.chapter_id, row.chunk, status, n, error, done, time.time()))
+            if most is not None and gone >= most:
+                break
             if interval:
                 time.sleep(interval)
-        return pd.DataFrame(out, columns=["book_id", "chapter_id", "chunk", "status", "attempts", "error", "translations"])
+        return pd.DataFrame(out, columns=["book_id", "chapter_id", "chunk", "status", "attempts", "error", "translations", "ended"])
 
-    schema = f"book_id {kinds['book_id']}, chapter_id string, chunk int, status string, attempts int, error string, translations map<string,string>"
+    schema = f"book_id {kinds['book_id']}, chapter_id string, chunk int, status string, attempts int, error string, translations map<string,string>, ended double"
     return chunks.groupBy("book_id", "chapter_id").applyInPandas(chapter, schema)
 
 

@@ -2,10 +2,13 @@
 
 import http.server
 import json
+import os
 import threading
+import uuid
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirelight import app
 from quirelight.operators import translate
@@ -124,6 +127,137 @@ def test_lost_connections_pause_a_job(spark, tmp_path, many):
     assert "3 lost connections" in owner.db.load("jobs", job).first()["error"]
 
 
+class Counted(UpperCase):
+    """Loses connections after so many calls in all; each call leaves a file in a folder."""
+
+    def __init__(self, folder, after):
+        self.folder, self.after = folder, after
+
+    def translate(self, payload):
+        n = len(os.listdir(self.folder))
+        open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+        if n >= self.after:
+            raise translate.LostConnection("Connection refused")
+        return super().translate(payload)
+
+
+@pytest.mark.parametrize("after", [0, 6])
+def test_a_dead_service_is_called_as_often_as_the_threshold_says(spark, tmp_path, after):
+    path = tmp_path / "wide.txt"
+    path.write_text("".join(f"Chapter {c}\n\n" + "".join(f"Line {i} of chapter {c}, which goes on for more than forty characters.\n\n" for i in range(6)) for c in range(1, 5)))
+    owner, job = made(spark, tmp_path, str(path), retry_count=1)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    assert owner.run(job, lambda: Counted(str(calls), after)) == "paused"
+    n = len(list(calls.iterdir()))
+    # Gone from the start: three calls. Gone after the first chapter: three calls of each other chapter at most.
+    assert n == 3 if after == 0 else 9 <= n <= 15
+    assert owner.results(job).where("status = 'failed'").count() == n - after
+    assert owner.run(job) == "completed" and owner.results(job).where("status = 'completed'").count() == 24
+
+
+def test_a_changed_file_is_a_job_of_its_own(spark, tmp_path, source):
+    owner = app.Jobs(store.Store(spark, str(tmp_path / "db")))
+    (old,) = owner.create(app.load_books(spark, source))
+    assert owner.run(old) == "completed"
+    with open(source, "w") as f:
+        f.write("Chapter 1\n\nAnother text.\n")
+    (new,) = owner.create(app.load_books(spark, source))
+    (same,) = owner.create(app.load_books(spark, source))
+    assert len({old, new, same}) == 3 and owner.results(new).count() == 0
+    assert owner.run(new) == "completed"
+    assert [r["text"] for r in owner.book(new)["blocks"].collect()] == ["ANOTHER TEXT."]
+    assert [r["text"] for r in owner.book(old)["blocks"].collect()] == ["HELLO & WORLD.", "FAIL HERE."]
+
+
+def test_a_creation_that_fails_half_way_shows_nothing(spark, tmp_path, source, monkeypatch):
+    db = store.Store(spark, str(tmp_path / "db"))
+    owner, plain = app.Jobs(db), store.Transaction.save
+    (first,) = owner.create(app.load_books(spark, source))
+
+    def save(self, name, rows):
+        plain(self, name, rows)
+        if name == "chunks":
+            assert db.load("blocks").count() == 2  # written, and not to be seen
+            raise OSError("disk full")
+
+    monkeypatch.setattr(store.Transaction, "save", save)
+    with pytest.raises(OSError):
+        owner.create(app.load_books(spark, source))
+    monkeypatch.undo()
+    assert [r["job_id"] for r in db.load("jobs").collect()] == [first] and db.load("chunks").count() == 2
+    assert len(list((tmp_path / "db" / "blocks").glob("txn=*"))) == 1
+    # A failure between two heads of one transaction leaves each key whole: old or new.
+    with pytest.raises(RuntimeError), db.transaction() as t:
+        t.save("jobs", db.load("jobs", first).withColumn("status", F.lit("paused")))
+        raise RuntimeError("stopped")
+    assert owner.status(first) == "pending"
+
+
+class Server:
+    """A stub of the service: upper-cases, or refuses what holds the word."""
+
+    def __init__(self, refused=""):
+        class Reply(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                own = json.loads(asked["messages"][1]["content"])["to_translate"]
+                seen.append((asked["model"], [b["text"] for b in own]))
+                bad = refused and any(refused in b["text"] for b in own)
+                self.send_response(400 if bad else 200)
+                self.end_headers()
+                if not bad:
+                    content = json.dumps({"translations": [{"id": b["id"], "text": "T:" + b["text"]} for b in own]})
+                    self.wfile.write(json.dumps({"choices": [{"message": {"content": content}}]}).encode())
+
+            def log_message(self, *args):
+                return
+
+        seen = self.seen = []
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Reply)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}/v1"
+
+    def close(self):
+        self.server.shutdown()
+        self.server.server_close()
+
+
+def test_retry_failed_calls_the_jobs_own_service_for_chosen_chunks(spark, tmp_path, many, capsys):
+    server = Server()
+    owner, job = made(spark, tmp_path, many, endpoint=server.url, model="m7")
+    assert owner.run(job, lambda: Picky6()) == "completed_with_errors" and owner.results(job).where("status = 'failed'").count() == 3
+    db = ["--db", str(tmp_path / "db"), "retry-failed", job]
+    assert app.main([*db, "--chunks", "ch1:4"], spark) == 1
+    assert [m for m, _ in server.seen] == ["m7"] and server.seen[0][1][0].startswith("Alice says line 4 ")
+    assert app.main([*db, "-o", str(tmp_path / "out")], spark) == 0 and len(server.seen) == 3
+    texts = {r["text"][:17] for r in owner.book(job)["blocks"].collect()}
+    assert {"T:Alice says line", "ALICE SAYS LINE 0"} <= texts and (tmp_path / "out" / f"{job}.epub").exists()
+    # A queue that is taken up again runs each job with its own service too.
+    (other,) = owner.create(app.load_books(spark, many), store.Settings(endpoint=server.url, model="m8", request_interval_seconds=0.0))
+    queue = app.Queue(owner, str(tmp_path / "q"))
+    queue.restore()
+    queue.run()
+    server.close()
+    assert queue.items[other]["status"] == "completed" and server.seen[-1][0] == "m8"
+
+
+class Picky6(UpperCase):
+    def translate(self, payload):
+        if any(f"line {i} " in b["text"] for b in payload["to_translate"] for i in (2, 4, 5)):
+            raise ValueError("refused")
+        return super().translate(payload)
+
+
+def test_single_blocks_and_chapters_are_looked_up(spark, tmp_path):
+    db = store.Store(spark, str(tmp_path / "db"))
+    rows = [("k", f"c{i // 10}", i % 10, f"b{i}", f"text {i}") for i in reversed(range(50))]
+    db.save("blocks", spark.createDataFrame(rows, "book_id string, chapter_id string, ord int, block_id string, text string"))
+    assert [r["text"] for r in db.block("k", "b7").collect()] == ["text 7"] and db.block("k", "none").count() == 0
+    assert [r["ord"] for r in db.chapter("k", "c3").collect()] == list(range(10))
+    assert [r["block_id"] for r in db.load("blocks", "k").collect()][:3] == ["b0", "b1", "b2"] and db.load("blocks", "nobody").count() == 0
+
+
 def test_removal_and_requests_reach_the_store(spark, tmp_path, many):
     owner, job = made(spark, tmp_path, many)
     queue = app.Queue(owner, str(tmp_path / "out"))
