@@ -16,7 +16,7 @@ from quirelight.functions.languages import code_of, name_of
 from quirelight.functions.text import is_translatable, stem, strip
 from quirelight.operators import chapters as edits
 from quirelight.operators import glossary, jobs, packages, render, translate, validate
-from quirelight.sources import epub, store, txt
+from quirelight.sources import epub, epub_io, store, txt
 
 BLOCKS = ["book_id", "chapter_id", "ord", "block_id", "type", "level", "text", "image_ref", "image_alt"]
 ASSETS = ["book_id", "asset_key", "media_type", "content", "cover"]
@@ -32,9 +32,9 @@ def load_books(spark: SparkSession, path: str) -> Tables:
         books, chapters, blocks = txt.text_books(txt.read_text_files(spark, path))
         assets = books.limit(0).select("book_id", F.lit("").alias("asset_key"), F.lit("").alias("media_type"), F.lit(None).cast("binary").alias("content"), F.lit(False).alias("cover"))
     elif suffix == "epub":
-        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("book_id"), "content")
-        books, flat = epub.read_epubs(files)
-        images = store.saved(epub.read_images(files), "images")
+        parts = store.saved(epub_io.read_packages(spark, path, ["book_id", *epub.PARTS]), "packages-read")
+        books, flat = epub.books_of(parts)
+        images = epub.images_of(parts)
         books = books.select("book_id", F.coalesce("title", stem(F.col("book_id"))).alias("title"), "author", "language", F.lit("horizontal").alias("layout"))
         flat = store.saved(flat, "blocks")
         chapters = flat.groupBy("book_id", "chapter_id").agg((F.min("chapter") - 1).alias("ord"), F.max("chapter_title").alias("title"))

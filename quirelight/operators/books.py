@@ -74,18 +74,23 @@ def matched_label(blocks: DataFrame, labels: DataFrame, book: str = "book_id") -
     return blocks.join(found.select(book, "idx", F.coalesce("same", "near").alias("label")), [book, "idx"], "left")
 
 
-def detect_chapters(blocks: DataFrame, labels: DataFrame | None = None, book: str = "book_id") -> DataFrame:
+def detect_chapters(blocks: DataFrame, labels: DataFrame | None = None, book: str = "book_id", soft: DataFrame | None = None) -> DataFrame:
     """blocks: book, idx (reading order), type, level, text. Adds chapter_id, chapter (from 1),
     chapter_title, ord (from 0 in the chapter).
 
     Headings and title-like paragraphs begin chapters, as do blocks that a label of the contents
-    names; what comes before the first belongs to it. A book without any is one chapter, titled
-    by its first label that is no resource's name, else Untitled."""
+    names; what comes before the first belongs to it. In a book without any, the boundaries of
+    soft (book, idx, title) count, but for resources' names. A book without these too is one
+    chapter, titled by its first label that is no resource's name, else Untitled."""
     rows = with_block_title(blocks, "type", "level", "text", "title")
     if labels is not None:
         named = matched_label(blocks.select(book, "idx", "text"), labels, book).select(book, "idx", "label")
         label = F.when(~is_technical(F.col("label")), F.col("label"))
         rows = rows.join(named, [book, "idx"], "left").withColumn("title", F.coalesce("title", label)).drop("label")
+    if soft is not None:
+        weak = soft.where(~is_technical(F.col("title"))).select(book, "idx", F.substring("title", 1, 200).alias("__soft"))
+        rows = rows.join(weak, [book, "idx"], "left").withColumn("__strong", F.count("title").over(Window.partitionBy(book)))
+        rows = rows.withColumn("title", F.when(F.col("__strong") > 0, F.col("title")).otherwise(F.col("__soft"))).drop("__soft", "__strong")
     # As boundaries has them: of blocks in a row with the same title every second one begins.
     order = Window.partitionBy(book).orderBy("idx")
     goes_on = (F.lag("title").over(order) == F.col("title")) & (F.lag("idx").over(order) == F.col("idx") - 1)

@@ -37,6 +37,21 @@ def toc_titles(toc: DataFrame) -> DataFrame:
     return rows.withColumn("nth", nth).where("nth = 1").select("book_id", "href", "title")
 
 
+def document_titles(documents: DataFrame, titles: DataFrame) -> DataFrame:
+    """documents: book_id, pos, item_id, name; titles: book_id, href, title (:func:`toc_titles`). (book_id, pos, title):
+    what the contents call a document, by its file's name, else by its item's id; others give no row."""
+    keys = F.array(F.struct(F.lit(0).alias("prio"), normal_href(F.col("name")).alias("href")), F.struct(F.lit(1).alias("prio"), F.lower("item_id").alias("href")))
+    keyed = documents.select("book_id", "pos", F.inline(keys)).where("href <> ''")
+    return keyed.join(titles, ["book_id", "href"]).groupBy("book_id", "pos").agg(F.min_by("title", "prio").alias("title"))
+
+
+def soft_boundaries(blocks: DataFrame, titles: DataFrame) -> DataFrame:
+    """blocks: book_id, pos (of its document), idx; titles: book_id, pos, title. (book_id, idx, title): the first
+    block of each document that has a title; of documents without blocks nothing is left."""
+    first = blocks.groupBy("book_id", "pos").agg(F.min("idx").alias("idx"))
+    return first.join(titles, ["book_id", "pos"]).select("book_id", "idx", "title")
+
+
 def toc_labels(toc: DataFrame) -> DataFrame:
     """(book_id, pos, label): titles in order, each once."""
     rows = toc.where(F.col("title") != "").groupBy("book_id", F.col("title").alias("label")).agg(F.min(F.struct("source", "pos")).alias("p"))

@@ -110,12 +110,11 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
 
 
-CJK = [(1, ""), (2, "a"), (3, "hello world"), (4, "你好世界"), (5, "ab你好"), (6, "カタカナ と 漢字 mixed"), (7, None)]
-
-
-@query(f"SELECT id::INT AS id, {TOKENS_SQL} AS tokens FROM {values_sql(CJK, 'id, text')}")
+@query(f"""WITH t AS (SELECT doc_id, translate(text, 'aeiour', '漢字かなカ鿿') AS text FROM documents) SELECT doc_id, {TOKENS_SQL} AS tokens FROM t""")
 def token_estimate_cjk(spark, d):
-    return spark.createDataFrame(CJK, "id int, text string").select("id", tx.tokens(F.col("text")).alias("tokens"))
+    """Texts of which six letters have become ideographs and kana."""
+    rows = table(spark, d, "documents").select("doc_id", F.translate("text", "aeiour", "漢字かなカ鿿").alias("text"))
+    return rows.select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
 
 
 @query(f"{CHUNKS_SQL} SELECT doc_id, chunk, first_ord, last_ord, n_blocks, tokens FROM chunks")
@@ -182,8 +181,7 @@ def detect_chapters(spark, d):
     return out.groupBy("doc_id", "chapter").agg(F.max("chapter_title").alias("title"), F.count("*").alias("n_blocks"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT (range // 40)::BIGINT AS doc_id, range % 40 AS idx, ((range // 5) * 7 + range % 4 // 2) % 3 AS k FROM range(400)),
-titled AS (SELECT doc_id, idx, CASE WHEN k < 2 THEN 't' || k END AS title FROM t),
+@query("""WITH RECURSIVE titled AS (SELECT doc_id // 40 AS doc_id, doc_id % 40 AS idx, CASE WHEN lang IN ('en', 'fr') THEN lang END AS title FROM documents),
 walk AS (
   SELECT doc_id, idx, title, title IS NOT NULL AS kept, CASE WHEN title IS NOT NULL THEN idx END AS last_idx, title AS last_title FROM titled WHERE idx = 0
   UNION ALL
@@ -194,9 +192,10 @@ walk AS (
   FROM walk w JOIN titled t ON t.doc_id = w.doc_id AND t.idx = w.idx + 1)
 SELECT doc_id, idx, title FROM walk WHERE kept""")
 def boundary_dedupe(spark, d):
-    rows = spark.range(400).withColumn("k", F.expr("((id div 5) * 7 + (id % 4) div 2) % 3"))
-    title = F.when(F.col("k") < 2, F.concat(F.lit("t"), "k"))
-    return books.boundaries(rows.select(F.expr("id div 40").alias("doc_id"), F.expr("id % 40").alias("idx"), title.alias("title")), "doc_id")
+    """Documents as blocks of books of forty, two languages as titles."""
+    title = F.when(F.col("lang").isin("en", "fr"), F.col("lang"))
+    rows = table(spark, d, "documents").select(F.expr("doc_id div 40").alias("doc_id"), F.expr("doc_id % 40").alias("idx"), title.alias("title"))
+    return books.boundaries(rows, "doc_id")
 
 
 NAMES = [(i, n) for i, n in enumerate([
@@ -225,28 +224,34 @@ TITLES = [(i, *t) for i, t in enumerate([
     ("heading", 2, "A heading of the second level that is longer than forty characters"), ("paragraph", None, "Chapter 12: Rain"),
     ("paragraph", None, "chapter 3"), ("paragraph", None, "Chapterhouse"), ("heading", None, "Part 2 - Home"), ("paragraph", None, "Prologue"),
     ("paragraph", None, "Prologues"), ("caption", None, "Prologue"), ("paragraph", None, "x" * 90), ("paragraph", None, " "), ("paragraph", None, None)])]
-TITLE_CTE = f"""t AS (SELECT id, kind, level, text, trim(coalesce(text, ''), {WS}) AS own FROM {values_sql(TITLES, 'id, kind, level, text')}),
-based AS (SELECT *, regexp_extract(regexp_replace(own, '/+$', ''), '([^/]*)$', 1) AS base FROM t),
+TITLE_CTE = f"""f AS (SELECT * FROM {values_sql(TITLES, 'i, kind, level, given')}),
+t AS (SELECT d.doc_id AS id, kind, level, given || CASE WHEN d.doc_id % 3 = 0 THEN ' ' || substr(d.text, 1, d.doc_id % 30) ELSE '' END AS text FROM documents d JOIN f ON d.doc_id % {len(TITLES)} = i),
+owned AS (SELECT *, trim(coalesce(text, ''), {WS}) AS own FROM t),
+based AS (SELECT *, regexp_extract(regexp_replace(own, '/+$', ''), '([^/]*)$', 1) AS base FROM owned),
 stemmed AS (SELECT *, trim({STEM_SQL}, {WS}) AS stem, regexp_extract(own, '(?i)^(?:{tx.TITLE_START})') AS start FROM based),
 judged AS (SELECT *, stem = '' OR regexp_matches(stem, '{TECH_RE}') AS technical FROM stemmed),
 titled AS (SELECT *, own <> '' AND length(own) <= 80 AND NOT technical AND start <> ''
   AND (length(own) = length(start) OR contains('{tx.TITLE_NEXT}', substr(own, length(start) + 1, 1))) AS is_title FROM judged)"""
 
 
-def titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TITLES, "id int, kind string, level int, text string")
+def titles(spark: SparkSession, d: str) -> DataFrame:
+    """Title-like and other texts, one for each document; behind every third one stands how the document begins."""
+    fixture = spark.createDataFrame(TITLES, "i long, kind string, level int, given string")
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.substring("text", F.lit(1), F.col("doc_id") % 30))).otherwise("")
+    rows = table(spark, d, "documents").join(F.broadcast(fixture), F.col("doc_id") % len(TITLES) == F.col("i"))
+    return rows.select(F.col("doc_id").alias("id"), "kind", "level", F.concat("given", more).alias("text"))
 
 
-@query(f"WITH {TITLE_CTE} SELECT id::INT AS id, is_title FROM titled")
+@query(f"WITH {TITLE_CTE} SELECT id, is_title FROM titled")
 def chapter_title_predicate(spark, d):
-    return titles(spark).select("id", tx.is_chapter_title(F.col("text")).alias("is_title"))
+    return titles(spark, d).select("id", tx.is_chapter_title(F.col("text")).alias("is_title"))
 
 
-@query(f"""WITH {TITLE_CTE} SELECT id::INT AS id, CASE WHEN own = '' OR technical THEN NULL
+@query(f"""WITH {TITLE_CTE} SELECT id, CASE WHEN own = '' OR technical THEN NULL
   WHEN kind = 'heading' AND (coalesce(level, 2) <= 1 OR is_title OR (coalesce(level, 2) = 2 AND length(own) <= 40)) THEN own
   WHEN kind = 'paragraph' AND is_title THEN own END AS title FROM titled""")
 def block_titles(spark, d):
-    return tx.with_block_title(titles(spark), "kind", "level", "text", "title").select("id", "title")
+    return tx.with_block_title(titles(spark, d), "kind", "level", "text", "title").select("id", "title")
 
 
 @query(f"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), {WS}) AS own FROM pages),
@@ -264,14 +269,20 @@ ITEMS = [(i, *x) for i, x in enumerate([
     ("OPS\\imprint.html", "x3"), ("a/b/toc.ncx", "ncx"), ("Text/ch01.xhtml#top", "c1"), ("dedication", "d"), ("uncovered.xhtml", "u"), (None, None)])]
 
 
-@query(f"""WITH t AS (SELECT id, name, item, lower(replace(coalesce(name, ''), chr(92), '/')) AS low, lower(coalesce(item, '')) AS iid FROM {values_sql(ITEMS, 'id, name, item')}),
+@query(f"""WITH f AS (SELECT * FROM {values_sql(ITEMS, 'i, n, item')}),
+g AS (SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN n ELSE regexp_extract(url, '^https?://([^/?#]*)', 1) || '/' || n END AS name, item FROM pages JOIN f ON page_id % {len(ITEMS)} = i),
+t AS (SELECT id, name, item, lower(replace(coalesce(name, ''), chr(92), '/')) AS low, lower(coalesce(item, '')) AS iid FROM g),
 based AS (SELECT *, regexp_extract(regexp_replace(low, '/+$', ''), '([^/]*)$', 1) AS base FROM t),
 stemmed AS (SELECT *, {STEM_SQL} AS stem FROM based)
-SELECT id::INT AS id, regexp_matches(base, 'nav.xhtml|toc.xhtml|toc.ncx|nav.ncx|ncx') OR regexp_matches(low, '{tx.FRONT_MATTER}') OR regexp_matches(stem, '{tx.FRONT_MATTER}')
+SELECT id, regexp_matches(base, 'nav.xhtml|toc.xhtml|toc.ncx|nav.ncx|ncx') OR regexp_matches(low, '{tx.FRONT_MATTER}') OR regexp_matches(stem, '{tx.FRONT_MATTER}')
   OR iid IN ('nav', 'ncx', 'cover', 'titlepage', 'title-page', 'frontmatter') OR (contains(iid, 'cover') AND NOT contains(iid, 'chapter')) AS front,
   lower(regexp_extract(regexp_replace(string_split(coalesce(name, ''), '#')[1], '/+$', ''), '([^/]*)$', 1)) AS href FROM stemmed""")
 def front_matter(spark, d):
-    rows = spark.createDataFrame(ITEMS, "id int, name string, item string")
+    """Names and ids of a package's items, below folders that are called as the pages' hosts."""
+    fixture = spark.createDataFrame(ITEMS, "i long, n string, item string")
+    host = F.concat(F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.lit("/"), F.col("n"))
+    rows = table(spark, d, "pages").join(F.broadcast(fixture), F.col("page_id") % len(ITEMS) == F.col("i"))
+    rows = rows.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 2 == 0, F.col("n")).otherwise(host).alias("name"), "item")
     return rows.select("id", tx.is_front_matter(F.col("name"), F.col("item")).alias("front"), tx.normal_href(F.col("name")).alias("href"))
 
 

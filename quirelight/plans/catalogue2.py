@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelight.functions import languages as lang
 from quirelight.functions import text as tx
 from quirelight.operators import books, glossary, jobs, packages, render, translate, validate
-from quirelight.plans.catalogue import WS, query, table, values_sql
-from quirelight.sources import epub
+from quirelight.plans.catalogue import CONV_SQL, STEM_SQL, TECH_RE, WS, conv_blocks, conv_chapters, query, table, values_sql
+from quirelight.sources import epub, epub_io, store
 
 # ---- glossaries -------------------------------------------------------------------------------
 
@@ -243,10 +245,10 @@ def update_status(spark, d):
     return jobs.with_status(rows, changes).select("job_id", "status", "error")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS text FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'T: ' || text ELSE text END AS text FROM documents""")
 def apply_translations(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("text"))
-    return jobs.applied(rows, rows.where("doc_id % 3 = 0").withColumn("text", F.upper("text")), ["doc_id"])
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    return jobs.applied(rows, rows.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("T: "), "text")), ["doc_id"])
 
 
 EVENTS_SQL = """e AS (SELECT user_id, ts, event_id, event_type = 'error' OR value < 20 AS bad FROM events),
@@ -269,27 +271,27 @@ def breaker_opens(spark, d):
     return jobs.broken(event_log(spark, d), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
 
 
-POLICIES = [("a", 3, 2.0), ("b", 1, 0.5), ("c", 0, 1.0), ("d", 5, 1.5)]
-
-
-@query(f"""SELECT policy, a::INT AS attempt, ((a - 1) * delay)::DOUBLE AS wait, (delay * a * (a - 1) / 2)::DOUBLE AS waited
-FROM (SELECT policy, delay, unnest(range(1, greatest(1, attempts) + 1)) AS a FROM {values_sql(POLICIES, 'policy, attempts, delay')})""")
+@query("""SELECT policy, a::INT AS attempt, ((a - 1) * delay)::DOUBLE AS wait, (delay * a * (a - 1) / 2)::DOUBLE AS waited
+FROM (SELECT p_partkey AS policy, (p_partkey % 5) / 2.0 AS delay, unnest(range(1, greatest(1, p_size % 6) + 1)) AS a FROM part)""")
 def retry_schedule(spark, d):
-    return jobs.retry_schedule(spark.createDataFrame(POLICIES, "policy string, attempts int, delay double"))
+    """A policy for each part: its size gives the attempts, its key the delay."""
+    policies = table(spark, d, "part").select(F.col("p_partkey").alias("policy"), (F.col("p_size") % 6).cast("int").alias("attempts"), ((F.col("p_partkey") % 5) / 2).alias("delay"))
+    return jobs.retry_schedule(policies)
 
 
 STATUSES = ("pending", "processing", "paused", "completed", "completed_with_errors", "cancelled")
 ACTIONS = ("cancel", "pause", "resume", "retry", "remove")
 
 
-@query(f"""WITH s AS (SELECT unnest({list(STATUSES)}) AS status), a AS (SELECT unnest({list(ACTIONS)}) AS action),
+@query(f"""WITH i AS (SELECT o_orderkey AS item_id, ({list(STATUSES)})[(o_custkey % 6 + 1)::INT] AS status, ({list(ACTIONS)})[(o_orderkey % 5 + 1)::INT] AS action FROM orders),
 t AS (SELECT * FROM {values_sql(list(jobs.TRANSITIONS), 'action, status, new_status, asked')})
-SELECT s.status || '/' || a.action AS item_id, a.action, s.status, coalesce(t.new_status, s.status) AS new_status, t.asked, t.new_status IS NOT NULL AS allowed,
-  CASE WHEN a.action = 'retry' AND t.new_status IS NOT NULL THEN NULL ELSE 'e' END AS new_error
-FROM s, a LEFT JOIN t ON t.action = a.action AND t.status = s.status""")
+SELECT i.item_id, i.action, i.status, coalesce(t.new_status, i.status) AS new_status, t.asked, t.new_status IS NOT NULL AS allowed,
+  CASE WHEN i.action = 'retry' AND t.new_status IS NOT NULL THEN NULL ELSE 'e' END AS new_error
+FROM i LEFT JOIN t ON t.action = i.action AND t.status = i.status""")
 def queue_transitions(spark, d):
-    each = [(f"{s}/{a}", s, "e", a) for s in STATUSES for a in ACTIONS]
-    rows = spark.createDataFrame(each, "item_id string, status string, error string, action string")
+    """Orders as queue items, each asked for one action."""
+    pick = lambda names, key: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col(key) % len(names) + 1).cast("int"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), pick(STATUSES, "o_custkey").alias("status"), F.lit("e").alias("error"), pick(ACTIONS, "o_orderkey").alias("action"))
     return jobs.moved(rows.drop("action"), rows.select("item_id", "action"))
 
 
@@ -311,9 +313,12 @@ def l2_failed_by_chapter(spark, d):
     return validate.failed_by_chapter(labelled(spark, d))
 
 
-@query(f"WITH {LABELLED_SQL} SELECT book_id, 'b' || doc_id AS block_id FROM labelled WHERE status <> 'completed'")
+@query(f"""WITH {LABELLED_SQL} SELECT book_id, 'b' || doc_id AS block_id FROM labelled JOIN documents d USING (doc_id)
+WHERE status <> 'completed' AND d.lang <> 'de' AND trim(coalesce(CASE WHEN doc_id % 9 > 0 THEN d.text END, ''), {WS}) <> ''""")
 def l2_missing_blocks(spark, d):
-    rows = labelled(spark, d).select("book_id", F.concat(F.lit("b"), "doc_id").alias("block_id"), F.lit("paragraph").alias("type"), F.lit("x").alias("text"), "status")
+    """Documents as blocks: German ones are images, every ninth has no text; labels tell what is done."""
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "de", "image").otherwise("paragraph").alias("type"), F.when(F.col("doc_id") % 9 > 0, F.col("text")).alias("text"))
+    rows = labelled(spark, d).join(docs, "doc_id").select("book_id", F.concat(F.lit("b"), "doc_id").alias("block_id"), "type", "text", "status")
     return validate.missing_blocks(rows, rows.where("status = 'completed'"))
 
 
@@ -331,24 +336,35 @@ def l2_image_refs(spark, d):
     return validate.unmapped_images(rows, assets)
 
 
-REPLIES = [
-    ("ok", '{"translations":[{"id":"a","text":"A"},{"id":"b","text":"B"}]}', ["a", "b"]), ("missing", '{"translations":[{"id":"a","text":"A"}]}', ["a", "b"]),
-    ("extra", '{"translations":[{"id":"a","text":"A","note":1}],"more":2}', ["a"]), ("broken", "{not json", ["a"]), ("array", "[1]", ["a"]),
-    ("nolist", '{"translations":{"id":"a"}}', ["a"]), ("types", '{"translations":[5,{"id":7,"text":"x"},{"id":"a","text":5},{"id":"b","text":" "},{"id":"b","text":"B"}]}', ["a", "b"]),
-    ("twice", '{"translations":[{"id":"a","text":"A"},{"id":"a","text":"B"},{"id":"z","text":"Z"}]}', ["a"]), ("null", '{"translations":[{"id":"a","text":null}]}', ["a"]),
-]
-FINDINGS = [
-    ("missing", 1 << 30, "missing_ids", "b"), ("extra", -2, "unexpected_fields", "more"), ("extra", 0, "unexpected_item_fields", "note"), ("broken", -3, "not_object", None),
-    ("array", -3, "not_object", None), ("nolist", -1, "no_translations", None), ("types", 0, "item_not_object", "0"), ("types", 1, "item_without_id", "1"),
-    ("types", 2, "text_not_string", "a"), ("types", 3, "empty_text", "b"), ("types", 4, "duplicate_id", "b"), ("types", 1 << 30, "missing_ids", "a,b"),
-    ("twice", 1, "duplicate_id", "a"), ("twice", (1 << 30) + 1, "unknown_ids", "z"), ("null", 0, "empty_text", "a"), ("null", 1 << 30, "missing_ids", "a"),
-]
+REPLY_CASES = 8
 
 
-@query(f"SELECT entity, place::INT AS place, 'error' AS severity, code, detail FROM {values_sql(FINDINGS, 'entity, place, code, detail')}")
+@query(f"""WITH t AS (SELECT conv_id, turn, 't' || turn AS id, trim(coalesce(text, ''), {WS}) = '' AS blank, conv_id % {REPLY_CASES} AS k,
+  row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+found AS (
+  SELECT DISTINCT conv_id, -3 AS place, 'not_object' AS code, NULL AS detail FROM t WHERE k = 6
+  UNION ALL SELECT DISTINCT conv_id, -2, 'unexpected_fields', 'more' FROM t WHERE k = 4
+  UNION ALL SELECT DISTINCT conv_id, -1, 'no_translations', NULL FROM t WHERE k = 7
+  UNION ALL SELECT conv_id, place, 'unexpected_item_fields', 'note' FROM t WHERE k = 4
+  UNION ALL SELECT conv_id, place, 'empty_text', id FROM t WHERE k NOT IN (1, 6, 7) AND (blank OR (k = 3 AND place = 0))
+  UNION ALL SELECT conv_id, place - 1, 'empty_text', id FROM t WHERE k = 1 AND place > 0 AND blank
+  UNION ALL SELECT conv_id, n, 'duplicate_id', id FROM t WHERE k = 5 AND place = 0
+  UNION ALL SELECT conv_id, {1 << 30}, 'missing_ids', string_agg(id, ',' ORDER BY id) FROM t
+    WHERE k NOT IN (6, 7) AND (blank OR (k = 1 AND place = 0) OR (k = 3 AND place = 0)) GROUP BY conv_id
+  UNION ALL SELECT DISTINCT conv_id, {(1 << 30) + 1}, 'unknown_ids', 'zz' FROM t WHERE k = 2)
+SELECT conv_id::VARCHAR AS entity, place::INT AS place, 'error' AS severity, code, detail FROM found""")
 def l1_validate(spark, d):
-    """The SQL states the findings that the fixture must give: they are its specification."""
-    return validate.reply_findings(spark.createDataFrame(REPLIES, "reply_id string, payload string, source_ids array<string>"))
+    """Replies made of conversations: whole ones, and such as lack, repeat, blank or add something, or are no reply."""
+    k = F.col("k")
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("t"), "turn").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "text"))).alias("b")).withColumn("k", F.col("conv_id") % REPLY_CASES)
+    item = lambda x, i: F.struct(x["id"].alias("id"), F.when((k == 3) & (i == 0), F.lit(" ")).otherwise(x["text"]).alias("text"), F.when(k == 4, F.lit(1)).alias("note"))
+    each = F.transform("b", item)
+    more = F.struct(F.lit("zz").alias("id"), F.lit("Z").alias("text"), F.lit(None).cast("int").alias("note"))
+    each = F.when(k == 1, F.slice(each, 2, F.size("b") - 1)).when(k == 2, F.concat(each, F.array(more))).when(k == 5, F.concat(each, F.slice(each, 1, 1))).otherwise(each)
+    whole = F.to_json(F.struct(each.alias("translations"), F.when(k == 4, F.lit(2)).alias("more")))
+    payload = F.when(k == 6, F.lit("[1]")).when(k == 7, F.lit('{"translations":{"id":"a"}}')).otherwise(whole)
+    return validate.reply_findings(rows.select(F.col("conv_id").alias("reply_id"), payload.alias("payload"), F.transform("b", lambda x: x["id"]).alias("source_ids")))
 
 
 # ---- prompts and languages --------------------------------------------------------------------
@@ -364,74 +380,120 @@ def prompt_render(spark, d):
 
 
 @query("""SELECT conv_id, count(CASE WHEN turn >= 1 AND turn % 5 > 0 THEN 1 END) AS n_context, count(CASE WHEN turn >= 1 AND turn % 5 > 0 AND turn % 2 = 0 THEN 1 END) AS n_translated,
-  count(*) AS n_blocks FROM conversations GROUP BY conv_id""")
+  count(*) AS n_blocks, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, count(CASE WHEN role = 'user' THEN 1 END) AS n_entries FROM conversations GROUP BY conv_id""")
 def user_payload(spark, d):
-    """What the payload's JSON holds, read back."""
-    block = F.struct(F.when(F.col("turn") % 5 > 0, F.concat(F.lit("t"), "turn")).otherwise("").alias("id"), F.lit("said").alias("text"))
+    """What the payload's JSON holds, read back: texts are the turns', a glossary has an entry for each of the user's."""
+    block = F.struct(F.when(F.col("turn") % 5 > 0, F.concat(F.lit("t"), "turn")).otherwise("").alias("id"), F.col("text").alias("text"))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(
         F.collect_list(block).alias("blocks"), F.collect_list(F.when(F.col("turn") >= 1, block)).alias("carry_over"),
         F.map_from_entries(F.collect_list(F.when(F.col("turn") % 2 == 0, F.struct(F.concat(F.lit("t"), "turn").alias("k"), F.lit("done").alias("v"))))).alias("carry_translated"),
+        F.collect_list(F.when(F.col("role") == "user", F.struct(F.substring("text", 1, 8).alias("source"), F.lit("x").alias("target"), F.lit("terminology").alias("type")))).alias("glossary"),
     )
-    rows = rows.select("*", F.lit("en").alias("source_lang"), F.lit("ja").alias("target_lang"), F.lit("fiction").alias("style"), F.array().cast("array<struct<source:string,target:string,type:string>>").alias("glossary"))
-    back = F.from_json("payload", "carry_over array<struct<id:string,source:string,translated:string>>, to_translate array<struct<id:string,text:string>>")
+    rows = rows.select("*", F.lit("en").alias("source_lang"), F.lit("ja").alias("target_lang"), F.lit("fiction").alias("style"))
+    back = F.from_json("payload", "carry_over array<struct<id:string,source:string,translated:string>>, to_translate array<struct<id:string,text:string>>, glossary array<struct<source:string>>")
     rows = render.payload(rows).select("conv_id", back.alias("p"))
     done = F.filter("p.carry_over", lambda x: x["translated"].isNotNull())
-    return rows.select("conv_id", *(F.size(c).cast("long").alias(n) for c, n in ((F.col("p.carry_over"), "n_context"), (done, "n_translated"), (F.col("p.to_translate"), "n_blocks"))))
+    chars = F.aggregate("p.to_translate", F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(F.length(x["text"]), F.lit(0)))
+    sizes = ((F.col("p.carry_over"), "n_context"), (done, "n_translated"), (F.col("p.to_translate"), "n_blocks"), (F.col("p.glossary"), "n_entries"))
+    return rows.select("conv_id", chars.alias("n_chars"), *(F.size(c).cast("long").alias(n) for c, n in sizes))
 
 
-GIVEN = [(i, x) for i, x in enumerate(["ja", "zh-Hant", "ZH-hant", " en ", "zh-TW", "zh-HK", "zh-CN", "zh-Hans", "auto", "", None, "Yue", "xx"])]
+GIVEN = ["ja", "zh-Hant", "ZH-hant", " en ", "zh-TW", "zh-HK", "zh-CN", "zh-Hans", "auto", "", None, "Yue", "xx"]
+GIVEN_SQL = f"""g AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN ' ' || lang || chr(9) WHEN 1 THEN upper(lang) WHEN 2 THEN lang || '-XX'
+  ELSE ({GIVEN})[(doc_id % {len(GIVEN)} + 1)::INT] END AS given FROM documents)""".replace("None", "NULL")
+REGISTRY_SQL = values_sql(list(lang.LANGUAGES), "code, name_en")[: -len(" AS v(code, name_en)")] + " AS l(code, name_en)"
 
 
-@query(f"""SELECT g.id::INT AS id, l.code, l.name_en FROM {values_sql(GIVEN, 'id, given')[:-len(' AS v(id, given)')]} AS g(id, given)
-LEFT JOIN {values_sql(list(lang.LANGUAGES), 'code, name_en')[:-len(' AS v(code, name_en)')]} AS l(code, name_en) ON lower(trim(g.given, {WS})) = lower(l.code)""")
+@query(f"""WITH {GIVEN_SQL} SELECT g.id, l.code, l.name_en FROM g LEFT JOIN {REGISTRY_SQL} ON lower(trim(g.given, {WS})) = lower(l.code)""")
 def language_normalize(spark, d):
-    return lang.normalized(spark.createDataFrame(GIVEN, "id int, given string"), "given").select("id", "code", "name_en")
+    """Documents' languages as people write them, and other codes."""
+    k = F.col("doc_id") % 4
+    other = F.element_at(F.array(*(F.lit(x) for x in GIVEN)), (F.col("doc_id") % len(GIVEN) + 1).cast("int"))
+    given = F.when(k == 0, F.concat(F.lit(" "), "lang", F.lit("\t"))).when(k == 1, F.upper("lang")).when(k == 2, F.concat("lang", F.lit("-XX"))).otherwise(other)
+    return lang.normalized(table(spark, d, "documents").select(F.col("doc_id").alias("id"), given.alias("given")), "given").select("id", "code", "name_en")
 
 
-@query(f"SELECT code, name_en FROM {values_sql(list(lang.LANGUAGES), 'code, name_en')}")
+@query(f"SELECT code, name_en, count(d.lang) AS n_documents FROM {REGISTRY_SQL} LEFT JOIN documents d ON d.lang = l.code GROUP BY code, name_en")
 def language_registry(spark, d):
-    return lang.languages(spark)
+    """The registry, and how many documents are in each language."""
+    rows = lang.languages(spark).join(table(spark, d, "documents").select(F.col("lang").alias("code"), "lang"), "code", "left")
+    return rows.groupBy("code", "name_en").agg(F.count("lang").alias("n_documents"))
 
 
 # ---- packages ---------------------------------------------------------------------------------
 
-SPINE = [("b1", 0, "i1"), ("b1", 1, "Text/two.xhtml"), ("b1", 2, "three.xhtml"), ("b1", 3, "nav"), ("b1", 4, "nowhere"), ("b2", 0, "cover")]
-MANIFEST = [
-    ("b1", 0, "i1", "Text/one.xhtml", "application/xhtml+xml"), ("b1", 1, "i2", "Text/two.xhtml", "application/xhtml+xml"), ("b1", 2, "i3", "Text/three.xhtml", "application/xhtml+xml"),
-    ("b1", 3, "nav", "nav.xhtml", "application/xhtml+xml"), ("b1", 4, "pic", "images/a.png", "image/png"), ("b2", 0, "cover", "cover.xhtml", "application/xhtml+xml"), ("b2", 1, "c1", "ch1.xhtml", "application/xhtml+xml"),
-]
-TOC = [("b1", 0, 0, "Text/one.xhtml#a", "First"), ("b1", 0, 1, "one.xhtml", "Again"), ("b1", 1, 0, "TWO.xhtml", "Second"), ("b1", 1, 1, "three.xhtml", "chap_0003"), ("b2", 0, 0, "ch1.xhtml", "x" * 81)]
-
-
-def _package(spark: SparkSession):
-    spine = spark.createDataFrame(SPINE, "book_id string, pos int, idref string")
-    manifest = spark.createDataFrame(MANIFEST, "book_id string, item_pos int, item_id string, name string, media_type string")
-    return spine, manifest
+# Documents are items of books of twenty: doc_id // 20 is the book, doc_id % 20 the place in its manifest. Every
+# seventh is an image, every eleventh the cover, every eighth book has a spine that names nothing.
+ITEM_SQL = """m AS (SELECT doc_id // 20 AS book_id, (doc_id % 20)::INT AS item_pos, CASE WHEN doc_id % 11 = 0 THEN 'cover' ELSE 'i' || doc_id END AS item_id,
+  'Text/P' || doc_id || '.xhtml' AS name, CASE WHEN doc_id % 7 = 0 THEN 'image/png' ELSE 'application/xhtml+xml' END AS media_type, doc_id, text FROM documents)"""
 
 
-SPINE_ROWS = [("b1", 0, "i1", "Text/one.xhtml"), ("b1", 1, "i2", "Text/two.xhtml"), ("b1", 2, "i3", "Text/three.xhtml"), ("b2", 1, "c1", "ch1.xhtml")]
+def items(spark: SparkSession, d: str) -> DataFrame:
+    own = F.concat(F.lit("i"), "doc_id")
+    return table(spark, d, "documents").select(
+        F.expr("doc_id div 20").alias("book_id"), F.expr("cast(doc_id % 20 as int)").alias("item_pos"), F.when(F.col("doc_id") % 11 == 0, "cover").otherwise(own).alias("item_id"),
+        F.concat(F.lit("Text/P"), "doc_id", F.lit(".xhtml")).alias("name"), F.when(F.col("doc_id") % 7 == 0, "image/png").otherwise("application/xhtml+xml").alias("media_type"), "doc_id", "text",
+    )
 
 
-@query(f"SELECT book_id, pos::INT AS pos, item_id, name FROM {values_sql(SPINE_ROWS, 'book_id, pos, item_id, name')}")
+@query(f"""WITH {ITEM_SQL}, s AS (SELECT book_id, 19 - item_pos AS pos, CASE WHEN book_id % 8 = 0 THEN 'nothing' WHEN doc_id % 4 = 0 THEN item_id WHEN doc_id % 4 = 1 THEN name
+    WHEN doc_id % 4 = 2 THEN 'P' || doc_id || '.xhtml' ELSE 'lost' || doc_id END AS idref FROM m),
+k AS (SELECT *, 0 AS prio, item_id AS idref FROM m UNION ALL SELECT *, 1, name FROM m UNION ALL SELECT *, 2, 'P' || doc_id || '.xhtml' FROM m),
+met AS (SELECT s.book_id, s.pos, k.item_id, k.name, k.media_type FROM s JOIN k USING (book_id, idref) QUALIFY row_number() OVER (PARTITION BY s.book_id, s.pos ORDER BY prio, item_pos) = 1),
+found AS (SELECT book_id, pos, item_id, name FROM met WHERE media_type <> 'image/png' AND item_id <> 'cover')
+SELECT book_id, pos::INT AS pos, item_id, name FROM found
+UNION ALL SELECT book_id, item_pos, item_id, name FROM m WHERE media_type <> 'image/png' AND item_id <> 'cover' AND book_id NOT IN (SELECT book_id FROM found)""")
 def spine_documents(spark, d):
-    """Items by id, name or base name; a spine that gives none falls back to the manifest."""
-    return packages.spine_documents(*_package(spark))
-
-
-@query("""SELECT * FROM (VALUES ('b1', 'one.xhtml', 'First'), ('b1', 'two.xhtml', 'Second')) AS v(book_id, href, title)""")
+    """Spines in the manifest's opposite order, by id, name or base name; one that gives none falls back to the manifest."""
+    rows = items(spark, d)
+    k = F.col("doc_id") % 4
+    idref = F.when(F.col("book_id") % 8 == 0, "nothing").when(k == 0, F.col("item_id")).when(k == 1, F.col("name")).when(k == 2, F.concat(F.lit("P"), "doc_id", F.lit(".xhtml"))).otherwise(F.concat(F.lit("lost"), "doc_id"))
+    spine = rows.select("book_id", (F.lit(19) - F.col("item_pos")).alias("pos"), idref.alias("idref"))
+    return packages.spine_documents(spine, rows.drop("doc_id", "text"))
+
+
+# A package's contents: its own, then an older form's. Every fifth title is a resource's name, every ninth too long.
+TOC_SQL = f"""{ITEM_SQL},
+toc AS (SELECT book_id, 0 AS source, item_pos AS pos, CASE WHEN doc_id % 2 = 0 THEN '../' || name || '#top' ELSE upper('P' || doc_id || '.xhtml') END AS href,
+    CASE WHEN doc_id % 5 = 0 THEN 'chap_0' || doc_id WHEN doc_id % 9 = 0 THEN repeat('x', 81) ELSE ' ' || substr(text, 1, 20) || ' ' END AS title FROM m WHERE doc_id % 3 > 0
+  UNION ALL SELECT book_id, 1, item_pos, name, 'Old ' || doc_id FROM m WHERE doc_id % 4 > 0),
+cut AS (SELECT *, lower(regexp_extract(regexp_replace(string_split(href, '#')[1], '/+$', ''), '([^/]*)$', 1)) AS h, trim(title, {WS}) AS own FROM toc),
+named AS (SELECT *, regexp_extract(regexp_replace(own, '/+$', ''), '([^/]*)$', 1) AS base FROM cut),
+tocs AS (SELECT *, trim({STEM_SQL}, {WS}) AS stem FROM named),
+titles AS (SELECT book_id, h AS href, own AS title FROM tocs WHERE h <> '' AND length(own) <= 80 AND NOT (stem = '' OR regexp_matches(stem, '{TECH_RE}'))
+  QUALIFY row_number() OVER (PARTITION BY book_id, h ORDER BY source, pos) = 1)"""
+
+
+def contents(spark: SparkSession, d: str) -> DataFrame:
+    rows, k = items(spark, d), F.col("doc_id")
+    href = F.when(k % 2 == 0, F.concat(F.lit("../"), "name", F.lit("#top"))).otherwise(F.upper(F.concat(F.lit("P"), "doc_id", F.lit(".xhtml"))))
+    title = F.when(k % 5 == 0, F.concat(F.lit("chap_0"), "doc_id")).when(k % 9 == 0, F.repeat(F.lit("x"), 81)).otherwise(F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit(" ")))
+    own = rows.where("doc_id % 3 > 0").select("book_id", F.lit(0).alias("source"), F.col("item_pos").alias("pos"), href.alias("href"), title.alias("title"))
+    old = rows.where("doc_id % 4 > 0").select("book_id", F.lit(1).alias("source"), F.col("item_pos").alias("pos"), F.col("name").alias("href"), F.concat(F.lit("Old "), "doc_id").alias("title"))
+    return own.unionByName(old)
+
+
+@query(f"WITH {TOC_SQL} SELECT book_id, href, title FROM titles")
 def toc_lookup(spark, d):
-    return packages.toc_titles(spark.createDataFrame(TOC, "book_id string, source int, pos int, href string, title string"))
+    return packages.toc_titles(contents(spark, d))
 
 
-LABELS = [("b1", 0, "Chapter"), ("b1", 1, "Chapter 2"), ("b1", 2, "The End of it"), ("b2", 0, "Other")]
-TEXTS = [("b1", 0, "Chapter 2"), ("b1", 1, "Chapter 3: Sea"), ("b1", 2, "The End"), ("b1", 3, "T"), ("b1", 4, "Nothing"), ("b2", 0, "Otherwise"), ("b3", 0, "Chapter")]
-LABELLED = [("b1", 0, "Chapter 2"), ("b1", 1, "Chapter"), ("b1", 2, "The End of it"), ("b1", 3, None), ("b1", 4, None), ("b2", 0, "Other"), ("b3", 0, None)]
+LABEL_SQL = f"""l AS (SELECT doc_id // 20 AS book_id, doc_id % 20 AS pos, trim(substr(text, 1, 6 + doc_id % 7), {WS}) AS label FROM documents WHERE doc_id % 3 = 0),
+b AS (SELECT doc_id // 20 AS book_id, doc_id % 20 AS idx, trim(substr(text, 1, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 6 + doc_id % 7 END), {WS}) AS t FROM documents)"""
 
 
-@query(f"SELECT book_id, idx::INT AS idx, label FROM {values_sql(LABELLED, 'book_id, idx, label')}")
+@query(f"""WITH {LABEL_SQL} SELECT b.book_id, idx, coalesce(min_by(CASE WHEN t = label THEN label END, CASE WHEN t = label THEN pos END),
+  min_by(CASE WHEN least(length(t), length(label)) >= 2 AND (starts_with(t, label) OR starts_with(label, t)) THEN label END,
+         CASE WHEN least(length(t), length(label)) >= 2 AND (starts_with(t, label) OR starts_with(label, t)) THEN pos END)) AS label
+FROM b LEFT JOIN l USING (book_id) GROUP BY b.book_id, idx""")
 def toc_label_match(spark, d):
-    blocks = spark.createDataFrame(TEXTS, "book_id string, idx int, text string")
-    return books.matched_label(blocks, spark.createDataFrame(LABELS, "book_id string, pos int, label string")).select("book_id", "idx", "label")
+    """How documents begin, as labels and as blocks of books of twenty: some blocks are shorter than their label, some the same."""
+    docs = table(spark, d, "documents").select(F.expr("doc_id div 20").alias("book_id"), F.expr("doc_id % 20").alias("idx"), "doc_id", "text")
+    size = (F.lit(6) + F.col("doc_id") % 7).cast("int")
+    labels = docs.where("doc_id % 3 = 0").select("book_id", F.col("idx").alias("pos"), tx.strip(F.substring("text", F.lit(1), size)).alias("label"))
+    shown = F.when(F.col("doc_id") % 4 == 0, 1).when(F.col("doc_id") % 4 == 1, 3).otherwise(size)
+    blocks = docs.select("book_id", "idx", F.substring("text", F.lit(1), shown).alias("text"))
+    return books.matched_label(blocks, labels).select("book_id", "idx", "label")
 
 
 @query("""WITH a AS (SELECT page_id, unnest(range(3)) AS pos, 'images/p' || (page_id + unnest(range(3))) || '.png' AS path FROM pages)
@@ -443,22 +505,30 @@ def image_ref_resolve(spark, d):
     return packages.image_assets(refs, assets, "page_id").select("page_id", "path")
 
 
-PATHS = [("a.JPG",), ("b/c.jpeg",), ("x.png",), ("x.svg",), ("noext",), ("a.b/noext",), ("x.webp",), ("y.gif",), ("z.bin",)]
-MEDIA = [("a.JPG", "image/jpeg"), ("b/c.jpeg", "image/jpeg"), ("x.png", "image/png"), ("x.svg", "image/svg+xml"), ("noext", "application/octet-stream"), ("a.b/noext", "application/octet-stream"), ("x.webp", "image/webp"), ("y.gif", "image/gif"), ("z.bin", "application/octet-stream")]
+SUFFIXES = [".JPG", ".jpeg", ".png", ".svg", "", ".b/noext", ".webp", ".gif", ".bin", "."]
 
 
-@query(f"SELECT path, media_type FROM {values_sql(MEDIA, 'path, media_type')}")
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) || '/img' || page_id || ({SUFFIXES})[(page_id % {len(SUFFIXES)} + 1)::INT] AS path FROM pages)
+SELECT page_id, path, CASE lower(regexp_extract(path, '\\.([^./]*)$', 1)) WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'gif' THEN 'image/gif'
+  WHEN 'webp' THEN 'image/webp' WHEN 'svg' THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS media_type FROM p""")
 def media_types(spark, d):
-    return spark.createDataFrame(PATHS, "path string").select("path", render.media_type(F.col("path")).alias("media_type"))
+    """Images below the pages' hosts, whose names hold dots too."""
+    suffix = F.element_at(F.array(*(F.lit(x) for x in SUFFIXES)), (F.col("page_id") % len(SUFFIXES) + 1).cast("int"))
+    path = F.concat(F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.lit("/img"), "page_id", suffix)
+    return table(spark, d, "pages").select("page_id", path.alias("path")).withColumn("media_type", render.media_type(F.col("path")))
 
 
-SIZES = [(1600, 900), (1601, 900), (3200, 1000), (1000, 4000), (10, 10)]
+SIZE_SQL = """s AS (SELECT l_orderkey, l_linenumber, (l_partkey % 2500 + 1)::INT AS w, (l_suppkey * 37 % 4000 + 1)::INT AS h FROM lineitem
+  UNION ALL SELECT 0, range::INT, (1590 + range)::INT, 900 FROM range(20)),
+scaled AS (SELECT *, CASE WHEN greatest(w, h) > 1600 THEN 1600.0::DOUBLE / greatest(w, h) ELSE 1.0::DOUBLE END AS k FROM s)"""
 
 
-@query(f"""SELECT w::INT AS w, h::INT AS h, CASE WHEN greatest(w, h) > 1600 THEN (w * (1600.0::DOUBLE / greatest(w, h)))::DOUBLE::INT ELSE w END AS new_w FROM {values_sql(SIZES, 'w, h')} WHERE w <> 1601""")
+@query(f"WITH {SIZE_SQL} SELECT l_orderkey, l_linenumber, w, h, greatest(1, floor(w * k))::INT AS new_w, greatest(1, floor(h * k))::INT AS new_h FROM scaled")
 def image_sizes(spark, d):
-    rows = spark.createDataFrame(SIZES, "w int, h int").where("w <> 1601")
-    return packages.shrunk(rows).select("w", "h", "new_w")
+    """Sizes made of line items, and those around the limit."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(l_partkey % 2500 + 1 as int)").alias("w"), F.expr("cast(l_suppkey * 37 % 4000 + 1 as int)").alias("h"))
+    near = spark.range(20).select(F.lit(0).cast("long").alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber"), F.expr("cast(1590 + id as int)").alias("w"), F.lit(900).alias("h"))
+    return packages.shrunk(rows.withColumn("l_linenumber", F.col("l_linenumber").cast("int")).unionByName(near.withColumn("l_orderkey", F.col("l_orderkey"))))
 
 
 @query("""SELECT user_id, count(*) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed FROM events GROUP BY user_id""")
@@ -477,19 +547,115 @@ def stream_breaker(spark, d):
     return drained_breaker(spark, d)
 
 
-@query(None)
+# Pages as their generator writes them: a body of a navigation list, a comment, an advertisement, an article and a
+# footer; inside the article h1, p, b and br. Tags that end a text become chr(1), others chr(2).
+UNESCAPED = "replace(replace(replace(replace({x}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+PAGE_SQL = f"""bodies AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)^.*?</nav>|<!--.*?-->|<footer>.*$', '', 'g'), '(?s)<(script|style)\\b.*?</(script|style)>', '', 'g') AS h FROM pages),
+cut AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '<h1[^>]*>', chr(1) || 'H', 'g'), '</?(div|article|p|h1|br|body|html)\\b[^>]*>', chr(1), 'g'), chr(1)) AS parts FROM bodies),
+parts AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS n FROM cut),
+pieces AS (SELECT page_id, n, starts_with(part, 'H') AND n > 0 AS head, string_split(regexp_replace(CASE WHEN starts_with(part, 'H') AND n > 0 THEN substr(part, 2) ELSE part END, '<[^>]*>', chr(2), 'g'), chr(2)) AS p FROM parts),
+marked AS (SELECT * REPLACE (list_filter(list_transform(p, lambda x: trim({UNESCAPED.format(x='x')}, {WS})), lambda x: x <> '') AS p) FROM pieces),
+blocks AS (SELECT page_id, n, head, array_to_string(p, ' ') AS text FROM marked WHERE len(p) > 0)"""
+
+
+@query(f"""WITH {PAGE_SQL.replace("starts_with(part, 'H') AND n > 0", "starts_with(part, chr(3))").replace("chr(1) || 'H'", "chr(1) || chr(3)")}
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INT AS ord, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head THEN 1 END::INT AS level, text,
+  NULL::VARCHAR AS image_ref, NULL::VARCHAR AS image_alt FROM blocks""")
 def html_blocks(spark, d):
     from quirelight.sources.html import html_blocks as walk
 
     return walk(table(spark, d, "pages").select("page_id", "html"), "page_id")
 
 
-@query(None)
+HEADING_SQL = f"""raw AS (
+  SELECT page_id, 'h1' AS tag, regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS t FROM pages
+  UNION ALL SELECT page_id, 'h2', regexp_extract_all(html, '(?s)<h2[^>]*>(.*?)</h2>', 1) FROM pages
+  UNION ALL SELECT page_id, 'h3', regexp_extract_all(html, '(?s)<h3[^>]*>(.*?)</h3>', 1) FROM pages
+  UNION ALL SELECT page_id, 'title', regexp_extract_all(html, '(?s)<title[^>]*>(.*?)</title>', 1) FROM pages),
+each AS (SELECT page_id, tag, unnest(t) AS inside, unnest(range(len(t))) AS nth FROM raw),
+headings AS (SELECT page_id, tag, nth::INT AS nth, array_to_string(list_filter(list_transform(string_split(regexp_replace(inside, '<[^>]*>', chr(1), 'g'), chr(1)),
+  lambda x: trim({UNESCAPED.format(x='x')}, {WS})), lambda x: x <> ''), ' ') AS text FROM each)"""
+
+
+@query(f"WITH {HEADING_SQL} SELECT page_id, tag, nth, text FROM headings")
+def page_headings(spark, d):
+    """Headings and titles, by a table function that is joined laterally."""
+    from quirelight.sources import html
+
+    return html.page_headings(table(spark, d, "pages").select("page_id", "html"), "page_id")
+
+
+@query(f"""WITH {HEADING_SQL},
+firsts AS (SELECT page_id, tag, trim(text, {WS}) AS own FROM headings WHERE nth = 0 AND NOT (tag = 'h1' AND page_id % 2 = 0)),
+named AS (SELECT page_id, 'stem' AS tag, trim(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[?#].*$', ''), {WS}) AS own FROM pages),
+everything AS (SELECT *, regexp_extract(regexp_replace(own, '/+$', ''), '([^/]*)$', 1) AS base FROM (SELECT * FROM firsts WHERE page_id % 3 > 0 UNION ALL SELECT * FROM named)),
+stemmed AS (SELECT *, trim({STEM_SQL}, {WS}) AS stem FROM everything),
+good AS (SELECT page_id, CASE tag WHEN 'h1' THEN 0 WHEN 'h2' THEN 1 WHEN 'h3' THEN 2 WHEN 'title' THEN 3 ELSE 4 END AS rung, substr(CASE tag WHEN 'stem' THEN stem ELSE own END, 1, 200) AS title
+  FROM stemmed WHERE own <> '' AND NOT (stem = '' OR regexp_matches(stem, '{TECH_RE}')))
+SELECT p.page_id, min_by(g.title, g.rung) AS title FROM pages p LEFT JOIN good g USING (page_id) GROUP BY p.page_id""")
+def page_titles(spark, d):
+    """The ladder of h1, h2, h3, title and the file's stem; even pages have lost their h1, every third all headings."""
+    from quirelight.sources import html
+
+    pages = table(spark, d, "pages")
+    found = html.page_headings(pages.select("page_id", "html"), "page_id").where("page_id % 3 > 0 and not (tag = 'h1' and page_id % 2 = 0)")
+    return html.guessed_titles(found, pages.select("page_id", "url"), "page_id", F.regexp_replace(F.regexp_extract("url", "([^/]*)$", 1), "[?#].*$", ""))
+
+
+# Conversations as packages: a chapter of every three turns; the user's turns are headings of level 2, system turns
+# images without a file. Read back, headings begin chapters.
+READ_SQL = f"""{CONV_SQL},
+shown AS (SELECT book_id, c.ord AS c, -1 AS n, 'heading' AS type, 1 AS level, c.title AS own FROM chapters c
+  UNION ALL SELECT b.book_id, c.ord, b.ord, b.type, 2, trim(b.text, {WS}) FROM blocks b JOIN chapters c USING (book_id, chapter_id) WHERE b.type <> 'image' AND trim(coalesce(b.text, ''), {WS}) <> ''),
+placed AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY c, n) - 1 AS idx, regexp_extract(regexp_replace(own, '/+$', ''), '([^/]*)$', 1) AS base FROM shown),
+stemmed AS (SELECT *, trim({STEM_SQL}, {WS}) AS stem, regexp_extract(own, '(?i)^(?:{tx.TITLE_START})') AS start FROM placed),
+judged AS (SELECT *, length(own) <= 80 AND start <> '' AND (length(own) = length(start) OR contains('{tx.TITLE_NEXT}', substr(own, length(start) + 1, 1))) AS likely,
+  stem = '' OR regexp_matches(stem, '{TECH_RE}') AS technical FROM stemmed),
+labels AS (SELECT book_id, title AS label, ord FROM chapters),
+named AS (SELECT j.book_id, j.idx, min_by(l.label, l.ord) AS label FROM judged j JOIN labels l ON j.book_id = l.book_id AND length(j.own) >= 2 AND (starts_with(j.own, l.label) OR starts_with(l.label, j.own)) GROUP BY j.book_id, j.idx),
+titled AS (SELECT j.*, coalesce(CASE WHEN technical THEN NULL WHEN type = 'heading' AND (level = 1 OR likely OR length(own) <= 40) THEN substr(own, 1, 200)
+  WHEN type = 'paragraph' AND likely THEN substr(own, 1, 200) END, m.label) AS title FROM judged j LEFT JOIN named m USING (book_id, idx)),
+run1 AS (SELECT *, coalesce(lag(title) OVER w = title, FALSE) AS goes FROM titled WINDOW w AS (PARTITION BY book_id ORDER BY idx)),
+run2 AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY idx) AS run FROM run1),
+run3 AS (SELECT *, title IS NOT NULL AND row_number() OVER (PARTITION BY book_id, run ORDER BY idx) % 2 = 1 AS begins FROM run2),
+numbered AS (SELECT *, greatest(1, sum(begins::INT) OVER (PARTITION BY book_id ORDER BY idx))::INT AS chapter FROM run3)"""
+
+
+@query(f"""WITH {READ_SQL} SELECT book_id::VARCHAR AS book_id, chapter, (row_number() OVER (PARTITION BY book_id, chapter ORDER BY idx) - 1)::INT AS ord, type, own AS text,
+  max(CASE WHEN begins THEN title END) OVER (PARTITION BY book_id, chapter) AS chapter_title FROM numbered""")
 def epub_round_trip(spark, d):
-    """Conversations written as EPUB packages and read again: their blocks."""
-    from quirelight.sources.epub import round_trip
+    """Conversations written as EPUB files by the package sink, read again by the package source: their blocks."""
+    folder = f"{store.root(spark)}/quirelight/packages-{uuid.uuid4().hex}"
+    epub.save_files(conv_packages(spark, d), folder)
+    parts = epub_io.read_packages(spark, folder, ["book_id", *epub.PARTS])
+    _, read = epub.books_of(store.saved(parts.withColumn("book_id", tx.stem(F.col("book_id"))), "package-parts"))
+    return read.select("book_id", "chapter", "ord", "type", "text", "chapter_title")
+
+
+def conv_packages(spark: SparkSession, d: str) -> DataFrame:
+    rows = conv_blocks(spark, d).withColumn("src", F.lit(None).cast("string"))
+    heads = conv_chapters(rows)
+    html = render.chapter_html(heads, rows).join(heads.drop("ord"), ["book_id", "chapter_id"])
+    about = heads.select("book_id").distinct().select("book_id", F.concat(F.lit("Book "), "book_id").alias("title"), F.lit("Unknown").alias("author"), F.lit("en").alias("language"))
+    pictures = conv_images(spark, d)
+    return epub.write_epubs(about, html, pictures)
+
 
-    return round_trip(spark, d)
+def conv_images(spark: SparkSession, d: str) -> DataFrame:
+    """Every third turn's text as an image's bytes; the first one of a conversation is its cover."""
+    rows = table(spark, d, "conversations").where("turn % 3 = 0 and text <> ''")
+    kind = F.element_at(F.array(F.lit("png"), F.lit("jpg"), F.lit("svg")), (F.col("turn") % 9 / 3 + 1).cast("int"))
+    return rows.select(F.col("conv_id").alias("book_id"), F.concat(F.lit("img/t "), "turn", F.lit("."), kind).alias("asset_key"), F.col("text").cast("binary").alias("content"), (F.col("turn") == 0).alias("cover"))
+
+
+@query("""SELECT conv_id::VARCHAR AS book_id, 'Book ' || conv_id AS title, 'Unknown' AS author, 'en' AS language, 'urn:book:' || conv_id AS identifier, count(DISTINCT turn // 3)::INT AS n_spine,
+  (count(DISTINCT turn // 3) + count(CASE WHEN turn % 3 = 0 AND text <> '' THEN 1 END) + 2)::INT AS n_items FROM conversations GROUP BY conv_id""")
+def package_metadata(spark, d):
+    """What packages say of themselves: no page and no image is unpacked for it."""
+    folder = f"{store.root(spark)}/quirelight/packages-{uuid.uuid4().hex}"
+    epub.save_files(conv_packages(spark, d), folder)
+    rows = epub_io.read_packages(spark, folder, ["book_id", "title", "author", "language", "identifier", "spine", "manifest"])
+    return rows.select(tx.stem(F.col("book_id")).alias("book_id"), "title", "author", "language", "identifier", F.size("spine").alias("n_spine"), F.size("manifest").alias("n_items"))
 
 
 @query("""SELECT conv_id AS book_id, count(*) AS n_blocks, count(CASE WHEN role = 'assistant' THEN 1 END) AS n_translated FROM conversations GROUP BY conv_id""")
@@ -517,15 +683,48 @@ def resume_carry_over(spark, d):
     return out.select(F.col("book_id").alias("conv_id"), "chunk", part("id").alias("ids"), part("source").alias("source"), part("translated").alias("translated"))
 
 
-IMAGES = [("k1", "img/a.png", "image/png", 3, False), ("k1", "img/front.jpg", "image/jpeg", 5, True), ("k2", "pic.svg", "image/svg+xml", 7, False)]
-
-
-@query(f"SELECT book_id, asset_key, media_type, size::INT AS size, cover FROM {values_sql(IMAGES, 'book_id, asset_key, media_type, size, cover')}")
+@query("""SELECT conv_id AS book_id, 'img/t ' || turn || CASE turn % 9 WHEN 0 THEN '.png' WHEN 3 THEN '.jpg' ELSE '.svg' END AS asset_key,
+  CASE turn % 9 WHEN 0 THEN 'image/png' WHEN 3 THEN 'image/jpeg' ELSE 'image/svg+xml' END AS media_type, octet_length(encode(text))::INT AS size, md5(text) AS md5, turn = 0 AS cover
+FROM conversations WHERE turn % 3 = 0 AND text <> ''""")
 def epub_images(spark, d):
-    """Images of packages, written and read back."""
-    rows = spark.createDataFrame(IMAGES, "book_id string, asset_key string, media_type string, size int, cover boolean")
-    images = rows.select("book_id", "asset_key", F.expr("cast(repeat('x', size) as binary)").alias("content"), "cover")
-    books = rows.select("book_id").distinct().select("book_id", F.lit("T").alias("title"), F.lit("A").alias("author"), F.lit("en").alias("language"))
-    page = books.select("book_id", F.lit(0).alias("ord"), F.lit("One").alias("title"), F.lit("<p>x</p>").alias("html"))
-    read = epub.read_images(epub.write_epubs(books, page, images))
-    return read.select("book_id", "asset_key", "media_type", F.length("content").alias("size"), "cover")
+    """Images of packages, written and read back: texts of conversations as their bytes."""
+    read = epub.read_images(conv_packages(spark, d))
+    return read.select("book_id", "asset_key", "media_type", F.length("content").alias("size"), F.md5("content").alias("md5"), "cover")
+
+
+# Documents are spine items of books of twenty (as above), their first lines blocks; the contents name some. Books of an
+# even number have a heading before every seventh document, so their contents' titles don't count.
+SOFT_SQL = f"""{TOC_SQL},
+parts AS (SELECT book_id, item_pos, name, item_id, doc_id, text FROM m),
+lines AS (SELECT book_id, item_pos, 1 AS k, 'paragraph' AS type, trim(string_split(text, chr(10))[1], {WS}) AS t FROM parts
+  UNION ALL SELECT book_id, item_pos, 2, 'paragraph', trim(string_split(text, chr(10))[2], {WS}) FROM parts
+  UNION ALL SELECT book_id, item_pos, 0, 'heading', 'Heading of ' || doc_id FROM parts WHERE book_id % 2 = 0 AND doc_id % 7 = 0),
+flat AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY item_pos, k) - 1)::INT AS idx FROM lines WHERE coalesce(t, '') <> ''),
+based2 AS (SELECT *, regexp_extract(regexp_replace(t, '/+$', ''), '([^/]*)$', 1) AS base FROM flat),
+stemmed2 AS (SELECT *, trim({STEM_SQL}, {WS}) AS stem, regexp_extract(t, '(?i)^(?:{tx.TITLE_START})') AS start FROM based2),
+strong AS (SELECT *, CASE WHEN stem = '' OR regexp_matches(stem, '{TECH_RE}') THEN NULL WHEN type = 'heading' THEN substr(t, 1, 200)
+  WHEN length(t) <= 80 AND start <> '' AND (length(t) = length(start) OR contains('{tx.TITLE_NEXT}', substr(t, length(start) + 1, 1))) THEN t END AS title FROM stemmed2),
+by_key AS (SELECT p.book_id, p.item_pos, min_by(x.title, CASE WHEN x.href = lower('P' || p.doc_id || '.xhtml') THEN 0 ELSE 1 END) AS soft
+  FROM parts p JOIN titles x ON x.book_id = p.book_id AND x.href IN (lower('P' || p.doc_id || '.xhtml'), lower(p.item_id)) GROUP BY p.book_id, p.item_pos),
+heads AS (SELECT book_id, item_pos, min(idx) AS idx FROM flat GROUP BY book_id, item_pos),
+soft AS (SELECT h.book_id, h.idx, b.soft FROM heads h JOIN by_key b USING (book_id, item_pos)),
+both_tiers AS (SELECT s.book_id, s.idx, CASE WHEN count(s.title) OVER (PARTITION BY s.book_id) > 0 THEN s.title ELSE f.soft END AS title FROM strong s LEFT JOIN soft f USING (book_id, idx)),
+run1 AS (SELECT *, coalesce(lag(title) OVER w = title, FALSE) AS goes FROM both_tiers WINDOW w AS (PARTITION BY book_id ORDER BY idx)),
+run2 AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY idx) AS run FROM run1),
+run3 AS (SELECT *, title IS NOT NULL AND row_number() OVER (PARTITION BY book_id, run ORDER BY idx) % 2 = 1 AS begins FROM run2),
+numbered AS (SELECT *, greatest(1, sum(begins::INT) OVER (PARTITION BY book_id ORDER BY idx))::INT AS chapter FROM run3)"""
+
+
+@query(f"""WITH {SOFT_SQL} SELECT book_id, chapter, coalesce(max(CASE WHEN begins THEN title END), 'Untitled') AS title, min(idx) AS first_idx, count(*) AS n_blocks FROM numbered GROUP BY book_id, chapter""")
+def soft_boundaries(spark, d):
+    """Chapters of books whose spine files carry no headings, by the contents' titles of the files."""
+    rows = items(spark, d)
+    line = lambda i: tx.strip(F.get(F.split("text", "\n"), F.lit(i)))
+    heading = F.when((F.col("book_id") % 2 == 0) & (F.col("doc_id") % 7 == 0), F.concat(F.lit("Heading of "), "doc_id"))
+    each = F.posexplode(F.array(F.struct(F.lit("heading").alias("type"), heading.alias("text")), *(F.struct(F.lit("paragraph").alias("type"), line(i).alias("text")) for i in (0, 1))))
+    each = rows.select("book_id", F.col("item_pos").alias("pos"), each.alias("k", "b")).select("book_id", "pos", "k", "b.*").where("coalesce(text, '') <> ''")
+    flat = each.withColumn("idx", (F.row_number().over(Window.partitionBy("book_id").orderBy("pos", "k")) - 1).cast("int")).withColumn("level", F.lit(1))
+    titles = packages.document_titles(rows.select("book_id", F.col("item_pos").alias("pos"), "item_id", "name"), packages.toc_titles(contents(spark, d)))
+    soft = packages.soft_boundaries(flat.select("book_id", "pos", "idx"), titles)
+    out = books.detect_chapters(flat.drop("pos", "k"), soft=soft)
+    return out.groupBy("book_id", "chapter").agg(F.max("chapter_title").alias("title"), F.min("idx").alias("first_idx"), F.count("*").alias("n_blocks"))

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import io
-import os
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from typing import BinaryIO
 from urllib.parse import quote, unquote
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quirelight.operators import packages, render
 from quirelight.operators.books import detect_chapters
-from quirelight.sources.html import html_blocks, tree
+from quirelight.sources import epub_io
+from quirelight.sources.html import html_blocks, nav_links
 from quirelight.sources.store import saved
 
 MIMETYPE = "application/epub+zip"
@@ -36,130 +38,141 @@ def _all(root: ElementTree.Element, name: str) -> Iterator[ElementTree.Element]:
     return (x for x in root.iter() if _local(x) == name)
 
 
-def parse(content: bytes) -> dict:
-    """A package's parts: title, author, language, identifier; manifest [(pos, id, name, type)];
-    spine [(pos, idref)]; toc [(source, pos, href, title)]; texts [(name, markup)]; warnings."""
-    out: dict = {"title": "Untitled", "author": "Unknown", "language": "und", "identifier": None, "manifest": [], "spine": [], "toc": [], "texts": [], "warnings": []}
-    with zipfile.ZipFile(io.BytesIO(content)) as package:
+#: What each part of a package is read for. Members that no wanted part needs are never unpacked.
+METADATA = ("title", "author", "language", "identifier", "manifest", "spine", "warnings")
+MEMBERS = ("toc", "texts", "images")
+
+
+def parse(content: BinaryIO, wanted: Collection[str] = (*METADATA, *MEMBERS)) -> dict:
+    """A package's wanted parts, of a file that can seek: title, author, language, identifier; manifest [(pos, id, name,
+    type)]; spine [(pos, idref)]; toc [(source, pos, href, title)]; texts [(name, markup)]; images
+    [(asset_key, pos, media_type, content, cover)]; warnings."""
+    out: dict = {"title": "Untitled", "author": "Unknown", "language": "und", "identifier": None, "manifest": [], "spine": [], "toc": [], "texts": [], "images": [], "warnings": []}
+    with zipfile.ZipFile(content) as package:
         container = ElementTree.fromstring(package.read("META-INF/container.xml"))
         opf_path = next(_all(container, "rootfile")).attrib["full-path"]
-        folder = posixpath.dirname(opf_path)
         opf = ElementTree.fromstring(package.read(opf_path))
         for field, tag in (("title", "title"), ("author", "creator"), ("language", "language"), ("identifier", "identifier")):
             found = next((x.text.strip() for x in _all(opf, tag) if x.text and x.text.strip()), None)
             out[field] = found or out[field]
+        items = [(i, x.attrib, unquote(x.attrib.get("href", "")), x.attrib.get("media-type", "")) for i, x in enumerate(_all(opf, "item"))]
+        out["manifest"] = [(i, x.get("id", ""), name, kind) for i, x, name, kind in items]
         spine = next(_all(opf, "spine"), None)
-        navs = []
-        for i, item in enumerate(_all(opf, "item")):
-            name, kind = unquote(item.attrib.get("href", "")), item.attrib.get("media-type", "")
-            out["manifest"].append((i, item.attrib.get("id", ""), name, kind))
-            path = posixpath.normpath(posixpath.join(folder, name))
+        out["spine"] = [(i, x.attrib.get("idref", "")) for i, x in enumerate(_all(spine, "itemref"))] if spine is not None else []
+        read = lambda name: package.read(posixpath.normpath(posixpath.join(posixpath.dirname(opf_path), name)))
+        links: list[tuple[str, str]] = []
+        for _, x, name, kind in items:
             try:
-                if kind in packages.DOCUMENTS:
-                    markup = package.read(path).decode("utf-8")
+                own = "nav" in x.get("properties", "").split() and "toc" in wanted
+                if kind in packages.DOCUMENTS and ("texts" in wanted or own):
+                    markup = read(name).decode("utf-8")
                     out["texts"].append((name, markup))
-                    if "nav" in item.attrib.get("properties", "").split():
-                        navs.append(markup)
-                elif kind == "application/x-dtbncx+xml":
-                    for n, point in enumerate(_all(ElementTree.fromstring(package.read(path)), "navPoint")):
+                    links += nav_links(markup) if own else []
+                elif kind == "application/x-dtbncx+xml" and "toc" in wanted:
+                    for n, point in enumerate(_all(ElementTree.fromstring(read(name)), "navPoint")):
                         label, target = next(_all(point, "text"), None), next(_all(point, "content"), None)
                         if label is not None and target is not None:
                             out["toc"].append((0, n, target.attrib.get("src", ""), (label.text or "").strip()))
             except (KeyError, UnicodeDecodeError, ElementTree.ParseError) as e:
                 out["warnings"].append(f"{name}: {e}")
-        for markup in navs:
-            links = [x for nav in tree(markup).all_nodes() if nav.tag == "nav" for x in nav.all_nodes() if x.tag == "a"]
-            out["toc"] += [(1, n, a.attrs.get("href", ""), a.text()) for n, a in enumerate(links)]
-        if spine is not None:
-            out["spine"] = [(i, x.attrib.get("idref", "")) for i, x in enumerate(_all(spine, "itemref"))]
-    return out
-
-
-PARTS = (
-    "title string, author string, language string, identifier string, manifest array<struct<pos:int,id:string,name:string,type:string>>, "
-    "spine array<struct<pos:int,idref:string>>, toc array<struct<source:int,pos:int,href:string,title:string>>, "
-    "texts array<struct<name:string,markup:string>>, warnings array<string>"
-)
+        out["toc"] += [(1, n, href, text) for n, (href, text) in enumerate(links)]
+        if "images" in wanted:
+            named = {m.attrib.get("content") for m in _all(opf, "meta") if m.attrib.get("name") == "cover"}
+            out["images"] = _images(items, named, set(package.namelist()), posixpath.dirname(opf_path), package)
+    return {k: out[k] for k in wanted}
+
+
+def _images(items: list[tuple], named: set, members: set, folder: str, package: zipfile.ZipFile) -> list[tuple]:
+    """The images in the manifest's order, each once. The cover is the one that the package names, else the
+    first whose id or name says so. An image that the package lacks is left out."""
+    out: dict[str, tuple] = {}
+    marks = []
+    for i, x, name, kind in items:
+        path = posixpath.normpath(posixpath.join(folder, name))
+        if kind.startswith("image/") and path in members and name not in out:
+            says = "cover" in x.get("id", "").lower() or "cover" in posixpath.basename(name).lower()
+            marks.append(0 if "cover-image" in x.get("properties", "").split() or x.get("id", "") in named else 1 if says else 2)
+            out[name] = (name, i, kind, package.read(path))
+    cover = marks.index(min(marks)) if marks and min(marks) < 2 else None
+    return [(*row, i == cover) for i, row in enumerate(out.values())]
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """files: book_id, content. The parts of each package that can be read."""
+#: What reading a damaged package may raise.
+BROKEN = (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, TypeError, RuntimeError, ValueError)
 
-    def run(frames):
-        import pandas as pd
 
-        for frame in frames:
-            rows = []
-            for book, content in zip(frame.book_id, frame.content, strict=True):
-                try:
-                    rows.append({"book_id": book, **parse(content)})
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as e:
-                    rows.append({"book_id": book, **dict.fromkeys(("title", "author", "language", "identifier")), "manifest": [], "spine": [], "toc": [], "texts": [], "warnings": [str(e)]})
-            yield pd.DataFrame(rows)
+def tolerant(content: BinaryIO | None, wanted: Collection[str]) -> dict:
+    """:func:`parse`; of a package that can't be read, its fault as a warning and nothing else."""
+    try:
+        return parse(content, wanted)
+    except BROKEN as e:
+        empty = {k: [] if k in ("manifest", "spine", *MEMBERS) else None for k in wanted}
+        return {**empty, "warnings": [str(e)]} if "warnings" in wanted else empty
 
-    kind = files.schema["book_id"].dataType.simpleString()
-    return files.select("book_id", "content").mapInPandas(run, f"book_id {kind}, {PARTS}")
 
+PARTS = {
+    "title": "string", "author": "string", "language": "string", "identifier": "string", "manifest": "array<struct<pos:int,id:string,name:string,type:string>>",
+    "spine": "array<struct<pos:int,idref:string>>", "toc": "array<struct<source:int,pos:int,href:string,title:string>>", "texts": "array<struct<name:string,markup:string>>",
+    "images": "array<struct<asset_key:string,pos:int,media_type:string,content:binary,cover:boolean>>", "warnings": "array<string>",
+}
 
-IMAGES = "asset_key string, pos int, media_type string, content binary, cover boolean"
 
+def parsed(files: DataFrame, wanted: Collection[str] = (*METADATA, "toc", "texts")) -> DataFrame:
+    """files: book_id, content. The wanted parts of each package; null for its metadata where it can't be read."""
+    schema = StructType([files.schema["book_id"], *StructType.fromDDL(", ".join(f"{c} {PARTS[c]}" for c in wanted))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                content = batch.column(1)[i].as_py()
+                yield as_batch([{"book_id": batch.column(0)[i].as_py(), **tolerant(content and io.BytesIO(content), wanted)}], arrow)
+
+    return files.select("book_id", "content").mapInArrow(run, schema)
 
-def images_of(content: bytes) -> list[tuple]:
-    """(name, place, media type, bytes, whether it is the cover) of a package's images, in the
-    manifest's order, each once. The cover is the one that the package names, else the first whose
-    id or name says so. An image that the package lacks is left out."""
-    out, marks = [], []
-    with zipfile.ZipFile(io.BytesIO(content)) as package:
-        container = ElementTree.fromstring(package.read("META-INF/container.xml"))
-        opf_path = next(_all(container, "rootfile")).attrib["full-path"]
-        opf = ElementTree.fromstring(package.read(opf_path))
-        named = {m.attrib.get("content") for m in _all(opf, "meta") if m.attrib.get("name") == "cover"}
-        for i, item in enumerate(_all(opf, "item")):
-            name, kind, own = unquote(item.attrib.get("href", "")), item.attrib.get("media-type", ""), item.attrib.get("id", "")
-            path = posixpath.normpath(posixpath.join(posixpath.dirname(opf_path), name))
-            if not kind.startswith("image/") or path not in package.namelist() or any(name == o[0] for o in out):
-                continue
-            says = "cover" in own.lower() or "cover" in posixpath.basename(name).lower()
-            marks.append(0 if "cover-image" in item.attrib.get("properties", "").split() or own in named else 1 if says else 2)
-            out.append((name, i, kind, package.read(path)))
-    cover = marks.index(min(marks)) if marks and min(marks) < 2 else None
-    return [(*row, i == cover) for i, row in enumerate(out)]
+
+def as_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows whose structs are tuples."""
+
+    def fitted(value, kind: pa.DataType):
+        if value is None or not pa.types.is_list(kind) or not pa.types.is_struct(kind.value_type):
+            return value
+        names = [kind.value_type.field(i).name for i in range(kind.value_type.num_fields)]
+        return [dict(zip(names, x, strict=True)) for x in value]
+
+    return pa.record_batch([pa.array([fitted(r[f.name], f.type) for r in rows], f.type) for f in schema], schema=schema)
 
 
 def read_images(files: DataFrame) -> DataFrame:
-    """files: book_id, content. A row for each image: book_id and IMAGES; none of what can't be read."""
-    kind = files.schema["book_id"].dataType
+    """files: book_id, content. A row for each image (see :func:`images_of`); none of what can't be read."""
+    return images_of(parsed(files, ["images"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [to_arrow_type(kind), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.bool_()]
-        names = ["book_id", "asset_key", "pos", "media_type", "content", "cover"]
-        for batch in batches:
-            for book, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    rows = [(book, *x) for x in images_of(content)]
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, TypeError):
-                    rows = []
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return files.select("book_id", "content").mapInArrow(run, f"book_id {kind.simpleString()}, {IMAGES}")
+def images_of(parts: DataFrame) -> DataFrame:
+    """(book_id, asset_key, pos, media_type, content, cover) of packages' images."""
+    return parts.select("book_id", F.explode("images").alias("i")).select("book_id", "i.*")
 
 
 def read_epubs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files: book_id, content (as ``binaryFile`` reads it). (books, blocks): blocks in reading
-    order with their chapters, which headings and the contents' labels begin."""
-    parts = saved(parsed(files), "epub-parts")
+    """files: book_id, content (as ``binaryFile`` reads it). See :func:`books_of`."""
+    return books_of(saved(parsed(files), "epub-parts"))
+
+
+def books_of(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(books, blocks) of packages' parts: blocks in reading order with their chapters, which headings and the contents'
+    labels begin; in a book without any, the spine's documents that the contents name."""
     books = parts.select("book_id", "title", "author", "language", "identifier", "warnings")
     manifest = parts.select("book_id", F.explode("manifest").alias("m")).select("book_id", F.col("m.pos").alias("item_pos"), F.col("m.id").alias("item_id"), "m.name", F.col("m.type").alias("media_type"))
     spine = parts.select("book_id", F.explode("spine").alias("s")).select("book_id", "s.*")
     toc = parts.select("book_id", F.explode("toc").alias("t")).select("book_id", "t.*")
     texts = parts.select("book_id", F.explode("texts").alias("t")).select("book_id", "t.*")
-    documents = packages.spine_documents(spine, manifest).join(texts, ["book_id", "name"])
-    documents = documents.withColumn("doc", F.to_json(F.struct("book_id", "pos")))
+    listed = packages.spine_documents(spine, manifest)
+    documents = listed.join(texts, ["book_id", "name"]).withColumn("doc", F.to_json(F.struct("book_id", "pos")))
     found = html_blocks(documents, "doc", "markup").join(documents.select("doc", "book_id", "pos"), "doc")
     order = Window.partitionBy("book_id").orderBy("pos", "ord")
-    flat = found.withColumn("idx", (F.row_number().over(order) - 1).cast("int")).drop("doc", "pos", "ord")
-    return books, detect_chapters(flat, packages.toc_labels(toc))
+    flat = found.withColumn("idx", (F.row_number().over(order) - 1).cast("int")).drop("doc", "ord")
+    soft = packages.soft_boundaries(flat.select("book_id", "pos", "idx"), packages.document_titles(listed, packages.toc_titles(toc)))
+    return books, detect_chapters(flat.drop("pos"), packages.toc_labels(toc), soft=soft)
 
 
 def package(title: str, author: str, language: str, identifier: str, chapters: list[tuple[str, str]], layout: str = "horizontal", mode: str = "standard", images: dict[str, bytes] | None = None, cover: str | None = None) -> bytes:
@@ -225,20 +238,9 @@ def write_epubs(books: DataFrame, chapters: DataFrame, images: DataFrame | None
 
 
 def save_files(packages_of: DataFrame, folder: str) -> None:
-    """Each book's content as folder/<book_id>.epub, written beside and then moved into place. The
-    folder must be one that executors share."""
-
-    def run(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            if not row["content"]:
-                raise ValueError(f"empty package: {row['book_id']}")
-            path = os.path.join(folder, f"{row['book_id']}.epub")
-            with open(f"{path}.part-{os.getpid()}", "wb") as f:
-                f.write(row["content"])
-            os.replace(f.name, path)
-
-    packages_of.foreachPartition(run)
+    """Each book's content as folder/<book_id>.epub, all of them or none: see :class:`~quirelight.sources.epub_io.Epub`."""
+    epub_io.register(packages_of.sparkSession)
+    packages_of.select(F.col("book_id").cast("string").alias("book_id"), "content").write.format("epub").mode("append").save(folder)
 
 
 def problems(content: bytes | None) -> list[tuple[str, str]]:
@@ -274,14 +276,3 @@ def package_findings(files: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, pa.string()) for c in columns], ["entity", "severity", "code"])
 
     return files.select("book_id", "content").mapInArrow(run, "entity string, severity string, code string")
-
-
-def round_trip(spark: SparkSession, d: str) -> DataFrame:
-    from quirelight.plans.catalogue import conv_blocks, conv_chapters
-
-    blocks = conv_blocks(spark, d).withColumn("src", F.lit(None).cast("string"))
-    chapters = conv_chapters(blocks)
-    html = render.chapter_html(chapters, blocks).join(chapters.drop("ord"), ["book_id", "chapter_id"])
-    books = chapters.select("book_id").distinct().select("book_id", F.concat(F.lit("Book "), "book_id").alias("title"), F.lit("Unknown").alias("author"), F.lit("en").alias("language"))
-    _, read = read_epubs(write_epubs(books, html))
-    return read.select("book_id", "chapter", "ord", "type", "text")

@@ -1,12 +1,16 @@
-"""Markup to blocks, with the standard library's tolerant parser."""
+"""Markup to blocks, headings and links: one pass over the parser's events, with a stack of what is open.
+
+Nothing is recursive and no tree is built, so the depth of the markup costs nothing."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Tags by what the walk does with them.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -17,122 +21,208 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: An open tag that a new one of these ends.
 ENDED_BY = {"p": BLOCKS | {"ul", "ol", "table", "figure", "hr"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
+Block = tuple[str, int | None, str | None, str | None, str | None]  # type, level, text, image, alt
 
-class Node:
-    __slots__ = ("tag", "attrs", "inside")
 
-    def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.inside = tag, attrs, []
+class _Events(HTMLParser):
+    """Start and end events of well-nested elements, made of tolerantly read tags."""
 
-    def nodes(self) -> Iterator[Node]:
-        return (x for x in self.inside if isinstance(x, Node))
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tags: list[str] = []
+        self.count: Counter[str] = Counter()
 
-    def all_nodes(self) -> Iterator[Node]:
-        for x in self.nodes():
-            yield x
-            yield from x.all_nodes()
+    def begun(self, tag: str, attrs: dict[str, str]) -> None: ...
 
-    def texts(self) -> Iterator[str]:
-        for x in self.inside:
-            if isinstance(x, str):
-                yield x
-            elif x.tag not in SKIPPED:
-                yield from x.texts()
+    def ended(self, tag: str) -> None: ...
 
-    def text(self) -> str:
-        return " ".join(s for s in (t.strip() for t in self.texts()) if s)
+    def said(self, text: str) -> None:
+        """A text without white space at its ends, and not empty."""
 
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
+    def _pop(self) -> None:
+        tag = self.tags.pop()
+        self.count[tag] -= 1
+        self.ended(tag)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        ends = self.open[-1].tag
-        if ends in ENDED_BY and tag in ENDED_BY[ends]:
-            self.open.pop()
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].inside.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        if self.tags and tag in ENDED_BY.get(self.tags[-1], ()):
+            self._pop()
+        self.begun(tag, {k: v or "" for k, v in attrs})
+        if tag in VOID:
+            self.ended(tag)
+        else:
+            self.tags.append(tag)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if self.count[tag]:
+            while self.tags[-1] != tag:
+                self._pop()
+            self._pop()
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].inside.append(data)
+        if own := data.strip():
+            self.said(own)
 
+    def walked(self, html: str | None) -> None:
+        self.feed(html or "")
+        self.close()
+        while self.tags:
+            self._pop()
 
-def tree(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
 
+# What an open element is to the walk.
+OUTSIDE, FLOW, BLOCK, WHOLE, GONE = range(5)
 
-Block = tuple[str, int | None, str | None, str | None, str | None]  # type, level, text, image, alt
 
+class _Open:
+    """An open element. texts, found: how many of each there were before it. broken: whether an image or a line break
+    stands in it, at any depth; parted: or a block right inside."""
 
-def _one(node: Node) -> Iterator[Block]:
-    """The blocks of one element."""
-    if node.tag in SKIPPED:
-        return
-    if node.tag == "img":
-        yield "image", None, None, node.attrs.get("src") or node.attrs.get("data-src") or None, node.attrs.get("alt") or None
-    elif node.tag in HEADINGS or node.tag in CAPTIONS:
-        if text := node.text():
-            yield ("heading", int(node.tag[1]), text, None, None) if node.tag in HEADINGS else ("caption", None, text, None, None)
-    elif node.tag in BLOCKS:
-        direct = any(x.tag in BLOCKS or x.tag in ("img", "br") for x in node.nodes())
-        if direct or any(x.tag in ("img", "br") for x in node.all_nodes()):
-            yield from _split(node)
-        elif text := node.text():
-            yield "paragraph", None, text, None, None
-    else:
-        for x in node.nodes():
-            yield from _one(x)
-
-
-def _split(node: Node) -> Iterator[Block]:
-    """A container's paragraphs: ended by line breaks, images and inner blocks. Images in inline
-    elements count, skipped elements don't."""
-    held: list[str] = []
-
-    def flush() -> Iterator[Block]:
-        text = " ".join(s for s in (t.strip() for t in held) if s)
-        held.clear()
-        if text:
-            yield "paragraph", None, text, None, None
-
-    def walk(inside: list) -> Iterator[Block]:
-        for x in inside:
-            if isinstance(x, str):
-                held.append(x)
-            elif x.tag == "br":
-                yield from flush()
-            elif x.tag in BLOCKS or x.tag == "img":
-                yield from flush()
-                yield from _one(x)
-            elif x.tag not in SKIPPED:
-                yield from walk(x.inside)
-
-    yield from walk(node.inside)
-    yield from flush()
-
-
-def blocks_of(html: str) -> list[Block]:
+    __slots__ = ("role", "texts", "found", "broken", "parted")
+
+    def __init__(self, role: int, texts: int, found: int):
+        self.role, self.texts, self.found, self.broken, self.parted = role, texts, found, False, False
+
+
+class _Blocks(_Events):
+    """A block element with a block, image or line break is parted by these; any other is one paragraph,
+    whatever stands in it. Which one it is shows at its end: until then it counts as parted, and
+    what that gave is dropped if it was whole. Blocks refer to their texts by range."""
+
+    def __init__(self):
+        super().__init__()
+        self.texts: list[str] = []
+        self.found: list[tuple] = []  # type, level, first text, end of texts, image, alt
+        self.first = 0  # of the texts that aren't in a block yet
+        self.open = [_Open(OUTSIDE, 0, 0)]
+
+    def _flush(self, kind: str = "paragraph", level: int | None = None, first: int | None = None) -> None:
+        first = self.first if first is None else first
+        if first < len(self.texts):
+            self.found.append((kind, level, first, len(self.texts), None, None))
+        self.first = len(self.texts)
+
+    def begun(self, tag: str, attrs: dict[str, str]) -> None:
+        outer, break_ = self.open[-1], tag in ("img", "br")
+        outer.parted |= break_ or tag in BLOCKS
+        role = outer.role
+        if role in (WHOLE, GONE):
+            role = GONE if tag in SKIPPED else role
+        elif tag in SKIPPED:
+            role = GONE
+        elif break_ or tag in BLOCKS:
+            if role != OUTSIDE:
+                self._flush()
+            if tag == "img":
+                self.found.append(("image", None, 0, 0, attrs.get("src") or attrs.get("data-src") or None, attrs.get("alt") or None))
+            elif tag != "br":
+                role = WHOLE if tag in HEADINGS or tag in CAPTIONS else BLOCK
+        elif role != OUTSIDE:
+            role = FLOW
+        self.open.append(_Open(role, len(self.texts), len(self.found)))
+        self.open[-1].broken = break_
+
+    def ended(self, tag: str) -> None:
+        own = self.open.pop()
+        outer = self.open[-1]
+        outer.broken |= own.broken
+        if own.role == BLOCK:
+            if not (own.parted or own.broken):
+                del self.found[own.found :]
+                self.first = own.texts
+            self._flush()
+        elif own.role == WHOLE and outer.role not in (WHOLE, GONE):
+            if tag in HEADINGS:
+                self._flush("heading", int(tag[1]), own.texts)
+            else:
+                self._flush("caption", None, own.texts)
+
+    def said(self, text: str) -> None:
+        if self.open[-1].role not in (OUTSIDE, GONE):
+            self.texts.append(text)
+
+
+def blocks_of(html: str | None) -> list[Block]:
     """Text outside of block elements is no block."""
-    return [b for x in tree(html or "").nodes() for b in _one(x)]
+    walk = _Blocks()
+    walk.walked(html)
+    return [(kind, level, " ".join(walk.texts[a:b]) if kind != "image" else None, image, alt) for kind, level, a, b, image, alt in walk.found]
+
+
+class _Texts(_Events):
+    """The texts of elements, by a test of (tag, open tags)."""
+
+    def __init__(self, wanted, within: str | None = None):
+        super().__init__()
+        self.wanted, self.within = wanted, within
+        self.texts: list[str] = []
+        self.open: list[tuple] = []
+        self.found: list[tuple] = []  # place, tag, first text, end of texts, attributes
+        self.n = self.gone = 0
+
+    def begun(self, tag: str, attrs: dict[str, str]) -> None:
+        own = tag in self.wanted and (self.within is None or self.count[self.within] > 0)
+        self.open.append((self.n, tag, len(self.texts), attrs) if own else None)
+        self.n += own
+        self.gone += tag in SKIPPED and tag != self.within
+
+    def ended(self, tag: str) -> None:
+        self.gone -= tag in SKIPPED and tag != self.within
+        if own := self.open.pop():
+            self.found.append((own[0], own[1], own[2], len(self.texts), own[3]))
+
+    def said(self, text: str) -> None:
+        if not self.gone:
+            self.texts.append(text)
+
+    def each(self) -> list[tuple[str, str, dict]]:
+        """(tag, text, attributes), in the order in which the elements begin."""
+        return [(tag, " ".join(self.texts[a:b]), attrs) for _, tag, a, b, attrs in sorted(self.found, key=lambda x: x[0])]
+
+
+def nav_links(html: str | None) -> list[tuple[str, str]]:
+    """(href, text) of the links inside navigation elements."""
+    walk = _Texts(("a",), "nav")
+    walk.walked(html)
+    return [(attrs.get("href", ""), text) for _, text, attrs in walk.each()]
+
+
+def headings_of(html: str | None) -> list[tuple[str, int, str]]:
+    """(tag, place among those of the tag, text) of the headings and the title."""
+    walk = _Texts((*HEADINGS, "title"))
+    walk.walked(html)
+    seen: Counter[str] = Counter()
+    out = []
+    for tag, text, _ in walk.each():
+        out.append((tag, seen[tag], text))
+        seen[tag] += 1
+    return out
+
+
+class PageHeadings:
+    """The body of the table function page_headings(html): tag, nth, text of each heading and title."""
+
+    def eval(self, html: str) -> Iterator[tuple[str, int, str]]:
+        yield from headings_of(html)
+
+
+def page_headings(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """docs: key, html. (key, tag, nth from 0 for each tag, text), by a table function that is joined laterally:
+    pages without headings and titles give no rows."""
+    function = F.udtf(PageHeadings, returnType="tag string, nth int, text string")
+    own = docs.select(key, F.col(html).alias("__html"))
+    return own.lateralJoin(function(F.col("__html").outer())).select(key, "tag", "nth", "text")
+
+
+def register(spark: SparkSession) -> None:
+    """``SELECT ... FROM pages, LATERAL page_headings(html)``."""
+    spark.udtf.register("page_headings", F.udtf(PageHeadings, returnType="tag string, nth int, text string"))
 
 
 def html_blocks(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -148,3 +238,19 @@ def html_blocks(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, html).mapInArrow(run, f"{key} {kind}, ord int, type string, level int, text string, image_ref string, image_alt string")
+
+
+def guessed_titles(headings: DataFrame, pages: DataFrame, key: str, name: Column | None = None) -> DataFrame:
+    """headings as :func:`page_headings` gives them; pages: key; name: what a page's file is called.
+    (key, title): of the first h1, h2, h3 and title, in this order, the first that isn't blank and doesn't read
+    like a resource's name; else the file's stem under the same condition; else null."""
+    from quirelight.functions.text import is_technical, stem, strip
+
+    ladder = F.create_map(*(F.lit(x) for kv in zip(("h1", "h2", "h3", "title"), range(4), strict=True) for x in kv))
+    rung = F.try_element_at(ladder, F.col("tag"))
+    rows = headings.where((F.col("nth") == 0) & rung.isNotNull()).withColumn("text", strip(F.col("text")))
+    rows = rows.where((F.col("text") != "") & ~is_technical(F.col("text")))
+    best = rows.groupBy(key).agg(F.min_by(F.substring("text", 1, 200), rung).alias("__title"))
+    named = pages.select(key, (F.lit(None).cast("string") if name is None else strip(stem(name))).alias("__stem"))
+    fallback = F.when((F.col("__stem") != "") & ~is_technical(F.col("__stem")), F.substring("__stem", 1, 200))
+    return named.join(best, key, "left").select(key, F.coalesce("__title", fallback).alias("title"))
