@@ -539,14 +539,22 @@ def stream_progress(spark, d):
     return drained_progress(spark, d)
 
 
-@query(f"WITH {EVENTS_SQL} SELECT user_id, count(*) AS n_open FROM s WHERE streak = 3 GROUP BY user_id")
+@query(f"WITH {EVENTS_SQL} SELECT user_id, count(*) AS n_open, min_by(event_id, (ts, event_id)) AS event_id FROM s WHERE streak = 3 GROUP BY user_id")
 def stream_breaker(spark, d):
-    """How often each user's breaker opens, by state that is kept between batches."""
+    """How often each user's breaker opens, and where first, by the events' time: they come in several files, some late."""
     from quirelight.streaming.progress import drained_breaker
 
     return drained_breaker(spark, d)
 
 
+@query(f"""SELECT conv_id AS book_id, count(*) AS n_blocks, count(*) AS n_translated, 0::BIGINT AS n_twice FROM conversations WHERE role = 'assistant' AND trim(coalesce(text, ''), {WS}) <> '' GROUP BY conv_id""")
+def stream_translation(spark, d):
+    """Chunks as a stream that is killed and taken up again: each block is translated once."""
+    from quirelight.streaming.translation import drained_translation
+
+    return drained_translation(spark, d)
+
+
 # Pages as their generator writes them: a body of a navigation list, a comment, an advertisement, an article and a
 # footer; inside the article h1, p, b and br. Tags that end a text become chr(1), others chr(2).
 UNESCAPED = "replace(replace(replace(replace({x}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
