@@ -44,6 +44,19 @@ def root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """A job's shuffle files go when it ends, not when the driver happens to collect its garbage: what it
+    has written is read from the table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def save(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, a lost
     executor costs nothing that was written, and later uses don't compute df again. The files
@@ -51,7 +64,8 @@ def save(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     the session's."""
     spark = df.sparkSession
     path = f"{root(spark).rstrip('/')}/quirelight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    with _shuffles_go(spark):
+        df.write.parquet(path, compression=codec)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
