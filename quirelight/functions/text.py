@@ -56,13 +56,20 @@ def lines(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(last, F.slice(each, 1, F.size(each) - 1)).otherwise(each)
 
 
+#: Characters that weigh 1/1.5 of a token.
+CJK = "[一-鿿぀-ヿ]"
+
+
 def tokens(text: Column) -> Column:
     """The token estimate: CJK ideographs and kana weigh 1/1.5, other characters 1/4; at least 1,
     and 0 for an empty or null text."""
     text = F.coalesce(text, F.lit(""))
-    n = F.length(text)
-    cjk = n - F.length(F.regexp_replace(text, "[一-鿿぀-ヿ]", ""))
-    weight = F.floor(cjk / F.lit(1.5) + (n - cjk) / F.lit(4.0))
+    return weighed(F.length(text), F.length(F.regexp_replace(text, CJK, "")))
+
+
+def weighed(n: Column, other: Column) -> Column:
+    """The estimate for n characters of which so many are no CJK ones."""
+    weight = F.floor((n - other) / F.lit(1.5) + other / F.lit(4.0))
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), weight)).cast("int")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelight.functions.text import is_technical, is_txt_heading, lines, strip, tokens, with_block_title
+from quirelight.functions.text import CJK, LINE_END, is_technical, is_txt_heading, lines, strip, tokens, weighed, with_block_title
 
 SHORT = 40
 
@@ -34,6 +36,38 @@ def paragraphs(lines_of: DataFrame, by: list[str], merge: bool = True, threshold
     return rows.groupBy(*by, "ord").agg(text.alias("text")).withColumn("ord", F.col("ord").cast("int"))
 
 
+def paragraph_lists(texts: DataFrame, text: str = "text", name: str = "paragraphs", merge: bool = True, threshold: int = SHORT) -> DataFrame:
+    """texts with the column name added: array<string> of a text's paragraphs, as :func:`paragraphs` finds them. A text that
+    lies in one row is taken apart in that row: nothing is exploded or shuffled."""
+    # An end of line at the end begins no further line.
+    each = F.split(F.coalesce(F.col(text), F.lit("")), LINE_END)
+    own = F.transform(_once(each, lambda e: F.slice(e, 1, F.size(e) - F.when(F.get(e, F.size(e) - 1) == "", 1).otherwise(0))), strip)
+
+    def short(x: Column) -> Column:
+        return (x != "") & (F.length(x) < threshold)
+
+    def joined(l: Column, starts: Column) -> Column:
+        def one(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(l))
+            return F.array_join(F.filter(F.slice(l, start + 1, end - start), lambda x: x != ""), " ")
+
+        return F.transform(starts, one)
+
+    def found(l: Column) -> Column:
+        if not merge:
+            return F.filter(l, lambda x: x != "")
+        begins = lambda x, i: (x != "") & ~(short(x) & (i > 0) & F.coalesce(short(F.get(l, i - 1)), F.lit(False)))
+        starts = F.array_compact(F.transform(l, lambda x, i: F.when(begins(x, i), i)))
+        return _once(starts, lambda s: joined(l, s))
+
+    return texts.withColumn(name, _once(own, found))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def txt_chapters(lines_of: DataFrame, book: str = "book_id") -> DataFrame:
     """(book, chapter_id, chapter, title, line_no, line) of plain text: a heading line begins a
     chapter and is its title; lines before the first heading go. A book without headings is one
@@ -114,10 +148,27 @@ def chunks(blocks: DataFrame, by: list[str], target: int = 1000) -> DataFrame:
     (from 0), first_ord, last_ord, n_blocks, tokens, block_ids array<string>.
 
     Blocks are taken in order while their tokens fit target; a larger block is a chunk of its
-    own; no chunk crosses a chapter. One fold over a chapter's blocks: it keeps finished chunks'
-    last places and the open chunk's tokens."""
+    own; no chunk crosses a chapter."""
     one = F.struct("ord", "block_id", tokens(F.col("text")).alias("tokens"))
-    rows = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("b"))
+    return packed(blocks.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("b")), by, "b", target)
+
+
+def paragraph_chunks(lists: DataFrame, by: list[str], name: str = "paragraphs", target: int = 1000) -> DataFrame:
+    """:func:`chunks` of :func:`paragraph_lists`, by row, without a shuffle; a paragraph's id is its place, and chapters
+    that have no paragraph give no chunk."""
+    each = F.transform(name, lambda x, i: F.struct(i.alias("ord"), i.cast("string").alias("block_id"), x.alias("text")))
+    kept = F.filter(each, lambda x: strip(x["text"]) != "")
+    # Without any character beyond ASCII there is nothing to look for.
+    rest = lambda x: F.when(F.octet_length(x) == F.length(x), F.length(x)).otherwise(F.length(F.regexp_replace(x, CJK, "")))
+    size = lambda x: _once(rest(x), lambda m: weighed(F.length(x), m))
+    b = F.transform(kept, lambda x: F.struct(x["ord"].alias("ord"), x["block_id"].alias("block_id"), size(x["text"]).alias("tokens")))
+    return packed(lists.withColumn("b", b).where(F.size("b") > 0), by, "b", target)
+
+
+def packed(rows: DataFrame, by: list[str], b: str, target: int) -> DataFrame:
+    """rows: by, b array<struct<ord,block_id,tokens>> in order. One fold over a chapter's blocks: it keeps finished chunks'
+    last places and the open chunk's tokens."""
+    rows = rows.select(*by, F.col(b).alias("b"))
     begin = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("open"), F.lit(0).alias("i"))
 
     def step(acc: Column, x: Column) -> Column:

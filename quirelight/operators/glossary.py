@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quirelight.functions.text import strip, terms
+from quirelight.sources.store import saved, spread
 
 #: Needles up to this many are sent to the tasks; more are joined by a piece of them.
 BROADCAST_NEEDLES = 10_000
+#: Characters of the pieces by which more needles meet texts, and different pieces of needles that are sent to the tasks.
+PIECE, BROADCAST_PIECES = 6, 200_000
 
 
 def needles(entries: DataFrame, key: str = "entry_id") -> DataFrame:
@@ -26,25 +29,37 @@ def needles(entries: DataFrame, key: str = "entry_id") -> DataFrame:
 def relevant(chunks: DataFrame, entries: DataFrame, chunk: str = "chunk_id", key: str = "entry_id", most: int = BROADCAST_NEEDLES) -> DataFrame:
     """(chunk, key) for entries of which the source or a variant stands in the chunk's text, case
     and all. Up to most needles are counted, sent to the tasks as one automaton, and found in one
-    pass over each text. With more, a needle meets only the chunks that hold its last three
-    characters, by their pieces alone; the texts come back for those that met."""
+    pass over each text. With more, see :func:`candidates`."""
     found = needles(entries, key)
     if found.limit(most + 1).count() <= most:
         return _scanned(chunks, found, chunk, key)
-    short = found.where(F.length("needle") < 3)
-    many = short.limit(most + 1).count()
-    hits = _scanned(chunks, short, chunk, key) if 0 < many <= most else None
-    if many > most:  # a needle of one or two characters is a piece of its own
-        pieces = [F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i, n=n: F.substring("text", i, F.lit(n))) for n in (1, 2)]
-        each = chunks.where(F.length("text") >= 2).select(chunk, F.explode(F.array_distinct(F.concat(*pieces))).alias("needle"))
-        each = each.unionByName(chunks.where(F.length("text") == 1).select(chunk, F.col("text").alias("needle")))
-        hits = each.join(short, "needle").select(chunk, key)
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, F.lit(3)))
-    keyed = chunks.where(F.length("text") >= 3).select(chunk, F.explode(F.array_distinct(grams)).alias("gram"))
-    long = found.where(F.length("needle") >= 3).withColumn("gram", F.substring("needle", -3, 3))
-    met = keyed.join(long, "gram").select(chunk, key, "needle")
-    out = met.join(chunks.select(chunk, "text"), chunk).where(F.col("text").contains(F.col("needle"))).select(chunk, key)
-    return (out if hits is None else out.unionByName(hits)).distinct()
+    met = candidates(chunks, found.select("needle").distinct(), chunk)
+    # All needles that a text may hold are gathered first, so each text is fetched once.
+    asked = met.groupBy(chunk).agg(F.collect_list("needle").alias("__needles"))
+    texts = chunks.select(chunk, "text").join(asked, chunk)
+    held = texts.select(chunk, F.explode(F.filter("__needles", lambda n: F.col("text").contains(n))).alias("needle"))
+    return held.join(found, "needle").select(chunk, key).distinct()
+
+
+def candidates(chunks: DataFrame, wanted: DataFrame, chunk: str) -> DataFrame:
+    """wanted: needle, each once. (chunk, needle) for needles whose rarest piece stands in the chunk's text: of the
+    pieces of PIECE characters (a shorter needle is one) that which the fewest texts hold. A needle
+    that is no longer than a piece is found by this alone; one with a piece that no text holds goes."""
+    size = F.least(F.length("needle"), F.lit(PIECE))
+    # Overlapping pieces by looking ahead: a text is passed once, whatever its length.
+    ahead = lambda text, n: F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1))
+    each = wanted.select("needle", F.explode(F.array_distinct(ahead(F.col("needle"), size))).alias("piece"))
+    each = saved(each, "needle-pieces")
+    sizes = [r["n"] for r in each.select(F.length("piece").alias("n")).distinct().collect()]  # PIECE at most
+    pieces = F.array_distinct(F.concat(*(ahead(F.col("text"), F.lit(n)) for n in sizes)) if sizes else F.array().cast("array<string>"))
+    vocabulary = each.select("piece").distinct()
+    few = vocabulary.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES
+    own = spread(chunks.where("text is not null").select(chunk, "text")).select(chunk, F.explode(pieces).alias("piece"))
+    own = saved(own.join(F.broadcast(vocabulary) if few else vocabulary, "piece", "left_semi"), "text-pieces")
+    held = own.groupBy("piece").agg(F.count("*").alias("n"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)), "piece")
+    rarest = each.join(held, "piece", "left").groupBy("needle").agg(F.min_by("piece", rarity).alias("piece"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    return own.join(rarest.where("n > 0").select("needle", "piece"), "piece").select(chunk, "needle")
 
 
 def _scanned(chunks: DataFrame, found: DataFrame, chunk: str, key: str) -> DataFrame:
@@ -82,11 +97,10 @@ def first_wins(slots: DataFrame) -> DataFrame:
     return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
 
 
-def prompt_list(entries: DataFrame, only_confirmed: bool = True) -> DataFrame:
-    """Entries as a prompt lists them, with place (from 1): proper nouns first, then by source."""
+def prompt_list(entries: DataFrame, only_confirmed: bool = True, by: str = "glossary_id") -> DataFrame:
+    """Entries as a glossary's prompt lists them, with place (from 1): proper nouns first, then by source."""
     rows = entries.where("confirmed") if only_confirmed else entries
-    order = Window.orderBy(F.when(F.col("type") == "proper_noun", 0).otherwise(1), "source", "entry_id")
-    # One glossary's entries: a list that a prompt has to hold.
+    order = Window.partitionBy(by).orderBy(F.when(F.col("type") == "proper_noun", 0).otherwise(1), "source", "entry_id")
     return rows.withColumn("place", F.row_number().over(order))
 
 

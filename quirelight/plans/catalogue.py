@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirelight.functions import text as tx
 from quirelight.operators import books, chapters, render
+from quirelight.sources.store import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,13 +86,14 @@ def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     return books.line_table(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-def doc_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return books.paragraphs(doc_lines(spark, d), ["doc_id"])
+def doc_paragraphs(spark: SparkSession, d: str, merge: bool = True) -> DataFrame:
+    lists = books.paragraph_lists(spread(table(spark, d, "documents").select("doc_id", "text")), merge=merge)
+    return lists.select("doc_id", F.posexplode("paragraphs").alias("ord", "text"))
 
 
 def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = doc_paragraphs(spark, d).where(tx.strip(F.col("text")) != "")
-    return books.chunks(rows.withColumn("block_id", F.col("ord").cast("string")), ["doc_id"], 200)
+    lists = books.paragraph_lists(spread(table(spark, d, "documents").select("doc_id", "text")))
+    return books.paragraph_chunks(lists, ["doc_id"], target=200)
 
 
 @query(f"WITH {PARAGRAPHS_SQL} SELECT doc_id, ord, text FROM paragraphs")
@@ -102,7 +104,13 @@ def short_line_merge(spark, d):
 @query(f"""WITH {PARAGRAPHS_SQL}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS ord, s AS text FROM kinds WHERE kind <> 'b'""")
 def line_blocks_nomerge(spark, d):
-    return books.paragraphs(doc_lines(spark, d), ["doc_id"], merge=False).select("doc_id", "ord", "text")
+    return doc_paragraphs(spark, d, merge=False)
+
+
+@query(f"WITH {PARAGRAPHS_SQL} SELECT doc_id, ord, text FROM paragraphs")
+def line_table_merge(spark, d):
+    """Paragraphs of texts that come as a table of lines."""
+    return books.paragraphs(doc_lines(spark, d), ["doc_id"]).select("doc_id", "ord", "text")
 
 
 @query(f"SELECT doc_id, {TOKENS_SQL} AS tokens FROM documents")

@@ -60,11 +60,10 @@ def glossary_slot_merge(spark, d):
     return glossary.first_wins(rows.select(slot, F.col("entry_id").alias("pos"), F.concat(F.lit(" "), "source").alias("source"), "target"))
 
 
-@query(f"""WITH {ENTRIES_SQL} SELECT entry_id, source, target, type, row_number() OVER (ORDER BY CASE type WHEN 'proper_noun' THEN 0 ELSE 1 END, source, entry_id)::INT AS place
-FROM entries WHERE glossary_id = 'g1' AND confirmed""")
+@query(f"""WITH {ENTRIES_SQL} SELECT glossary_id, entry_id, source, target, type,
+  row_number() OVER (PARTITION BY glossary_id ORDER BY CASE type WHEN 'proper_noun' THEN 0 ELSE 1 END, source, entry_id)::INT AS place FROM entries WHERE confirmed""")
 def glossary_prompt_order(spark, d):
-    out = glossary.prompt_list(entries(spark, d).where("glossary_id = 'g1'"))
-    return out.select("entry_id", "source", "target", "type", "place")
+    return glossary.prompt_list(entries(spark, d)).select("glossary_id", "entry_id", "source", "target", "type", "place")
 
 
 @query(f"""WITH {ENTRIES_SQL} SELECT glossary_id, count(CASE WHEN confirmed THEN 1 END) AS confirmed, count(*) AS total FROM entries GROUP BY glossary_id""")

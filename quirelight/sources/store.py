@@ -42,6 +42,13 @@ def saved(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, where their input comes in fewer: work in a row isn't left
+    to the few tasks that a small file gives. Large inputs stay as they are, unshuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 class Store:
     """Tables below a folder: books, chapters, blocks, assets by book_id; jobs, chunks by job_id.
 
