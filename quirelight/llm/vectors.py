@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from heapq import heappop, heappush
-from math import sqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ from quirelight.llm.shared import save, table
 #: Vectors that the codebooks are fitted on, and asked ones that recall is measured with, at most
 #: (about: rows are taken by a hash).
 SAMPLE, ASKED = 16_384, 512
-#: Vectors of a cell, as members or as those who ask, in one task; larger cells are dealt to pairs of blocks.
-BLOCK = 512
-#: Mean vectors of a cell that the codebooks' size aims at; most centroids of a half.
-FILL, MOST = 24, 2048
+#: Made neighbours of each asked vector, just at the cosine, that recall is measured with too.
+MADE = 8
+#: Members of a row of the grid, and vectors that ask there, in one task; more are dealt to pairs of blocks.
+MEMBERS, ASKS = 8192, 16_384
+#: Mean vectors of a cell that the codebooks' size aims at; most centroids of a half (2 billion vectors' worth).
+FILL, MOST = 128, 4096
 
 
 def codebook(points: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -59,6 +62,20 @@ def traversal(first: np.ndarray, second: np.ndarray, most: int) -> list[tuple[in
     return out
 
 
+def traversals(first: np.ndarray, second: np.ndarray, most: int) -> np.ndarray:
+    """The cells (i * width + j) that :func:`traversal` visits, for each row of first and second at once, in no order.
+    The pair at places (r, s) of the two sorted sequences comes behind all pairs before it in both,
+    so it is among the first `most` only if (r + 1) * (s + 1) is no more than that."""
+    width, most = second.shape[1], min(most, first.shape[1] * second.shape[1])
+    r = np.arange(min(most, first.shape[1]))
+    each = np.minimum(most // (r + 1), width)
+    r, s = np.repeat(r, each), np.concatenate([np.arange(n) for n in each])
+    a, b = first.argsort(axis=1, kind="stable"), second.argsort(axis=1, kind="stable")
+    total = np.take_along_axis(first, a, 1)[:, r] + np.take_along_axis(second, b, 1)[:, s]
+    near = np.argpartition(total, most - 1, axis=1)[:, :most]
+    return np.take_along_axis(a, r[near], 1) * width + np.take_along_axis(b, s[near], 1)
+
+
 class MultiIndex:
     """Codebooks of the two halves of unit vectors; a cell is a pair of their centroids. visited:
     the cells that a traversal goes through."""
@@ -87,28 +104,46 @@ class MultiIndex:
             out[s : s + 256] = [np.searchsorted(b, m - a).sum() for a, b, m in zip(first, second, mine, strict=True)]
         return out
 
-    def visits(self, x: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """For each unit vector its own cell and the cells visited, its own among them."""
-        for s in range(0, len(x), 1024):
-            apart = self.apart(x[s : s + 1024])
-            for r, cell in enumerate(self.cells(apart).tolist()):
-                each = [i * self.width + j for i, j in traversal(apart[0][r], apart[1][r], self.visited)]
-                yield cell, each if cell in each else [cell, *each]
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit vector its own cell, and the cells visited: if its own isn't among them, it stands in
+        place of one."""
+        own, cells = np.zeros(len(x), np.int64), np.zeros((len(x), min(self.visited, len(self.books[0]) * self.width)), np.int64)
+        for s in range(0, len(x), 256):
+            apart = self.apart(x[s : s + 256])
+            own[s : s + 256], cells[s : s + 256] = self.cells(apart), traversals(*apart, self.visited)
+        lacking = ~(cells == own[:, None]).any(axis=1)
+        cells[lacking, 0] = own[lacking]
+        return own, cells
+
+
+def made_neighbours(x: np.ndarray, cosine: float, seed: int = 11) -> np.ndarray:
+    """MADE unit vectors at exactly the cosine from each of x, in seeded directions."""
+    rng = np.random.default_rng(seed)
+    q = np.repeat(x, MADE, axis=0)
+    r = rng.normal(size=q.shape)
+    r -= (r * q).sum(axis=1)[:, None] * q
+    length = np.sqrt((r * r).sum(axis=1))[:, None]
+    return cosine * q + np.sqrt(max(0.0, 1 - cosine * cosine)) * r / np.maximum(length, 1e-300)
 
 
 def needed(reps: DataFrame, index: MultiIndex, cosine: float, recall: float) -> int:
-    """The cells to visit for the recall, measured: the links of some ASKED vectors with all
-    vectors are found by brute force, in tasks, and with each the cells that either side goes
-    through to meet the other. Each asked vector that has links weighs the same, so one large
-    group doesn't decide. Without links it is a floor that grows with the grid."""
+    """The cells to visit for the recall, measured in two ways, of which the larger counts. The links of
+    some ASKED vectors with all vectors are found by brute force, in tasks, and with each the cells
+    that either side goes through to meet the other; each asked vector that has links weighs the
+    same, so one large group doesn't decide. And to each asked vector neighbours are made that are
+    just near enough, and as hard to meet as any: where links are rare, and the asked vectors have
+    few or none, these tell how far a traversal must go."""
     n = reps.count()
     chance = F.pmod(F.xxhash64("id", F.lit("asked")), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, ASKED / max(n, 1))) + 1)
     some = reps.where(chance).select("id", "v").toArrow()
-    floor = 4 + index.width // 16
     if not len(some):
-        return floor
+        some = reps.select("id", "v").limit(ASKED).toArrow()
     ids, asked = some["id"].to_numpy(), np.array(some["v"].combine_chunks().flatten()).reshape(len(some), -1)
     cells = index.cells(index.apart(asked))
+    made = made_neighbours(asked, cosine)
+    theirs, mine = index.cells(index.apart(made)), np.repeat(cells, MADE)
+    ranks = np.sort(np.minimum(index.ranks(np.repeat(asked, MADE, axis=0), theirs), index.ranks(made, mine)))
+    floor = int(ranks[ceil(recall * len(ranks)) - 1]) + 1
     shared = reps.sparkSession.sparkContext.broadcast((index, ids, asked, cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,40 +174,59 @@ def _linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
     return x @ y.T / norms >= cosine
 
 
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # ids, copies, own cells, visits, vectors
-
-
-def _rows(batch: pa.RecordBatch) -> Rows:
-    ids, many, own, cells, v = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "many", "own", "cells", "v"))
-    visits = np.full((len(ids), 1 + max(map(len, cells), default=0)), -1)
-    for i, c in enumerate(cells.to_pylist()):
-        visits[i, : len(c)] = c
-    return ids.to_numpy(), many.to_numpy(), own.to_numpy(), visits, np.array(v.flatten()).reshape(len(ids), -1)
-
-
-def _joined(members: list[Rows]) -> Rows:
-    """Rows of one block together; their lists of visits may differ in width."""
-    wide = max(m[3].shape[1] for m in members)
-    padded = [np.pad(m[3], ((0, 0), (0, wide - m[3].shape[1])), constant_values=-1) for m in members]
-    rest = [np.concatenate([m[i] for m in members]) for i in (0, 1, 2, 4)]
-    return rest[0], rest[1], rest[2], np.concatenate(padded), rest[3]
+@dataclass
+class Rows:
+    """Vectors of one row of the grid: members with all cells that they visit, or those who ask there, with the
+    cells of this row that they visit; -1 fills the lists up."""
+
+    ids: np.ndarray
+    many: np.ndarray
+    own: np.ndarray
+    cells: np.ndarray
+    v: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> Rows:
+        ids, many, own, cells, v = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "many", "own", "cells", "v"))
+        sizes = np.diff(cells.offsets.to_numpy())
+        wide = np.full((len(ids), max(1, sizes.max(initial=0))), -1)
+        wide[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = cells.flatten().to_numpy()
+        return Rows(ids.to_numpy(), many.to_numpy(), own.to_numpy(), wide, np.array(v.flatten()).reshape(len(ids), -1))
+
+    @staticmethod
+    def joined(parts: list[Rows]) -> Rows:
+        """Rows of one block together; their lists may differ in width."""
+        wide = max(p.cells.shape[1] for p in parts)
+        cells = [np.pad(p.cells, ((0, 0), (0, wide - p.cells.shape[1])), constant_values=-1) for p in parts]
+        ids, many, own, v = (np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "many", "own", "v"))
+        return Rows(ids, many, own, np.concatenate(cells), v)
+
+
+def _pairs(asking: Rows, members: Rows, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of asking vectors and of members that are linked, cell by cell of those visited."""
+    who, at = np.nonzero(asking.cells >= 0)
+    cell = asking.cells[who, at]
+    by_cell, member = np.argsort(cell, kind="stable"), np.argsort(members.own, kind="stable")
+    who, cell, own = who[by_cell], cell[by_cell], members.own[member]
+    for c in np.unique(own):
+        q, m = who[slice(*np.searchsorted(cell, [c, c + 1]))], member[slice(*np.searchsorted(own, [c, c + 1]))]
+        for s in range(0, len(q), 512):
+            i, j = np.nonzero(_linked(asking.v[q[s : s + 512]], members.v[m], cosine))
+            yield q[s : s + 512][i], m[j]
 
 
 def _met(asking: Rows, members: Rows, cosine: float) -> pa.RecordBatch:
     """Links between asking vectors and a block's members: rows (a, b, null) are a forest over
     them, rows (a, null, n) count the copies that a is linked with here."""
-    ids = np.concatenate([asking[0], members[0]])
-    many = np.concatenate([asking[1], members[1]])
-    n, found, first = np.zeros(len(ids), np.int64), [], len(asking[0])
-    for s in range(0, first, 512):
-        q = slice(s, s + 512)
-        i, j = np.nonzero(_linked(asking[4][q], members[4], cosine))
-        i = i + s
+    ids = np.concatenate([asking.ids, members.ids])
+    many = np.concatenate([asking.many, members.many])
+    n, found, first = np.zeros(len(ids), np.int64), [], len(asking.ids)
+    for i, j in _pairs(asking, members, cosine):
         # Each pair counts in one place: in its own cell from the smaller id, and in the lower
         # of two cells if either vector visits the other's.
-        a, b = asking[2][i], members[2][j]
-        both = (members[3][j] == a[:, None]).any(axis=1)
-        once = np.where(a == b, asking[0][i] < members[0][j], ~both | (b < a))
+        a, b = asking.own[i], members.own[j]
+        both = (members.cells[j] == a[:, None]).any(axis=1)
+        once = np.where(a == b, asking.ids[i] < members.ids[j], ~both | (b < a))
         i, j = i[once], j[once] + first
         np.add.at(n, i, many[j])
         np.add.at(n, j, many[i])
@@ -187,61 +241,78 @@ def _met(asking: Rows, members: Rows, cosine: float) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["a", "b", "n"])
 
 
-def link_table(reps: DataFrame, cosine: float, recall: float, fill: int = FILL, block: int = BLOCK) -> DataFrame:
+ROUTED = "row int, member boolean, id long, many long, own long, cells array<long>, v array<double>"
+
+
+def link_table(reps: DataFrame, cosine: float, recall: float, fill: int = FILL) -> DataFrame:
     """reps: (id long, many long, v array<double>: unit vectors, different ones of one length).
-    Returns (a, b, n): rows with b are links of a forest, rows with n add up to a's linked copies."""
+    Returns (a, b, n): rows with b are links of a forest, rows with n add up to a's linked copies.
+
+    Cells lie together by row of the grid. A vector is sent once to each row in which it visits
+    cells (not once for each cell), and compared there with the members of those cells."""
     spark, n = reps.sparkSession, reps.count()
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE / max(n, 1))) + 1)
-    sample = reps.where(chance).select("v").toArrow()["v"].to_pylist() or [r["v"] for r in reps.select("v").limit(64).collect()]
-    if not sample:
+    sample = reps.where(chance).select("v").toArrow()
+    sample = sample if len(sample) else reps.select("v").limit(64).toArrow()
+    if not len(sample):
         return spark.createDataFrame([], "a long, b long, n long")
-    made = MultiIndex(np.array(sample), max(1, min(MOST, round(sqrt(n / fill)))))
-    # Twice what the asked vectors' links need.
+    made = MultiIndex(np.array(sample["v"].combine_chunks().flatten()).reshape(len(sample), -1), max(1, min(MOST, round(sqrt(n / fill)))))
+    # Twice what the asked vectors' links, or made ones, need.
     made.visited = 2 * needed(reps, made, cosine, recall)
     index = spark.sparkContext.broadcast(made)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = index.value.width
         for batch in batches:
-            ids, many, v = batch.columns
-            x = np.array(v.flatten()).reshape(len(ids), -1)
-            own, cells = zip(*index.value.visits(x), strict=True) if len(ids) else ((), ())
-            lists = pa.array(list(cells), pa.list_(pa.int32()))
-            yield pa.record_batch([ids, many, v, pa.array(list(own), pa.int32()), lists], ["id", "many", "v", "own", "cells"])
-
-    routed = save(reps.mapInArrow(route, "id long, many long, v array<double>, own int, cells array<int>"), "imi-routed")
-    each = routed.select("id", "many", "v", "own", "cells", F.explode("cells").alias("cell"))
-    # Members and those who ask, whichever are more, in blocks. A row for each large cell: visits / block at most.
-    large = each.groupBy("cell").agg(F.count("*").alias("asking")).where(F.col("asking") > block)
-    large = large.select("cell", F.ceil(F.col("asking") / block).cast("int").alias("blocks"))
-    each = each.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    each = each.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # A task meets one block of members with one of those who ask; a member asks too.
-    turns = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asks = each.withColumn("part", F.explode(turns)).withColumn("by", F.col("block")).withColumn("member", F.lit(False))
-    holds = each.where("own = cell").withColumn("by", F.explode(turns)).withColumn("part", F.col("block")).withColumn("member", F.lit(True))
-    names = ["cell", "part", "by", "member", "id", "many", "own", "cells", "v"]
-    each = asks.select(*names).unionByName(holds.select(*names))
+            for s in range(0, len(batch), 1024):
+                ids, many, v = batch.slice(s, 1024).columns
+                x = np.array(v.flatten()).reshape(len(ids), -1)
+                own, cells = index.value.visits(x)
+                cells.sort(axis=1)
+                # A run of cells in one row of the grid is one copy; each vector is a member of its own cell's row besides.
+                row = cells // width
+                begins = np.concatenate([np.ones((len(x), 1), bool), row[:, 1:] != row[:, :-1]], axis=1)
+                who, at = np.nonzero(begins)
+                offsets = np.append(np.flatnonzero(begins.ravel()), cells.size)
+                asks = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells.ravel()))
+                columns = [pa.array(row[who, at], pa.int32()), pa.array(np.zeros(len(who), bool)), ids.take(pa.array(who)), many.take(pa.array(who)), pa.array(own[who]), asks, v.take(pa.array(who))]
+                names = ["row", "member", "id", "many", "own", "cells", "v"]
+                yield pa.record_batch(columns, names)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1]), pa.int32()), pa.array(cells.ravel()))
+                yield pa.record_batch([pa.array(own // width, pa.int32()), pa.array(np.ones(len(x), bool)), ids, many, pa.array(own), lists, v], names)
+
+    routed = save(reps.select("id", "many", "v").mapInArrow(route, ROUTED), "imi-routed", "zstd")
+    # Members and those who ask in a row of the grid, in blocks; a task meets one block of each. A row for each row of the grid.
+    sizes = routed.groupBy("row").agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("q"))
+    sizes = sizes.select("row", F.ceil(F.greatest("m", F.lit(1)) / MEMBERS).cast("int").alias("parts"), F.ceil(F.greatest("q", F.lit(1)) / ASKS).cast("int").alias("turns"))
+    each = routed.join(F.broadcast(sizes), "row")  # MOST rows at most
+    hashed = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    part = F.when(F.col("member"), F.array(hashed(F.col("parts")))).otherwise(every("parts"))
+    by = F.when(F.col("member"), every("turns")).otherwise(F.array(hashed(F.col("turns"))))
+    each = each.withColumn("part", F.explode(part)).withColumn("by", F.explode(by))
+    names = ["row", "part", "by", "member", "id", "many", "own", "cells", "v"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, whole = None, [], None
         for batch in batches:
             if not len(batch):
                 continue
-            cell, part, by, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            new = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (by[1:] != by[:-1]) | (member[1:] != member[:-1])
-            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(cell)]
+            row, part, by, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            new = (row[1:] != row[:-1]) | (part[1:] != part[:-1]) | (by[1:] != by[:-1]) | (member[1:] != member[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(row)]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if key != (cell[s], part[s], by[s]):
-                    key, members, whole = (cell[s], part[s], by[s]), [], None
+                if key != (row[s], part[s], by[s]):
+                    key, members, whole = (row[s], part[s], by[s]), [], None
                 if member[s]:
-                    members.append(_rows(batch.slice(s, e - s)))
+                    members.append(Rows.of(batch.slice(s, e - s)))
                 elif members:
-                    whole = whole or _joined(members)
-                    yield _met(_rows(batch.slice(s, e - s)), whole, cosine)
+                    whole = whole or Rows.joined(members)
+                    yield _met(Rows.of(batch.slice(s, e - s)), whole, cosine)
 
     # A block's members come first; those who ask stream past them.
-    keys = ["cell", "part", "by"]
-    dealt = each.repartition(*keys).sortWithinPartitions(*keys, F.col("member").desc())
+    keys = ["row", "part", "by"]
+    dealt = each.select(*names).repartition(*keys).sortWithinPartitions(*keys, F.col("member").desc())
     return save(dealt.mapInArrow(verify, "a long, b long, n long"), "imi-links")
 
 

@@ -73,6 +73,20 @@ def test_same_rows_as_sql(spark, sf, name):
     assert mine == theirs
 
 
+@pytest.mark.parametrize("scale, most", [("sf0.001", 0.03), ("sf0.01", 0.01)])
+def test_mixing_meets_its_targets(spark, scale, most):
+    """Each source's words come near its target, also where a few documents hold most of them."""
+    out = rows(mixing.mix(spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")))
+    taken, target, shortest = collections.Counter(), {}, {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        shortest[r["source"]] = min(shortest.get(r["source"], 1 << 30), max(1, r["size"]))
+        assert r["taken"] <= 2 * r["size"]
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(most * t, shortest[s])
+
+
 def test_mixing_targets_and_caps(odd, none, docs):
     out = rows(mixing.mix(odd))
     sizes = collections.Counter()
@@ -655,7 +669,10 @@ def test_vectors(spark, sf):
 
 
 @pytest.mark.parametrize("block", [3, 2048])
-def test_vectors_awkward(spark, block):
+def test_vectors_awkward(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "MEMBERS", block)
+    monkeypatch.setattr(vectors, "ASKS", block)
+    monkeypatch.setattr(vectors.link_table, "__defaults__", (8,))
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 64))
     x = [(b + rng.normal(scale=0.1, size=64)).tolist() for b in base for _ in range(6)]
@@ -665,16 +682,47 @@ def test_vectors_awkward(spark, block):
     data = [(i, v, "extra") for i, v in enumerate(x)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, n string")
     n, comp = plain_links(x, list(range(len(x))))
-    old, vectors.link_table.__defaults__ = vectors.link_table.__defaults__, (24, block)
-    try:
-        out = sorted(rows(vectors.near_vectors(df)), key=lambda r: r["vec_id"])
-    finally:
-        vectors.link_table.__defaults__ = old
+    out = sorted(rows(vectors.near_vectors(df)), key=lambda r: r["vec_id"])
     assert [r["n_links"] for r in out] == n.tolist() and [r["component_id"] for r in out] == comp
     assert vectors.near_vectors(df.where("false")).count() == 0
     assert vectors.near_vectors(df.where("embedding is null")).count() == 1
 
 
+def test_vectors_traversal_is_partial_and_loses_no_rare_link(spark, monkeypatch):
+    """20,000 vectors with 150 pairs at cosine 0.90 to 0.93, so that hardly an asked vector has a link."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(150):
+        r = rng.normal(size=32)
+        r -= (r @ x[i]) * x[i]
+        c = rng.uniform(0.9005, 0.93)
+        x[10_000 + i] = c * x[i] + np.sqrt(1 - c * c) * r / np.linalg.norm(r)
+    found = []
+    plain = vectors.needed
+    monkeypatch.setattr(vectors, "needed", lambda reps, index, *a: found.append((plain(reps, index, *a), len(index.books[0]) * index.width)) or found[-1][0])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(vectors.near_vectors(df))}
+    ((visits, cells),) = found
+    assert 2 * visits < cells / 2
+    n, near = np.zeros(len(x), int), []
+    for s in range(0, len(x), 2000):
+        i, j = np.nonzero(x[s : s + 2000] @ x.T >= 0.9)
+        near += [(a, b) for a, b in zip((i + s).tolist(), j.tolist(), strict=True) if a != b]
+    for a, _ in near:
+        n[a] += 1
+    assert len(near) >= 300 and [out[i][0] for i in range(len(x))] == n.tolist()
+    assert all(out[a][1] == out[b][1] for a, b in near)
+
+
+def test_vectors_traversals_visit_what_a_queue_visits():
+    rng = np.random.default_rng(2)
+    for most in (1, 2, 7, 40, 200):
+        a, b = rng.random((20, 9)), rng.random((20, 13))
+        for row, cells in enumerate(vectors.traversals(a, b, most)):
+            assert sorted(cells.tolist()) == sorted(i * 13 + j for i, j in vectors.traversal(a[row], b[row], most))
+
+
 def test_vectors_without_ids(spark):
     given = [(None, [1.0, 0.0]), (5, [1.0, 0.1]), (3, [1.0, 0.05]), (None, [0.0, 1.0]), (None, [0.0, 1.0]), (None, None)]
     out = rows(vectors.near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>")))
