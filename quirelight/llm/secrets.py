@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +17,11 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-#: Candidates that only their owners' number tells from examples: long runs with letters and digits.
+#: Candidates that only their owners' number tells from examples: long runs of a key's characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What sets keys apart from addresses' paths, names and words that hyphens join: small and capital letters and
+#: digits, a long stretch without any separator, and digits that follow letters more than once.
+KEYLIKE = ("[a-z]", "[A-Z]", "[0-9]", "[A-Za-z0-9+]{16,}", "[A-Za-z][0-9].*[A-Za-z][0-9]")
 #: A secret is its owners' own if no more sources than this hold it, and no more documents for each.
 OWNERS, REPOSITORIES = 2, 20
 #: Documents from which on a secret's count is sent to every task, and how many such there may be.
@@ -58,7 +64,7 @@ def _found(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), text_of().alias("text"))
     kept = [F.filter(_matches(p, g, kind), _as_long(n)) for kind, p, g, n in BASE]
     rows = rows.withColumn("base", F.array_sort(F.concat(*kept)))
-    telling = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
+    telling = lambda x: reduce(and_, (x["value"].rlike(p) for p in KEYLIKE))
     rows = rows.withColumn("more", F.filter(_matches(CANDIDATE, 0, "owned"), telling))
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     rows = rows.withColumn("more", F.when(F.size("more") > 0, F.filter("more", free)).otherwise(F.col("more")))
@@ -83,7 +89,7 @@ def scan(docs: DataFrame, most_owners: int = OWNERS, most_repositories: int = RE
     spans: array<struct<start, rank, end, owners, live>> by start, then kind.
 
     The base kinds (assign, access, hex) always stay. A further candidate, a run of 20 or more
-    key-like characters with letters and digits, is a span of kind owned if its hash belongs to
+    characters that is made like a key (KEYLIKE) and not like a path or words, is a span of kind owned if its hash belongs to
     its owners: at most most_owners sources of the whole corpus hold it, and at most
     most_repositories documents for each of them. One that more sources hold, or that one source
     repeats over and over, is a copied example. live says the same of each span, base ones too. A
@@ -171,7 +177,7 @@ placed AS (
 spans AS (SELECT rid, kind, e - length(found) AS s, e, secret FROM placed WHERE found <> '' AND length(secret) >= least),
 base AS (SELECT * FROM spans WHERE kind < {RANK["owned"]}),
 more AS (
-  SELECT * FROM spans m WHERE kind = {RANK["owned"]} AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]')
+  SELECT * FROM spans m WHERE kind = {RANK["owned"]} AND {" AND ".join(f"regexp_matches(secret, '{p}')" for p in KEYLIKE)}
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.s < m.e AND m.s < b.e)),
 held AS (
   SELECT secret, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN t USING (rid) GROUP BY secret),
