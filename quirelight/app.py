@@ -7,7 +7,7 @@ import json
 import sys
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,7 +54,7 @@ def load_books(spark: SparkSession, path: str) -> Tables:
 
 def packaged(tables: Tables, mode: str = "standard") -> DataFrame:
     """(book_id, content): each book as a package, with its images."""
-    assets = tables["assets"]
+    assets = tables["assets"].where(F.length("content") > 0)
     blocks = render.with_images(tables["blocks"], assets.select("book_id", "asset_key", F.col("asset_key").alias("file_name")))
     html = render.chapter_html(tables["chapters"], blocks, mode)
     titled = html.join(tables["chapters"].drop("ord"), ["book_id", "chapter_id"])
@@ -67,6 +67,10 @@ def preview(tables: Tables) -> DataFrame:
     return counts.join(edits.snippets(tables["blocks"]), ["book_id", "chapter_id"], "left").orderBy("book_id", "ord")
 
 
+#: Findings that an error's text names; it says how many there are besides.
+SHOWN = 20
+
+
 class ExportBlocked(RuntimeError):
     """The findings that forbid an export."""
 
@@ -211,12 +215,14 @@ class Jobs:
         tables, log = self.book(job_id), self.results(job_id)
         states = self.db.load("chunks", job_id).join(log.select("book_id", "chapter_id", "chunk", "status"), ["book_id", "chapter_id", "chunk"], "left")
         states = states.select("book_id", "chapter_id", F.coalesce("status", F.lit("pending")).alias("status"), F.transform("blocks", lambda b: b["id"]).alias("block_ids"))
-        wrong = validate.book_findings(tables["books"], tables["chapters"], tables["blocks"], tables["assets"], states).where("severity = 'error'")
-        codes = [f"{r['code']} {r['detail']}" for r in wrong.limit(20).collect()]
-        if codes and not force:
-            raise ExportBlocked("; ".join(codes))
+        found = store.saved(validate.book_findings(tables["books"], tables["chapters"], tables["blocks"], tables["assets"], states), "findings")
+        wrong = found.where("severity = 'error'").orderBy("place", "detail").limit(SHOWN).collect()
+        if wrong and not force:
+            n = found.where("severity = 'error'").count()
+            more = f" (and {n - len(wrong)} more)" if n > len(wrong) else ""
+            raise ExportBlocked("; ".join(f"{r['code']} {r['detail']}" for r in wrong) + more)
         content = store.saved(packaged(tables, mode), "packages")
-        broken = epub.package_findings(content).where("severity = 'error'").limit(20).collect()
+        broken = epub.package_findings(content).where("severity = 'error'").limit(SHOWN).collect()
         if broken:
             raise ExportBlocked("; ".join(r["code"] for r in broken))
         epub.save_files(content, folder)
@@ -284,16 +290,27 @@ class Queue:
 
 
 def _translating(verb: argparse.ArgumentParser) -> None:
-    verb.add_argument("--source", default="ja")
-    verb.add_argument("--target", default="zh-Hant")
-    verb.add_argument("--endpoint", default="", help="without one, a translator that needs no service")
-    verb.add_argument("--model", default="")
+    """What is given goes before the settings file's values, and these before the defaults."""
+    for flag in ("--source", "--target", "--style", "--model"):
+        verb.add_argument(flag)
+    verb.add_argument("--endpoint", help="without one, here or in the settings, a translator that needs no service")
     verb.add_argument("--glossary", default="", help="a glossary's id; its confirmed entries are frozen into the job")
     verb.add_argument("--glossaries", default="./glossaries")
 
 
 def _settings(given: argparse.Namespace) -> store.Settings:
-    return store.Settings(source_lang=given.source, target_lang=given.target, model=given.model, endpoint=translate.base_url(given.endpoint) if given.endpoint else "")
+    base = store.load_settings(given.settings) if given.settings else store.Settings(endpoint="")
+    flags = {"source_lang": given.source, "target_lang": given.target, "style": given.style, "model": given.model, "endpoint": given.endpoint}
+    merged = replace(base, **{k: v for k, v in flags.items() if v is not None})
+    return replace(merged, endpoint=translate.base_url(merged.endpoint) if merged.endpoint else "")
+
+
+def _output(given: argparse.Namespace) -> str:
+    """The folder named, else the settings' one."""
+    folder = given.output or (store.load_settings(given.settings).output_dir if given.settings else "")
+    if not folder:
+        raise SystemExit("an output folder is needed: -o, or output_dir in the settings")
+    return folder
 
 
 def _frozen(given: argparse.Namespace) -> list[dict]:
@@ -344,12 +361,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     """0: done; 1: not completed; 2: the export is blocked."""
     parser = argparse.ArgumentParser(prog="quirelight")
     parser.add_argument("--db", default="./quirelight_db")
+    parser.add_argument("--settings", default="", help="a settings file")
     verbs = parser.add_subparsers(dest="verb", required=True)
     for name in ("convert", "preview", "translate"):
         verb = verbs.add_parser(name)
         verb.add_argument("input")
         if name != "preview":
-            verb.add_argument("-o", "--output", required=True)
+            verb.add_argument("-o", "--output")
             verb.add_argument("--mode", default="standard", choices=render.MODES)
         if name == "translate":
             _translating(verb)
@@ -357,7 +375,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name in ("export", "retry-failed"):
         verb = verbs.add_parser(name)
         verb.add_argument("job")
-        verb.add_argument("-o", "--output", required=name == "export")
+        verb.add_argument("-o", "--output")
         verb.add_argument("--force", "--force-export", action="store_true")
         verb.add_argument("--mode", default="standard", choices=render.MODES)
         if name == "retry-failed":
@@ -365,7 +383,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     verbs.add_parser("list-jobs")
     queued = verbs.add_parser("queue")
     queued.add_argument("inputs", nargs="*")
-    queued.add_argument("-o", "--output", required=True)
+    queued.add_argument("-o", "--output")
     queued.add_argument("--mode", default="standard", choices=render.MODES)
     _translating(queued)
     listed = verbs.add_parser("glossary")
@@ -381,13 +399,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("quirelight").getOrCreate()
     owner = Jobs(store.Store(spark, given.db))
     if given.verb == "convert":
-        epub.save_files(packaged(load_books(spark, given.input), given.mode).withColumn("book_id", stem(F.col("book_id"))), given.output)
+        epub.save_files(packaged(load_books(spark, given.input), given.mode).withColumn("book_id", stem(F.col("book_id"))), _output(given))
     elif given.verb == "preview":
         preview(load_books(spark, given.input)).show(truncate=60)
     elif given.verb == "glossary":
         return _glossary(given, spark)
     elif given.verb == "queue":
-        queue = Queue(owner, given.output, mode=given.mode)
+        queue = Queue(owner, _output(given), mode=given.mode)
         queue.restore()
         for path in given.inputs:
             for job_id in owner.create(load_books(spark, path), _settings(given), _frozen(given)):
@@ -408,7 +426,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if given.verb == "retry-failed" and not given.output:
                 return int(any(s != "completed" for s in ended))
             for j in made:
-                owner.export(j, given.output, given.force, given.mode)
+                owner.export(j, _output(given), given.force, given.mode)
         except ExportBlocked as e:
             print(e, file=sys.stderr)
             return 2

@@ -46,3 +46,8 @@ def code_of(value: str) -> str:
 
 def name_of(code: str) -> str:
     return dict(LANGUAGES)[code_of(code)]
+
+
+def display_pairs() -> list[tuple[str, str]]:
+    """(name, code) of each language, in the registry's order, as a list to choose from shows them."""
+    return [(name, code) for code, name in LANGUAGES]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelight.functions.text import is_translatable, strip
@@ -102,9 +102,10 @@ def failed_by_chapter(chunks: DataFrame) -> DataFrame:
     return out.orderBy("book_id", "chapter_id")
 
 
-def book_findings(books: DataFrame, chapters: DataFrame, blocks: DataFrame, assets: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+def book_findings(books: DataFrame, chapters: DataFrame, blocks: DataFrame, assets: DataFrame, chunks: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """All checks of books; with chunks (book_id, chapter_id, status, block_ids) that they are
-    translated, too. A book is in order if it has no error."""
+    translated, too, and with files (:func:`listing`) that assets named by a rel_path are there. A book
+    is in order if it has no error."""
     none = F.lit(None)
     out = _finding(books.join(chapters, "book_id", "left_anti"), "book_id", F.lit(0), "error", "no_chapters", none)
     blank = chapters.where(F.coalesce(strip(F.col("title")), F.lit("")) == "")
@@ -119,9 +120,30 @@ def book_findings(books: DataFrame, chapters: DataFrame, blocks: DataFrame, asse
         done = chunks.where("status = 'completed'").select("book_id", F.explode("block_ids").alias("block_id"))
         lacking = missing_blocks(blocks, done).groupBy("book_id").count()
         out = out.unionByName(_finding(lacking, "book_id", F.lit(6), "error", "untranslated_blocks", F.col("count")))
+    lost = [assets.where(F.coalesce(F.length("content"), F.lit(0)) == 0)] if "content" in assets.columns else []
+    lost += [missing_assets(assets, files)] if files is not None else []
+    for rows in lost:
+        out = out.unionByName(_finding(rows, "book_id", F.lit(7), "error", "asset_missing", F.col("asset_key")))
     return out
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the files below a folder, path from the folder on. Only names are listed: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    end = (folder.partition("://")[2] or folder.removeprefix("file:")).rstrip("/") + "/"
+    return files.select(F.substring_index("path", end, -1).alias("path"), "length")
+
+
 def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
-    """assets whose rel_path is no file's path (as ``binaryFile`` lists them, below some root)."""
-    return assets.join(files.select(F.col("path").alias("rel_path")), "rel_path", "left_anti")
+    """assets whose rel_path is no listed file's path, or that of an empty file."""
+    there = files.where("length > 0").select(F.col("path").alias("rel_path"))
+    return assets.where("rel_path is not null").join(there, "rel_path", "left_anti")
+
+
+def first_of(findings: DataFrame, severity: str = "warning", most: int = 3) -> DataFrame:
+    """The first findings of each entity and severity, by place and detail, with nth from 1; and n, how many there are."""
+    rows = findings.where(F.col("severity") == severity)
+    order = Window.partitionBy("entity").orderBy("place", "detail", "code")
+    counts = rows.groupBy("entity").agg(F.count("*").alias("n"))
+    kept = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    return kept.join(counts, "entity")

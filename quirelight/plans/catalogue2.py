@@ -366,6 +366,20 @@ def l1_validate(spark, d):
     return validate.reply_findings(rows.select(F.col("conv_id").alias("reply_id"), payload.alias("payload"), F.transform("b", lambda x: x["id"]).alias("source_ids")))
 
 
+@query(f"""WITH {CONV_SQL}, w AS (
+  SELECT book_id::VARCHAR AS entity, 1 AS place, chapter_id AS detail, 'blank_title' AS code FROM chapters WHERE book_id % 3 = 0
+  UNION ALL SELECT book_id::VARCHAR, 3, block_id, 'image_not_mapped' FROM blocks WHERE type <> 'paragraph'),
+nth AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY place, detail, code)::INT AS nth, count(*) OVER (PARTITION BY entity) AS n FROM w)
+SELECT entity, place::INT AS place, code, detail, nth, n FROM nth WHERE nth <= 3""")
+def l2_first_warnings(spark, d):
+    """The first three warnings of each book: chapters without a title in every third, images that no book has."""
+    rows = conv_blocks(spark, d).withColumn("type", F.when(F.col("type") == "paragraph", "paragraph").otherwise("image"))
+    heads = conv_chapters(rows).withColumn("title", F.when(F.col("book_id") % 3 > 0, F.col("title")))
+    none = rows.limit(0).select("book_id", F.col("block_id").alias("asset_key"))
+    found = validate.book_findings(rows.select("book_id").distinct(), heads, rows, none)
+    return validate.first_of(found).select("entity", "place", "code", "detail", "nth", "n")
+
+
 # ---- prompts and languages --------------------------------------------------------------------
 
 

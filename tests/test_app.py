@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelight import app
-from quirelight.operators import translate
+from quirelight.functions.languages import display_pairs
+from quirelight.operators import translate, validate
 from quirelight.operators.translate import UpperCase
 from quirelight.sources import epub, store
 
@@ -291,6 +292,42 @@ def test_images_go_through_a_job(spark, tmp_path):
     assert b'<img src="img/a.png" alt="A"/>' in done.read("OEBPS/chap_0000.xhtml")
 
 
+def test_a_lost_image_blocks_the_export(spark, tmp_path):
+    body = '<h1>One</h1><p>said</p><p><img src="img/a.png"/></p>'
+    (tmp_path / "b.epub").write_bytes(epub.package("T", "A", "en", "urn:x", [("One", body)], images={"img/a.png": b"png"}))
+    owner = app.Jobs(store.Store(spark, str(tmp_path / "db")))
+    (job,) = owner.create(app.load_books(spark, str(tmp_path / "b.epub")))
+    assert owner.run(job) == "completed"
+    owner.db.save("assets", owner.db.load("assets", job).withColumn("content", F.lit(b"")))
+    with pytest.raises(app.ExportBlocked, match="asset_missing img/a.png"):
+        owner.export(job, str(tmp_path / "out"))
+    owner.export(job, str(tmp_path / "out"), force=True)
+    assert "OEBPS/img/a.png" not in zipfile.ZipFile(tmp_path / "out" / f"{job}.epub").namelist()
+    # Assets that are files are held to a listing of their folder.
+    (tmp_path / "files" / "img").mkdir(parents=True)
+    (tmp_path / "files" / "img" / "x.png").write_bytes(b"x")
+    (tmp_path / "files" / "img" / "empty.png").write_bytes(b"")
+    assets = spark.createDataFrame([("k", "x", "img/x.png"), ("k", "e", "img/empty.png"), ("k", "y", "img/y.png")], "book_id string, asset_key string, rel_path string")
+    files = validate.listing(spark, str(tmp_path / "files"))
+    assert "content" not in files._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    blocks = spark.createDataFrame([], "book_id string, chapter_id string, block_id string, type string, text string, image_ref string")
+    books = spark.createDataFrame([("k", "c", "T")], "book_id string, chapter_id string, title string")
+    found = validate.book_findings(books, books, blocks, assets, files=files)
+    assert sorted(r["detail"] for r in found.collect()) == ["e", "y"]
+
+
+def test_settings_and_flags_are_merged(spark, tmp_path, source):
+    path = str(tmp_path / "settings.json")
+    store.save_settings(store.Settings(source_lang="en", target_lang="fr", style="non-fiction", endpoint="", output_dir=str(tmp_path / "out"), chunk_target_tokens=7), path)
+    cli = ["--db", str(tmp_path / "db"), "--settings", path, "translate", source, "--target", "German"]
+    assert app.main(cli, spark) == 0 and len(list((tmp_path / "out").glob("*.epub"))) == 1
+    config = json.loads(store.Store(spark, str(tmp_path / "db")).load("jobs").first()["config"])
+    assert (config["source_lang"], config["target_lang"], config["style"], config["chunk_target_tokens"]) == ("en", "de", "non-fiction", 7)
+    with pytest.raises(SystemExit):
+        app.main(["--db", str(tmp_path / "db"), "convert", source], spark)
+    assert display_pairs()[0] == ("Chinese", "zh") and len(display_pairs()) == 38
+
+
 def test_glossary_and_queue_verbs(spark, tmp_path, source, capsys):
     root = ["glossary", "--root", str(tmp_path / "g")]
     assert app.main([*root, "create", "names"], spark) == 0
