@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,3 +176,20 @@ def error_kind(summary: Column, failed_chunks: Column) -> Column:
     exported = F.coalesce(summary, F.lit("")).rlike("^(?:export_failed:|Export failed)")
     some = F.coalesce(failed_chunks, F.lit(0)) > 0
     return F.when(exported, "export_failed").when(some, "chunks_failed").otherwise("translation_failed")
+
+
+def counted_tokens(text: Column, vocabulary: str | None = None) -> Column:
+    """How many tokens a public tokenizer's vocabulary file (its path, the same on all executors) gives for a text;
+    0 for an empty or null one. Without a vocabulary, the estimate (:func:`tokens`)."""
+    if vocabulary is None:
+        return tokens(text)
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(vocabulary)
+        for batch in batches:
+            yield pd.Series([len(e.ids) for e in own.encode_batch(batch.fillna("").tolist(), add_special_tokens=False)], dtype="int32")
+
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(count(text))

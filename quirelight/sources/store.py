@@ -216,9 +216,9 @@ class Transaction:
 def indexed(rows: DataFrame, columns: list[str], group_bytes: int | None = None) -> DataFrameWriter:
     """A writer of Parquet files with Bloom filters on the columns, so that a scan for one value passes
     over the row groups that lack it, also where their smallest and largest values enclose it."""
-    writer = rows.write
+    writer = rows.write.option("parquet.bloom.filter.adaptive.enabled", "true")  # as large as a column's different values ask for
     for c in columns:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     return writer if group_bytes is None else writer.option("parquet.block.size", group_bytes)
 
 

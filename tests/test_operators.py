@@ -182,3 +182,16 @@ def test_retry():
         with_retry(lambda: (_ for _ in ()).throw(Retryable()), 0, 1.0, waits.append)
     assert base_url("http://h:1/") == "http://h:1/v1" == base_url("http://h:1/v1")
     assert reply_errors(["a"], {"translations": [{"id": "a", "text": "x"}]}) == [] and reply_errors(["a"], 5) == ["no_translations"]
+
+
+def test_counted_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello there, reader.", "", None, "第一章 黎明", "x" * 5000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    own = Tokenizer.from_file(path)
+    want = [len(own.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r["n"] for r in rows.select(tx.counted_tokens(F.col("text"), path).alias("n")).collect()] == want
+    assert [r["n"] for r in rows.select(tx.counted_tokens(F.col("text")).alias("n")).collect()] == [5, 0, 0, 3, 1250]

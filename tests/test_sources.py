@@ -184,6 +184,25 @@ def test_store_replaces_one_partition(spark, tmp_path):
     assert s.load("blocks", "a").count() == 1
 
 
+def test_a_lookup_reads_one_row_group(spark, tmp_path):
+    """Ids in no order, so that smallest and largest values exclude nothing: Bloom filters do."""
+    rows = spark.range(60_000).coalesce(1).select(F.concat(F.lit("b"), F.xxhash64("id")).alias("block_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    wanted = rows.collect()[41_234]["block_id"]
+
+    def read(folder, writer):
+        writer.parquet(folder)
+        found = spark.read.parquet(folder).where(F.col("block_id") == wanted)
+        assert found.count() == 1 and len(found.collect()) == 1
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return scan.metrics().apply("numOutputRows").value()
+
+    plain = read(str(tmp_path / "plain"), store.indexed(rows, [], 1 << 20))
+    assert read(str(tmp_path / "bloom"), store.indexed(rows, ["block_id"], 1 << 20)) <= plain / 3
+    small = store.indexed(rows.limit(10), ["block_id"])
+    small.parquet(str(tmp_path / "small"))
+    assert sum(p.stat().st_size for p in (tmp_path / "small").iterdir()) < 100_000
+
+
 def test_glossaries_and_settings(spark, tmp_path):
     one = {"glossary_id": "g1", "name": "n", "scope": "book", "entries": [{"id": "e", "source": "Alice", "target": "A", "type": "proper_noun", "confirmed": True, "variants": ["Al"]}]}
     (tmp_path / "g").mkdir()
