@@ -135,8 +135,8 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def missing_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
-    """assets whose rel_path is no listed file's path, or that of an empty file."""
-    there = files.where("length > 0").select(F.col("path").alias("rel_path"))
+    """assets whose rel_path is no listed file's path, or, where lengths are listed too, that of an empty file."""
+    there = (files.where("length > 0") if "length" in files.columns else files).select(F.col("path").alias("rel_path"))
     return assets.where("rel_path is not null").join(there, "rel_path", "left_anti")
 
 
