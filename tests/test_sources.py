@@ -216,3 +216,9 @@ def test_glossaries_and_settings(spark, tmp_path):
     assert store.load_settings(path).chunk_target_tokens == 7
     (tmp_path / "s" / "settings.json").write_text("{broken")
     assert store.load_settings(path) == store.Settings() and store.Settings().prompt_to_store(" P ", "P") == ""
+
+
+def test_an_unended_reference_is_text():
+    page = "<title>a&amp;&amp</title><h1>b &lt;c&ampd; &copy &amp</h1><p>e&quot;f&am</p>&amp"
+    assert html.blocks_of(page) == [("heading", 1, "b <c&ampd; &copy &amp", None, None), ("paragraph", None, 'e"f&am', None, None)]
+    assert html.headings_of(page) == [("title", 0, "a&&amp"), ("h1", 0, "b <c&ampd; &copy &amp")]
