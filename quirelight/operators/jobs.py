@@ -35,9 +35,10 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], updatable: list[st
     return both.select(*(value(c) for c in old.columns))
 
 
-def latest(log: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Of an append-only log the last version of each key."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))
+def latest(log: DataFrame, keys: list[str], version: str, came: list[str] | None = None) -> DataFrame:
+    """Of an append-only log the last version of each key; of rows of the same version the one that came first, by
+    the columns came (a log whose versions repeat needs them)."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), *(came or [])))
     return log.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
 
 

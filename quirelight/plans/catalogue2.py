@@ -214,8 +214,9 @@ def upsert(spark, d):
 
 @query("""SELECT l_orderkey AS job_id, max_by(l_returnflag, l_linenumber) AS flag, max(l_linenumber) AS version FROM lineitem GROUP BY l_orderkey""")
 def latest_wins(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("version"))
-    return jobs.latest(rows, ["job_id"], "version")
+    """An order's line numbers repeat: the first row of the log counts."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("version"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return jobs.latest(rows, ["job_id"], "version", ["file", "row"]).drop("file", "row")
 
 
 @query(f"""WITH {JOBS_SQL} SELECT job_id, chunk_id, status FROM chunks WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE book_id % 7 = 0)

@@ -7,6 +7,7 @@ from quirelight.functions import languages as lang
 from quirelight.functions import text as tx
 from quirelight.operators import books, chapters, glossary, jobs, packages, validate
 from quirelight.operators.translate import Retryable, UpperCase, base_url, chunked, reply_errors, run_chunks, to_do, with_retry
+from quirelight.plans import all_queries
 
 
 def rows(df, *columns):
@@ -33,6 +34,31 @@ def test_txt_headings(spark):
     assert one(spark, tx.is_txt_heading, *yes, *no) == [True] * 6 + [False] * 4
 
 
+def test_a_point_before_a_digit_is_no_txt_heading(spark):
+    assert one(spark, tx.is_txt_heading, "56.187.231.175 is an address", "3.14 is pi", "12.Harbour", "12. 7 days", "3、7") == [False, False, True, True, True]
+
+
+def test_latest_takes_the_first_of_equal_versions(spark):
+    log = spark.createDataFrame([(1, 2, "b", 7), (1, 2, "a", 3), (1, 1, "c", 1), (2, 5, "d", 9)], "k int, v int, x string, at int").repartition(4)
+    assert rows(jobs.latest(log, ["k"], "v", ["at"]), "k", "x") == [(1, "a"), (2, "d")]
+
+
+def test_latest_wins_by_the_order_of_the_file(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag").collect()
+    first = {}
+    for r in given:
+        if r["l_orderkey"] not in first or r["l_linenumber"] > first[r["l_orderkey"]][0]:
+            first[r["l_orderkey"]] = (r["l_linenumber"], r["l_returnflag"])
+    # Several files, in the order of their names, read in many partitions.
+    for k in range(4):
+        part = given[k * len(given) // 4 : (k + 1) * len(given) // 4]
+        spark.createDataFrame(part, "l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / "made"), mode="overwrite")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"part-{k}.parquet")
+    out = {r["job_id"]: (r["version"], r["flag"]) for r in all_queries()[0]["latest_wins"](spark, str(tmp_path)).collect()}
+    assert out == first
+
+
 def test_short_lines_merge(spark):
     long = "x" * 40
     lines = spark.createDataFrame([(1, i, s) for i, s in enumerate(["a", "b", long, "c", "", "d"])], "book_id int, line_no int, line string")
