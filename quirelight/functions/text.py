@@ -34,7 +34,8 @@ TXT_HEADINGS = (
     r"(?iU)^chapter\s+\d+\b",
     r"(?U)^CHAPTER\s+[IVXLCDM]+\b",
     r"(?iU)^第\s*\d+\s*話",
-    r"(?iU)^\d+\s*[.、]\s*\S+",
+    # Not an address, a decimal or the number of a section, whose point a digit follows.
+    r"(?iU)^\d+\s*(?:\.(?!\d)|、)\s*\S+",
 )
 # Documents before the first chapter.
 FRONT_MATTER = (
