@@ -8,11 +8,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quirelight.llm import chat, lm, mixing, packing, quality, queries, secrets, sharding, simhash, syncmers, vectors
+from quirelight.llm import chat, lm, mixing, packing, quality, queries, secrets, sharding, shared, simhash, syncmers, vectors
 from quirelight.llm.components import components
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -546,6 +547,28 @@ def test_quality_against_a_plain_model(spark, sf, docs):
         assert r["threshold"] == own[max(0, int(np.ceil(quality.QUANTILE * len(own))) - 1)] and r["kept"] == (r["perplexity"] is None or r["perplexity"] <= r["threshold"])
 
 
+def test_quality_learns_from_every_trusted_document(spark, monkeypatch):
+    ids = spark.range(14_000).withColumnRenamed("id", "doc_id")
+    many = ids.select("doc_id", F.lit("en").alias("lang"), F.concat(F.lit("a text of number "), "doc_id").alias("text"))
+    seen, plain = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda trusted: (seen.append(trusted.count()), plain(trusted))[1])
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < (1 << 19)).count()
+    for most in (quality.BROADCAST_IDS, 10):  # ids that go to the tasks, and ids that are joined
+        monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+        assert quality.classify(many, labels).count() == 14_000
+    assert seen == [chosen, chosen] and chosen > 6_700
+
+
+def test_python_tasks_are_handed_rows_by_their_bytes(spark, monkeypatch):
+    def sizes(batches):
+        yield from (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches)
+
+    texts = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("text"))
+    n = [r["n"] for r in shared.save(texts.mapInArrow(sizes, "n long"), "handed").collect()]
+    assert sum(n) == 64 and max(n) <= 2 * shared.HANDED >> 18
+
+
 def test_quality_of_blocks_of_any_size(spark, docs, odd):
     model = quality.train(docs.select("text"), 3)
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
