@@ -15,6 +15,10 @@ KEYS = ["book_id", "chapter_id", "chunk"]
 RESULTS = "book_id {book}, chapter_id string, chunk int, status string, attempts int, error string, translations map<string,string>, ended double, batch int"
 
 
+#: Batches of a feed that is drained at once, and chunks in a file of it at most.
+BATCHES, MOST_IN_FILE = 6, 1 << 16
+
+
 class Feed:
     """A folder of chunks to be translated, and what has become of them.
 
@@ -55,7 +59,9 @@ class Feed:
         queue = self.spark.readStream.schema(chunks.select(*KEYS).schema).option("maxFilesPerTrigger", files).parquet(f"{self.folder}/queue")
 
         def write(batch: DataFrame, number: int) -> None:
-            ready = translate.with_context(chunks, self.results(before=number), carry).join(batch.dropDuplicates(KEYS), KEYS, "left_semi")
+            # Of the other chapters no context is needed.
+            own = chunks.join(batch.select("book_id", "chapter_id").distinct(), ["book_id", "chapter_id"], "left_semi")
+            ready = translate.with_context(own, self.results(before=number), carry).join(batch.dropDuplicates(KEYS), KEYS, "left_semi")
             done = translate.run_chunks(ready, translator, carry, attempts, delay, 0.0, config)
             done.write.mode("overwrite").parquet(f"{self.folder}/results/batch={number}")
             on_batch(number)
@@ -75,7 +81,10 @@ def drained_translation(spark: SparkSession, d: str) -> DataFrame:
 
     blocks = conv_blocks(spark, d).where("type = 'paragraph' and trim(text) <> ''")
     feed = Feed(spark, f"{root(spark)}/quirelight/translation-{uuid.uuid4().hex}", "long")
-    feed.offer(translate.chunked(blocks, 400))
+    chunks = saved(translate.chunked(blocks, 400), "chunks")
+    # Here no service asks for a rate, so a batch is a share of the feed, whatever its size.
+    feed.offer(chunks, per_file=min(MOST_IN_FILE, max(1, chunks.count() // (2 * BATCHES))))
+    files = max(1, -(-len(spark.read.parquet(f"{feed.folder}/queue").inputFiles()) // BATCHES))
     kills = {0, 2}
 
     def kill(number: int) -> None:
@@ -85,7 +94,7 @@ def drained_translation(spark: SparkSession, d: str) -> DataFrame:
 
     for _ in range(len(kills) + 1):
         try:
-            feed.run(on_batch=kill)
+            feed.run(files=files, on_batch=kill)
         except Exception as e:  # noqa: BLE001  the kill comes back as the stream's failure
             if "Killed" not in str(e):
                 raise

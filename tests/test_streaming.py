@@ -73,3 +73,15 @@ def test_a_killed_run_loses_no_chunk_and_has_none_twice(spark, tmp_path):
     assert text["c0b1"] == "T01<T00<>>" and text["c1b2"] == "T12<->" and "c1b1" not in text
     feed.run(Refusing, on_batch=kill)
     assert feed.results().count() == 12 and translate is not None
+
+
+def test_a_drained_feed_has_few_batches_whatever_its_size(spark, monkeypatch):
+    seen, plain = [], translation.Feed.run
+
+    def run(self, on_batch, **more):
+        plain(self, on_batch=lambda n: (seen.append(n), on_batch(n)), **more)
+
+    monkeypatch.setattr(translation.Feed, "run", run)
+    out = translation.drained_translation(spark, "/root/testdata/sf0.1").collect()
+    assert len(out) == 958 and all((r["n_translated"], r["n_twice"]) == (r["n_blocks"], 0) for r in out)
+    assert 2 < max(seen) < translation.BATCHES and seen.count(0) == seen.count(2) == 2
